@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from throughline.plans import landing_queries
+from throughline.plans import history_queries, landing_queries
 from throughline.plans.common import Query
 
-CATALOG: dict[str, Query] = {**landing_queries.QUERIES}
+CATALOG: dict[str, Query] = {**landing_queries.QUERIES, **history_queries.QUERIES}
