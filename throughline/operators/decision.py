@@ -45,8 +45,47 @@ def game_type_filter(df: DataFrame, types=("R",)) -> DataFrame:
     return df.filter(F.col("game_type").isin(*types))
 
 
+def _derived(c: Cols) -> dict:
+    """Every column that follows from the row itself."""
+    return {
+        c.season: F.year(c.date),
+        c.episode: F.col(c.game) * 1000 + F.col(c.at_bat),
+        c.row: (F.col(c.game) * 1000 + F.col(c.at_bat)) * 100 + F.col(c.order),
+        "is_seq_eligible": F.col(c.order) >= 2,
+        "base_state": scalars.base_state(F.col("on_1b"), F.col("on_2b"), F.col("on_3b")),
+        "score_diff_pitcher": F.col("fld_score") - F.col("bat_score"),
+        "platoon": F.col("stand") == F.col("p_throws"),
+        "park": F.col("home_team"),
+        "count_state": scalars.count_state(F.col("balls"), F.col("strikes")),
+        c.action: scalars.family(F.col("pitch_type")),
+        c.outcome: scalars.outcome_token(F.col("description")),
+        c.reward: F.lit(0.0) - F.col("delta_run_exp"),
+        "plate_x_br": F.when(F.col("stand") == "L", -F.col("plate_x")).otherwise(F.col("plate_x")),
+        "plate_z_norm": F.try_divide(F.col("plate_z") - F.col("sz_bot"),
+                                     F.col("sz_top") - F.col("sz_bot")),
+    }
+
+
+def _labels(c: Cols) -> dict:
+    """Outcome-tree labels; a null says the node was not reached."""
+    o = F.col(c.outcome)
+    known = o.isin(*TAKES, *SWINGS)
+    return {
+        "is_take": F.when(known, scalars.is_take(o)),
+        "node_swing": F.when(known, o.isin(*SWINGS)),
+        "node_called_strike": F.when(o.isin(*TAKES), o == "called_strike"),
+        "node_contact": F.when(o.isin(*SWINGS), o),
+        "node_in_play": F.when(o == "in_play", F.col("events")),
+    }
+
+
+def _add(df: DataFrame, c: Cols, *names: str) -> DataFrame:
+    made = _derived(c)
+    return df.withColumns({n: made[n] for n in names})
+
+
 def season(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    return df.withColumn(c.season, F.year(c.date))
+    return _add(df, c, c.season)
 
 
 def era_filter(df: DataFrame, first_season: int, c: Cols = PITCH) -> DataFrame:
@@ -62,41 +101,41 @@ def assert_era(df: DataFrame, first_season: int, c: Cols = PITCH) -> DataFrame:
 
 
 def pa_id(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    return df.withColumn(c.episode, F.col(c.game) * 1000 + F.col(c.at_bat))
+    return _add(df, c, c.episode)
 
 
 def row_id(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    return df.withColumn(c.row, F.col(c.episode) * 100 + F.col(c.order))
+    return _add(df, c, c.row)
 
 
 def seq_eligible(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    return df.withColumn("is_seq_eligible", F.col(c.order) >= 2)
+    return _add(df, c, "is_seq_eligible")
 
 
-def base_state(df: DataFrame) -> DataFrame:
-    return df.withColumn("base_state", scalars.base_state(
-        F.col("on_1b"), F.col("on_2b"), F.col("on_3b")))
+def base_state(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    return _add(df, c, "base_state")
 
 
-def score_diff_pitcher(df: DataFrame) -> DataFrame:
-    return df.withColumn("score_diff_pitcher", F.col("fld_score") - F.col("bat_score"))
+def score_diff_pitcher(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    return _add(df, c, "score_diff_pitcher")
 
 
-def platoon(df: DataFrame) -> DataFrame:
-    return df.withColumn("platoon", F.col("stand") == F.col("p_throws"))
+def platoon(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    return _add(df, c, "platoon")
 
 
-def park(df: DataFrame) -> DataFrame:
-    return df.withColumn("park", F.col("home_team"))
+def park(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    return _add(df, c, "park")
 
 
-def count_state(df: DataFrame) -> DataFrame:
-    return df.withColumn("count_state", scalars.count_state(F.col("balls"), F.col("strikes")))
+def count_state(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    return _add(df, c, "count_state")
 
 
 def family(df: DataFrame, codes=None, c: Cols = PITCH) -> DataFrame:
-    code = F.col("pitch_type")
-    return df.withColumn(c.action, scalars.family(code, codes) if codes else scalars.family(code))
+    if codes is None:
+        return _add(df, c, c.action)
+    return df.withColumn(c.action, scalars.family(F.col("pitch_type"), codes))
 
 
 def recommendable(df: DataFrame, c: Cols = PITCH) -> DataFrame:
@@ -112,38 +151,24 @@ def action_column(df: DataFrame, kind: str = "family") -> DataFrame:
     raise ValueError(f"unknown action kind {kind!r}")
 
 
-def batter_relative(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn("plate_x_br", F.when(F.col("stand") == "L", -F.col("plate_x"))
-                      .otherwise(F.col("plate_x")))
-        .withColumn("plate_z_norm", F.try_divide(F.col("plate_z") - F.col("sz_bot"),
-                                                 F.col("sz_top") - F.col("sz_bot")))
-    )
+def batter_relative(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    """Plate location mirrored for left-handed batters and scaled to the strike zone."""
+    return _add(df, c, "plate_x_br", "plate_z_norm")
 
 
 def outcome_token(df: DataFrame, tokens=None, c: Cols = PITCH) -> DataFrame:
-    d = F.col("description")
-    return df.withColumn(
-        c.outcome, scalars.outcome_token(d, tokens) if tokens else scalars.outcome_token(d))
+    if tokens is None:
+        return _add(df, c, c.outcome)
+    return df.withColumn(c.outcome, scalars.outcome_token(F.col("description"), tokens))
 
 
 def event_tree_labels(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    """Node labels; a null says the node was not reached."""
-    o = F.col(c.outcome)
-    known = o.isin(*TAKES, *SWINGS)
-    swing = F.when(known, o.isin(*SWINGS))
-    return (
-        df.withColumn("is_take", F.when(known, scalars.is_take(o)))
-        .withColumn("node_swing", swing)
-        .withColumn("node_called_strike", F.when(o.isin(*TAKES), o == "called_strike"))
-        .withColumn("node_contact", F.when(o.isin(*SWINGS), o))
-        .withColumn("node_in_play", F.when(o == "in_play", F.col("events")))
-    )
+    return df.withColumns(_labels(c))
 
 
 def reward(df: DataFrame, c: Cols = PITCH) -> DataFrame:
     """Run value from the actor's side: larger is better, null stays null."""
-    return df.withColumn(c.reward, F.lit(0.0) - F.col("delta_run_exp"))
+    return _add(df, c, c.reward)
 
 
 # Outcome classes with the sign their mean reward must have.
@@ -240,16 +265,11 @@ def decision_table(log: DataFrame, c: Cols = PITCH) -> DataFrame:
     """Every derived column, next to the raw log. Unused columns are pruned by the plan."""
     w_actor = W.partitionBy(c.game, c.actor).orderBy(c.at_bat, c.order)
     w_pair = W.partitionBy(c.game, c.actor, c.opponent).orderBy(c.at_bat)
-    df = log
-    for step in (season, pa_id, row_id, seq_eligible, family, outcome_token, reward):
-        df = step(df, c=c)
-    for step in (base_state, score_diff_pitcher, platoon, park, count_state, batter_relative):
-        df = step(df)
-    return (
-        event_tree_labels(df, c)
-        .withColumn("pitcher_pitch_count", F.row_number().over(w_actor) - 1)
-        .withColumn("times_thru_order", F.dense_rank().over(w_pair))
-    )
+    return log.withColumns(_derived(c)).withColumns({
+        **_labels(c),
+        "pitcher_pitch_count": F.row_number().over(w_actor) - 1,
+        "times_thru_order": F.dense_rank().over(w_pair),
+    })
 
 
 # Column names that hold a decision's own execution, outcome or reward.

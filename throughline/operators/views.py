@@ -64,8 +64,9 @@ def unordered(df: DataFrame, c: Cols = PITCH) -> DataFrame:
 def ordered(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
     """Lags, contrasts of the last two decisions, and the whole order as text."""
     w = W.partitionBy(c.game, c.at_bat).orderBy(c.order)
-    df = decision.pitch_delta(history.previous_pitch(df, c=c), c)
+    df = history.previous_pitch(df, c=c)
     df = history.previous_pitch(df, ["family", "outcome", "release_speed"], depth=3, c=c)
+    df = decision.pitch_delta(df, c)
     df = df.withColumns({f"last_{d}": F.lag(d).over(w)
                          for d in ("d_velo", "d_move", "d_release", "d_plate")})
     df = df.drop("d_velo", "d_move", "d_release", "d_plate")
@@ -74,12 +75,20 @@ def ordered(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
     return history.family_baseline_diff(df, days, c)
 
 
-def wide_table(decisions: DataFrame, study: Study, c: Cols = PITCH) -> DataFrame:
-    """All views' columns plus the labels. A view is a projection of this; what it does not
-    use, the plan does not compute."""
-    df = unordered(decisions, c)
-    df = ordered(df, study.window_days, c)
-    df = history.pooled_matchup(history.matchup_memory(df, c), study.shrink)
+ALL = ("C", "U", "L1", "O", "OM")
+
+
+def wide_table(decisions: DataFrame, study: Study, names=ALL, c: Cols = PITCH) -> DataFrame:
+    """The columns of the named views next to the labels; a view is a projection of it."""
+    df = decisions
+    if "U" in names:
+        df = unordered(df, c)
+    if "O" in names or "OM" in names:
+        df = ordered(df, study.window_days, c)
+    elif "L1" in names:
+        df = history.previous_pitch(df, c=c)
+    if "OM" in names:
+        df = history.pooled_matchup(history.matchup_memory(df, c), study.shrink)
     return history.with_rolling(df, study.window_days, c)
 
 

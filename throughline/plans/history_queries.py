@@ -101,7 +101,7 @@ def recomputed_reward(spark, path):
 
 def _view(name, cols):
     def run(spark, path):
-        v = views.view(views.wide_table(table(spark, path), STUDY), name)
+        v = views.view(views.wide_table(table(spark, path), STUDY, (name,)), name)
         doubles = [f.name for f in v.schema.fields if f.dataType.typeName() == "double" and f.name in cols]
         return rounded(v.select("row_id", *cols), *doubles)
     return run

@@ -13,6 +13,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("throughline")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

@@ -27,10 +27,8 @@ def pitch_log(spark: SparkSession, path: str) -> DataFrame:
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
     block = F.floor(day / 28).cast("long")
     placed = (
-        orders
-        .withColumn("_block", block)
-        .withColumn("_half", (day % 28 >= 14).cast("int"))
-        .withColumn("_slots", slots)
+        orders.withColumns({"_block": block, "_half": (day % 28 >= 14).cast("int"),
+                            "_slots": slots})
         .select(
             "o_orderkey", "o_custkey", "o_orderstatus", "_block",
             ((F.col("_block") * 16 + F.col("o_orderkey") % 8 * 2 + F.col("_half")) * F.col("_slots")
@@ -60,18 +58,20 @@ def pitch_log(spark: SparkSession, path: str) -> DataFrame:
                        F.lit(cap)).cast("int")
 
     rows = (
-        joined
-        .withColumn("description", described)
-        .withColumn("pitch_type", code)
-        .withColumn("pitch_number", F.row_number().over(in_order))
-        .withColumn("balls", earlier(F.col("description") == "ball", 3))
-        .withColumn("strikes", earlier(strike, 2))
-        .withColumn("_last", F.col("pitch_number") == F.count("*").over(whole))
-        .withColumn("at_bat_number",
-                    F.dense_rank().over(W.partitionBy("game_pk").orderBy("o_orderkey")))
-        .withColumn("pitcher", F.col("o_orderkey") % 40)
-        .withColumn("batter", F.lit(1000).cast("long") + F.col("o_custkey") % 50)
-        .withColumn("bat_score", (F.col("o_custkey") % 7).cast("int"))
+        joined.withColumns({
+            "description": described, "pitch_type": code,
+            "pitch_number": F.row_number().over(in_order),
+            "_length": F.count("*").over(whole),
+            "at_bat_number": F.dense_rank().over(W.partitionBy("game_pk").orderBy("o_orderkey")),
+            "pitcher": F.col("o_orderkey") % 40,
+            "batter": F.lit(1000).cast("long") + F.col("o_custkey") % 50,
+            "bat_score": (F.col("o_custkey") % 7).cast("int"),
+        })
+        .withColumns({
+            "balls": earlier(F.col("description") == "ball", 3),
+            "strikes": earlier(strike, 2),
+            "_last": F.col("pitch_number") == F.col("_length"),
+        })
     )
     hit = F.col("description") == "hit_into_play"
     ended = (
