@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from throughline.operators import decision
 from throughline.plans.common import STUDY, Query, r6, rounded, table
 from throughline.plans.oracle import r6 as q6, sql
+from throughline.session import scratch
 from throughline.sources import landing, profile
 from throughline.sources.adapter import pitch_log
 
@@ -56,7 +57,7 @@ def season_window(spark, path):
 
 def landed_seasons(spark, path):
     """Land the log by season, read it back, count it."""
-    root = landing.scratch(spark, "landed")
+    root = scratch(spark, "landed")
     log = decision.season(pitch_log(spark, path))
     landing.land_log(log, root)
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from the written rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write `df` as parquet in the shared folder and return the written table.
+
+    For rows that several later branches read: they are computed once, a lost executor
+    costs a re-read, and readers still get column pruning and pushed filters.
+    """
+    path = scratch(df.sparkSession, name)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

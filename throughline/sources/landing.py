@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from throughline.config import PITCH, Cols
-from throughline.session import shared_dir
 from throughline.sources.schema import PITCH_LOG, REQUIRED
 
 
@@ -15,11 +12,6 @@ class MissingFields(ValueError):
     """A log lacks columns that the analysis relies on."""
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def conform(df: DataFrame, schema: T.StructType = PITCH_LOG) -> DataFrame:
     """Known columns cast to the pinned types; absent ones left out, the rest dropped."""
     present = [f for f in schema.fields if f.name in df.columns]
