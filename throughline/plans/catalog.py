@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from throughline.plans import history_queries, landing_queries, metric_queries, table_queries
+from throughline.plans import history_queries, landing_queries, metric_queries, policy_queries, table_queries
 from throughline.plans.common import Query
 
 CATALOG: dict[str, Query] = {
     **landing_queries.QUERIES, **history_queries.QUERIES, **table_queries.QUERIES,
     **metric_queries.QUERIES,
+    **policy_queries.QUERIES,
 }

@@ -18,6 +18,7 @@ KEEP = ["row_id", "pa_id", "game_pk", "game_date", "at_bat_number", "pitch_numbe
         "batter", "stand", "p_throws", "balls", "strikes", "count_state", "outs_when_up",
         "base_state", "family", "outcome", "events", "reward", "release_speed",
         "prev_family", "prev2_family", "prev3_family", "prev_release_speed", "prev_outcome",
+        "prev_plate_x_br", "prev_plate_z_norm", "prev_release_pos_x",
         "multiset", "recent", "history_text", "met", "hist_n", "feasible", "node_swing",
         "node_called_strike", "node_contact", "score_diff_pitcher", "season"]
 START = "^"
@@ -31,8 +32,8 @@ def build(decisions: DataFrame) -> DataFrame:
     df = df.withColumns({
         **{f"prev{'' if d == 1 else d}_family": F.coalesce(F.lag("family", d).over(w), F.lit(START))
            for d in (1, 2, 3)},
-        "prev_release_speed": F.lag("release_speed").over(w),
-        "prev_outcome": F.lag("outcome").over(w),
+        **{f"prev_{x}": F.lag(x).over(w) for x in (
+            "release_speed", "outcome", "plate_x_br", "plate_z_norm", "release_pos_x")},
         "history_text": F.array_join(prior, ">"),
         "multiset": F.array_join(F.array_sort(prior), "+"),
         "recent": F.array_join(F.slice(prior, F.greatest(F.size("history") - 2, F.lit(1)), 3), ">"),
@@ -106,7 +107,8 @@ FAMS = """fams(fi, fam) AS (VALUES (1,'FF'),(2,'SI'),(3,'FC'),(4,'SL'),(5,'CU'),
 STUDY_SQL = f"""{MIX},
 study AS (SELECT d.*, coalesce(lag(family) OVER w, '^') AS prev_family, coalesce(lag(family,2) OVER w, '^') AS prev2_family,
     coalesce(lag(family,3) OVER w, '^') AS prev3_family, lag(release_speed) OVER w AS prev_release_speed,
-    lag(outcome) OVER w AS prev_outcome,
+    lag(outcome) OVER w AS prev_outcome, lag(plate_x_br) OVER w AS prev_plate_x_br,
+    lag(plate_z_norm) OVER w AS prev_plate_z_norm, lag(release_pos_x) OVER w AS prev_release_pos_x,
     coalesce(string_agg(family,'>') OVER p, '') AS history_text,
     coalesce(array_to_string(list_sort(list(family) OVER p), '+'), '') AS multiset,
     concat_ws('>', lag(family,3) OVER w, lag(family,2) OVER w, lag(family) OVER w) AS recent,
