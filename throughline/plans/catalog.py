@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from throughline.plans import history_queries, landing_queries, metric_queries, policy_queries, table_queries
+from throughline.plans import (
+    falsify_queries, history_queries, landing_queries, metric_queries, policy_queries,
+    predict_queries, table_queries,
+)
 from throughline.plans.common import Query
 
 CATALOG: dict[str, Query] = {
-    **landing_queries.QUERIES, **history_queries.QUERIES, **table_queries.QUERIES,
+    **landing_queries.QUERIES,
+    **history_queries.QUERIES,
+    **table_queries.QUERIES,
     **metric_queries.QUERIES,
+    **falsify_queries.QUERIES,
     **policy_queries.QUERIES,
+    **predict_queries.QUERIES,
 }
