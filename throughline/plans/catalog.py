@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from throughline.plans import (
-    falsify_queries, history_queries, landing_queries, metric_queries, policy_queries,
-    predict_queries, table_queries,
+    falsify_queries, history_queries, landing_queries, metric_queries, model_queries,
+    policy_queries, predict_queries, table_queries,
 )
 from throughline.plans.common import Query
 
@@ -16,4 +16,5 @@ CATALOG: dict[str, Query] = {
     **falsify_queries.QUERIES,
     **policy_queries.QUERIES,
     **predict_queries.QUERIES,
+    **model_queries.QUERIES,
 }
