@@ -1,9 +1,11 @@
 """Count tables and shrunken probabilities: the transparent baselines and the pitch grammar.
 
 A chain of nested grouping levels backs off from fine cells to coarse ones. Counts are taken
-once at the finest level and summed up from there, so the log is read once however long the
-chain. The shrinking itself is a column expression over the joined counts: a cell nobody has
-seen has count zero and so takes its parent's value unchanged.
+once at the finest level, written, and summed up from there: the log is read once however long
+the chain. (Left lazy, every level would scan the log again, as the filters each join pushes
+down differ and keep Spark from reusing the exchange.) The shrinking itself is a column
+expression over the joined counts: a cell nobody has seen has count zero and so takes its
+parent's value unchanged.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from throughline.config import FAMILIES, PITCH, Cols
 from throughline.functions.arrays import shrink
+from throughline.session import stage
 
 
 def action_counts(df: DataFrame, keys: list[str], action: str = "family",
@@ -47,38 +50,61 @@ def base_freq(df: DataFrame, c: Cols = PITCH) -> DataFrame:
     return t.withColumn("probs", F.transform("counts", lambda x: x / F.col("n")))
 
 
-def eb_lookup(train: DataFrame, contexts: DataFrame, levels: list[list[str]], k: float,
-              action: str = "family", alphabet=FAMILIES) -> DataFrame:
-    """Shrunken distribution for every context row.
+def count_cells(train: DataFrame, keys: list[str], action: str = "family",
+                alphabet=FAMILIES) -> DataFrame:
+    """Counts at the finest keys any level needs, as a written table."""
+    return stage(action_counts(train, keys, action, alphabet), "cells")
+
+
+def eb_views(cells: DataFrame, contexts: DataFrame, views: dict[str, list[list[str]]], k: float,
+             alphabet=FAMILIES) -> DataFrame:
+    """Shrunken distributions of several chains for every context row.
 
-    `levels` are nested key lists, coarse to fine and without the empty one; `contexts` has
-    one row per finest key. Adds `probs`, and `n` of the finest level.
+    `views` maps an output column to nested key lists, coarse to fine and without the empty one.
+    A level that several chains share is summed and joined once.
     """
-    finest = action_counts(train, levels[-1], action, alphabet)
     zero = F.array(*[F.lit(0).cast("long") for _ in alphabet])
-    out = contexts.withColumn("_shares", _global_shares(finest, alphabet))
-    probs = F.col("_shares")
-    for i, keys in enumerate(levels):
-        cells = finest if keys == levels[-1] else roll_up(finest, keys, alphabet)
-        cells = cells.withColumnsRenamed({"n": f"_n{i}", "counts": f"_k{i}"})
-        out = out.join(cells, keys, "left")
-        probs = shrink(F.coalesce(F.col(f"_k{i}"), zero),
-                       F.coalesce(F.col(f"_n{i}"), F.lit(0)), probs, k)
-    last = len(levels) - 1
+    out = contexts.withColumn("_shares", _global_shares(cells, alphabet))
+    place: dict[tuple[str, ...], int] = {}
+    for levels in views.values():
+        for keys in levels:
+            if tuple(keys) in place:
+                continue
+            i = place[tuple(keys)] = len(place)
+            level = roll_up(cells, keys, alphabet).withColumnsRenamed({"n": f"_n{i}", "counts": f"_k{i}"})
+            out = out.join(level, keys, "left")
+    made = {}
+    for name, levels in views.items():
+        probs = F.col("_shares")
+        for keys in levels:
+            i = place[tuple(keys)]
+            probs = shrink(F.coalesce(F.col(f"_k{i}"), zero),
+                           F.coalesce(F.col(f"_n{i}"), F.lit(0)), probs, k)
+        made[name] = probs
+    last = place[tuple(next(reversed(views.values()))[-1])]
     return out.select(*contexts.columns, F.coalesce(F.col(f"_n{last}"), F.lit(0)).alias("n"),
-                      F.coalesce(F.col(f"_k{last}"), zero).alias("counts"), probs.alias("probs"))
+                      F.coalesce(F.col(f"_k{last}"), zero).alias("counts"),
+                      *[p.alias(n) for n, p in made.items()])
+
+
+def eb_lookup(train: DataFrame, contexts: DataFrame, levels: list[list[str]], k: float,
+              action: str = "family", alphabet=FAMILIES) -> DataFrame:
+    """One chain for every context row: `probs`, and the finest level's `n` and `counts`."""
+    cells = count_cells(train, levels[-1], action, alphabet)
+    return eb_views(cells, contexts, {"probs": levels}, k, alphabet)
 
 
 def eb_selection(train: DataFrame, levels: list[list[str]], k: float, action: str = "family",
                  alphabet=FAMILIES) -> DataFrame:
     """Shrunken distribution per finest cell seen in training."""
-    return eb_lookup(train, train.select(*levels[-1]).distinct(), levels, k, action, alphabet)
+    cells = count_cells(train, levels[-1], action, alphabet)
+    return eb_views(cells, cells.select(*levels[-1]), {"probs": levels}, k, alphabet)
 
 
 def shrunk_pitcher_count(df: DataFrame, k: float, c: Cols = PITCH) -> DataFrame:
     """Actor-by-count shares, shrunk to the global frequency of the same handedness mix."""
     hands = ["stand", "p_throws"]
-    fine = action_counts(df, [c.actor, "count_state", *hands], c.action)
+    fine = count_cells(df, [c.actor, "count_state", *hands], c.action)
     base = roll_up(fine, ["count_state", *hands]).select(
         "count_state", *hands, F.transform("counts", lambda x: x / F.col("n")).alias("_base"))
     joined = fine.join(base, ["count_state", *hands])
@@ -118,9 +144,9 @@ def eb_run_value(train: DataFrame, levels: list[list[str]], k: float,
     so precision weighting reduces to (sum + k * parent) / (n + k).
     """
     seen = train.filter(F.col(c.reward).isNotNull())
-    finest = seen.groupBy(*levels[-1]).agg(
+    finest = stage(seen.groupBy(*levels[-1]).agg(
         F.count("*").alias("n"), F.sum(c.reward).alias("s"),
-        F.sum(F.col(c.reward) * F.col(c.reward)).alias("ss"))
+        F.sum(F.col(c.reward) * F.col(c.reward)).alias("ss")), "cells")
     whole = finest.agg(F.struct(
         (F.sum("s") / F.sum("n")).alias("mean"),
         ((F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")) / (F.sum("n") - 1)).alias("var"),
@@ -144,11 +170,11 @@ def value_table(train: DataFrame, state: list[str], k: float, c: Cols = PITCH,
     seen = train.filter(F.col(c.reward).isNotNull())
     idx = range(len(alphabet))
     here = [F.col(c.action) == a for a in alphabet]
-    cells = seen.groupBy(*state).agg(
+    cells = stage(seen.groupBy(*state).agg(
         *[F.sum(h.cast("long")).alias(f"_n{i}") for i, h in enumerate(here)],
         *[F.sum(F.when(h, F.col(c.reward)).otherwise(0.0)).alias(f"_s{i}")
           for i, h in enumerate(here)],
-        F.sum(F.col(c.reward) * F.col(c.reward)).alias("_ss"))
+        F.sum(F.col(c.reward) * F.col(c.reward)).alias("_ss")), "cells")
     n_all = sum((F.sum(f"_n{i}") for i in idx), F.lit(0))
     s_all = sum((F.sum(f"_s{i}") for i in idx), F.lit(0.0))
     whole = cells.agg(F.struct(
@@ -194,14 +220,16 @@ def markov_backoff(train: DataFrame, depth: int, k: float, action: str = "family
     token of its own). Depth d backs off to d-1, which drops the oldest token.
     """
     names = [f"prev{'' if d == 1 else d}_family" for d in range(1, depth + 1)]
+    cells = count_cells(train, names, action, alphabet)
     out = None
     for d in range(depth + 1):
         if d == 0:
-            t = action_counts(train, [], action, alphabet).withColumn(
+            t = roll_up(cells, [], alphabet).withColumn(
                 "probs", F.transform("counts", lambda x: x / F.col("n")))
             context = F.lit("")
         else:
-            t = eb_selection(train, [names[:j] for j in range(1, d + 1)], k, action, alphabet)
+            levels = [names[:j] for j in range(1, d + 1)]
+            t = eb_views(cells, cells.select(*names[:d]).distinct(), {"probs": levels}, k, alphabet)
             context = F.concat_ws(">", *[F.col(x) for x in reversed(names[:d])])
         rows = t.select(
             F.lit(d).alias("depth"), context.alias("context"), F.col("n").alias("n_context"),

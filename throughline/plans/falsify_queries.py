@@ -9,7 +9,7 @@ from throughline.plans.common import STUDY, Query, r6, rounded
 from throughline.plans.metric_queries import B, CLUSTER, LOSSES, boot
 from throughline.plans.oracle import digest, r6 as q6, sql, uniform
 from throughline.plans.study import (
-    STUDY_SQL, chain_sql, study_rows, train_and_held, view_losses, with_probs,
+    STUDY_SQL, chain_sql, study_rows, train_and_held, view_losses, with_views,
 )
 
 SEED = STUDY.seed
@@ -57,10 +57,8 @@ def mechanism_ablation(spark, path):
         F.coalesce(F.expr(text), F.lit("^")) for m, text in MECHANISM.items() if m != drop])
         for drop in ["none", *MECHANISM]}
     train, held = train.withColumns(keys), held.withColumns(keys)
-    losses = {}
-    for k in keys:
-        held = with_probs(held, train, [["count_state"], ["count_state", k]], f"_p_{k}")
-        losses[k] = metrics.log_loss_of(F.col(f"_p_{k}"), F.col("family"))
+    held = with_views(held, train, {f"_p_{k}": [["count_state"], ["count_state", k]] for k in keys})
+    losses = {k: metrics.log_loss_of(F.col(f"_p_{k}"), F.col("family")) for k in keys}
     wide = held.filter("pitch_number >= 2").agg(*[F.avg(v).alias(k[4:]) for k, v in losses.items()])
     return wide.unpivot([], list(wide.columns), "dropped", "log_loss").select(
         "dropped", r6("log_loss").alias("log_loss"))

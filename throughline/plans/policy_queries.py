@@ -11,7 +11,7 @@ from throughline.plans.common import STUDY, Query, r6, rounded, spread
 from throughline.plans.metric_queries import B, CLUSTER, Q_SQL, boot
 from throughline.plans.oracle import r6 as q6, sql, uniform
 from throughline.plans.study import (
-    STUDY_SQL, VIEW_LEVELS, chain_sql, study_rows, train_and_held, with_probs,
+    STUDY_SQL, VIEW_LEVELS, chain_sql, study_rows, train_and_held, with_probs, with_views,
 )
 
 K = STUDY.shrink
@@ -183,8 +183,8 @@ SPECS = {"count_pitcher": "mu", "count": "mu_count", "count_pitcher_prev": "mu_p
 
 def propensity_specs(spark, path):
     train, held = train_and_held(spark, path)
-    rows = with_probs(_targeted(train, held), train, [["count_state"]], "mu_count")
-    rows = with_probs(rows, train, VIEW_LEVELS["L1"], "mu_prev")
+    rows = with_views(_targeted(train, held), train,
+                      {"mu_count": [["count_state"]], "mu_prev": VIEW_LEVELS["L1"]})
     rows = rows.withColumn("pi", policy.mix_policy(F.col("mu"), F.col("target"), 0.5))
     return rounded(ope.propensity_specs(rows, SPECS, ["season"], STUDY.weight_cap), *EST)
 

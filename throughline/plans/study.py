@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from throughline.config import PITCH
+from throughline.config import FAMILIES, PITCH
 from throughline.operators import history
 from throughline.operators.metrics import log_loss_of
-from throughline.operators.tables import eb_lookup
+from throughline.operators.tables import count_cells, eb_views
 from throughline.plans.common import HELD_OUT, STUDY, TRAIN, table
 from throughline.plans.history_queries import MIX
 from throughline.session import stage
@@ -66,14 +66,22 @@ VIEW_LEVELS = {
 }
 
 
+def with_views(rows: DataFrame, train: DataFrame, views: dict[str, list[list[str]]],
+               k: float = STUDY.shrink, action: str = "family", alphabet=FAMILIES) -> DataFrame:
+    """Add one table model's distribution per entry of `views`.
+
+    The training rows are counted once for all of them, the chains are resolved on the distinct
+    contexts, and the rows join once.
+    """
+    keys = list(dict.fromkeys(x for levels in views.values() for x in levels[-1]))
+    cells = count_cells(train, keys, action, alphabet)
+    look = eb_views(cells, rows.select(*keys).distinct(), views, k, alphabet)
+    return rows.join(look.select(*keys, *views), keys, "left")
+
+
 def with_probs(rows: DataFrame, train: DataFrame, levels: list[list[str]], out: str,
-               k: float = STUDY.shrink, action: str = "family", alphabet=None) -> DataFrame:
-    """Add a table model's distribution. The chain is resolved on the distinct contexts, so
-    the rows themselves join once."""
-    kw = {} if alphabet is None else {"alphabet": alphabet}
-    keys = levels[-1]
-    look = eb_lookup(train, rows.select(*keys).distinct(), levels, k, action, **kw)
-    return rows.join(look.select(*keys, F.col("probs").alias(out)), keys, "left")
+               k: float = STUDY.shrink, action: str = "family", alphabet=FAMILIES) -> DataFrame:
+    return with_views(rows, train, {out: levels}, k, action, alphabet)
 
 
 def train_and_held(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -84,21 +92,26 @@ def train_and_held(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def predictions(spark: SparkSession, path: str, views=("C", "L1")) -> DataFrame:
     """Held-out rows, one copy per view, with the view's table model as forecast."""
     train, held = train_and_held(spark, path)
-    for v in views:
-        held = with_probs(held, train, VIEW_LEVELS[v], f"_p_{v}")
+    rows = with_views(held, train, {f"_p_{v}": VIEW_LEVELS[v] for v in views})
     cells = F.array(*[F.struct(F.lit(v).alias("state_view"), F.col(f"_p_{v}").alias("action_probs"))
                       for v in views])
-    kept = [c for c in held.columns if not c.startswith("_p_")]
-    return held.select(*kept, F.lit("eb_table").alias("model_id"), F.inline(cells))
+    return rows.select(*held.columns, F.lit("eb_table").alias("model_id"), F.inline(cells))
 
 
 def view_losses(spark: SparkSession, path: str) -> DataFrame:
-    """Held-out rows with one log-loss column per view."""
+    """Held-out rows with one log-loss column per view.
+
+    The loss is a function of the context and the action, so it is computed once per distinct
+    pair and the rows join five numbers, not five distributions.
+    """
     train, held = train_and_held(spark, path)
-    for v, levels in VIEW_LEVELS.items():
-        held = with_probs(held, train, levels, f"_p_{v}")
-    losses = {f"loss_{v.lower()}": log_loss_of(F.col(f"_p_{v}"), F.col("family")) for v in VIEW_LEVELS}
-    return held.withColumns(losses).drop(*[f"_p_{v}" for v in VIEW_LEVELS])
+    keys = VIEW_LEVELS["OM"][-1] + ["multiset"]
+    pairs = held.select(*keys, "family").distinct()
+    chains = {f"_p_{v}": levels for v, levels in VIEW_LEVELS.items()}
+    look = eb_views(count_cells(train, keys), pairs, chains, STUDY.shrink)
+    losses = [log_loss_of(F.col(f"_p_{v}"), F.col("family")).alias(f"loss_{v.lower()}")
+              for v in VIEW_LEVELS]
+    return held.join(look.select(*keys, "family", *losses), [*keys, "family"])
 
 
 # ---------------------------------------------------------------- SQL side
