@@ -137,7 +137,7 @@ def test_features_ignore_the_present_and_the_future(spark, sf):
     moved = moved.withColumn("description", F.when(late, F.lit("foul")).otherwise(F.col("description")))
     moved = moved.withColumn("pitch_type", F.when(late, F.lit("KN")).otherwise(F.col("pitch_type")))
     cols = ["row_id", *views.UNORDERED, *[c for c in views.ORDERED if not c.startswith("prev_vs")]]
-    a, b = (views.ordered(views.unordered(decision.decision_table(x)), 365)
+    a, b = (views.ordered(views.unordered(decision.decision_table(x)))
             .filter(F.col("pitch_number") == at).select(*cols) for x in (base, moved))
     assert a.count() > 0
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

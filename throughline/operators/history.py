@@ -76,31 +76,47 @@ def feasible_mask(mix: DataFrame, min_count: int, min_share: float,
     return mix.withColumn("feasible", F.array(*flags))
 
 
-def with_rolling(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
-    """Join an actor's mix and an opponent's tendencies as of the game's date."""
+def with_rolling(df: DataFrame, source: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
+    """Join an actor's mix and an opponent's tendencies, taken from `source`, as of the date."""
     return (
-        df.join(repertoire_mix(df, days, c), [c.actor, c.date], "left")
-        .join(batter_tend(df, days, c), [c.opponent, c.date], "left")
+        df.join(repertoire_mix(source, days, c), [c.actor, c.date], "left")
+        .join(batter_tend(source, days, c), [c.opponent, c.date], "left")
     )
 
 
 PHYSICS = ["release_speed", "pfx_x", "pfx_z"]
 
 
-def family_baseline_diff(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
-    """Previous pitch's speed and movement minus the actor's trailing mean for that action."""
+def previous_physics(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    """The lags `with_baseline` needs; a window of the game's exchange like all in-game ones."""
+    w = W.partitionBy(c.game, c.at_bat).orderBy(c.order)
+    return df.withColumns({
+        "_prev_actor": F.coalesce(F.lag(c.actor).over(w), F.col(c.actor)),
+        "_prev_action": F.lag(c.action).over(w),
+        **{f"_prev_{p}": F.lag(p).over(w) for p in PHYSICS},
+    })
+
+
+def with_baseline(df: DataFrame, source: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
+    """Join the trailing mean of the previous decision's actor and action, taken from `source`."""
     sums = {}
     for p in PHYSICS:
         sums[f"_n_{p}"] = _flag(F.col(p).isNotNull())
         sums[f"_s_{p}"] = F.coalesce(F.col(p), F.lit(0.0))
-    base = trailing(df, [c.actor, c.action], sums, days, c)
-    base = base.select(c.actor, c.action, c.date,
-                       *[F.try_divide(f"_s_{p}", f"_n_{p}").alias(f"_base_{p}") for p in PHYSICS])
-    w = W.partitionBy(c.game, c.at_bat).orderBy(c.order)
-    joined = df.join(base, [c.actor, c.action, c.date], "left")
+    base = trailing(source, [c.actor, c.action], sums, days, c)
+    base = base.select(
+        F.col(c.actor).alias("_prev_actor"), F.col(c.action).alias("_prev_action"), c.date,
+        *[F.try_divide(f"_s_{p}", f"_n_{p}").alias(f"_base_{p}") for p in PHYSICS])
+    joined = df.join(base, ["_prev_actor", "_prev_action", c.date], "left")
     return joined.withColumns({
-        f"prev_vs_base_{p}": F.lag(F.col(p) - F.col(f"_base_{p}")).over(w) for p in PHYSICS
-    }).drop(*[f"_base_{p}" for p in PHYSICS])
+        f"prev_vs_base_{p}": F.col(f"_prev_{p}") - F.col(f"_base_{p}") for p in PHYSICS
+    }).drop("_prev_actor", "_prev_action",
+            *[f"_base_{p}" for p in PHYSICS], *[f"_prev_{p}" for p in PHYSICS])
+
+
+def family_baseline_diff(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
+    """Previous decision's speed and movement minus its actor's trailing mean for that action."""
+    return with_baseline(previous_physics(df, c), df, days, c)
 
 
 TOKEN = ["pitch_number", "family", "pitch_type", "plate_x_br", "plate_z_norm", "release_speed",
@@ -222,16 +238,20 @@ def pitcher_vs_hand(df: DataFrame, c: Cols = PITCH) -> DataFrame:
     }, None, c)
 
 
-def matchup_memory(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    """All buckets of earlier results next to each decision."""
+def with_meetings(df: DataFrame, source: DataFrame, c: Cols = PITCH) -> DataFrame:
+    """Join the cross-game buckets, taken from `source`, as of the game's date."""
     return (
-        matchup_game(df, c)
-        .join(matchup_meetings(df, c), [c.actor, c.opponent, c.date], "left")
-        .join(batter_vs_family(df, c), [c.opponent, c.date], "left")
-        .join(pitcher_vs_hand(df, c), [c.actor, "stand", c.date], "left")
+        df.join(matchup_meetings(source, c), [c.actor, c.opponent, c.date], "left")
+        .join(batter_vs_family(source, c), [c.opponent, c.date], "left")
+        .join(pitcher_vs_hand(source, c), [c.actor, "stand", c.date], "left")
     )
 
 
+def matchup_memory(df: DataFrame, c: Cols = PITCH) -> DataFrame:
+    """All buckets of earlier results next to each decision."""
+    return with_meetings(matchup_game(df, c), df, c)
+
+
 def pooled_matchup(df: DataFrame, k: float) -> DataFrame:
     """Pair results shrunk to the opponent's and the actor's own means.
 

@@ -221,40 +221,52 @@ def ablation_delta(losses: DataFrame, by: list[str]) -> DataFrame:
 
 def bootstrap(df: DataFrame, cluster: list[str], sums: dict[str, Column], by: list[str],
               replicates: int, seed: int) -> DataFrame:
-    """Poisson bootstrap over clusters: weighted sums per replicate.
+    """Poisson bootstrap over clusters: weighted sums per replicate, replicate 0 unweighted.
 
     Rows are first summed to one row per cluster. Each then draws a weight per replicate from a
     hash of its key; the copies are reduced in the same task before any shuffle, so what moves
     is one row per task, group and replicate.
     """
     per_cluster = df.groupBy(*by, *cluster).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    draw = per_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draw = per_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     lane = (F.col("replicate") % 4).cast("int")
     u = hashing.uniform(seed, *cluster, F.floor(F.col("replicate") / 4), lane=lane)
-    weight = hashing.poisson_one(u)
+    draw = draw.withColumn("_u", u)  # a column of its own: one digest, not one per cut point
+    weight = F.when(F.col("replicate") == 0, F.lit(1)).otherwise(hashing.poisson_one(F.col("_u")))
     return draw.withColumn("_w", weight).groupBy(*by, "replicate").agg(
         *[F.sum(F.col("_w") * F.col(k)).alias(k) for k in sums])
 
 
+def drawn(value: str) -> Column:
+    """The value in the random replicates only."""
+    return F.when(F.col("replicate") > 0, F.col(value))
+
+
+def observed(value: str) -> Column:
+    return F.max(F.when(F.col("replicate") == 0, F.col(value)))
+
+
 def interval(reps: DataFrame, by: list[str], value: str, lo: float = 0.025,
              hi: float = 0.975) -> DataFrame:
+    """Observed value and percentile bounds over the replicates."""
     return reps.groupBy(*by).agg(
-        F.percentile(value, lo).alias("lo"), F.percentile(value, hi).alias("hi"))
+        observed(value).alias("value"), F.percentile(drawn(value), lo).alias("lo"),
+        F.percentile(drawn(value), hi).alias("hi"))
 
 
 def delta_intervals(losses: DataFrame, cluster: list[str], by: list[str], replicates: int,
                     seed: int) -> DataFrame:
-    """Bootstrap interval of the order and matchup gains."""
+    """Order and matchup gains with their bootstrap intervals."""
     sums = {"n": F.lit(1.0), **{f"s_{v}": F.col(f"loss_{v}") for v in ("u", "l1", "o", "om")}}
     reps = bootstrap(losses, cluster, sums, by, replicates, seed)
     rows = reps.filter(F.col("n") > 0).withColumns({
-        "d_order": (F.least("s_u", "s_l1") - F.col("s_o")) / F.col("n"),
-        "d_matchup": (F.col("s_o") - F.col("s_om")) / F.col("n"),
+        "order": (F.least("s_u", "s_l1") - F.col("s_o")) / F.col("n"),
+        "matchup": (F.col("s_o") - F.col("s_om")) / F.col("n"),
     })
-    return rows.groupBy(*by).agg(
-        F.percentile("d_order", 0.025).alias("order_lo"), F.percentile("d_order", 0.975).alias("order_hi"),
-        F.percentile("d_matchup", 0.025).alias("matchup_lo"),
-        F.percentile("d_matchup", 0.975).alias("matchup_hi"))
+    return rows.groupBy(*by).agg(*[
+        x for d in ("order", "matchup") for x in (
+            observed(d).alias(f"delta_{d}"), F.percentile(drawn(d), 0.025).alias(f"{d}_lo"),
+            F.percentile(drawn(d), 0.975).alias(f"{d}_hi"))])
 
 
 def compute_frontier(models: DataFrame, value: str, cost: str, key: str = "model_id") -> DataFrame:
@@ -276,12 +288,7 @@ def harness(pred: DataFrame, replicates: int, seed: int, cluster: list[str],
     rows = decision.with_slices(scored(pred, action))
     means = {"log_loss": F.col("loss"), "brier": F.col("brier"),
              "top1": (F.col("rank") <= 1).cast("double"), "top2": (F.col("rank") <= 2).cast("double")}
-    names = list(means)
-    points = rows.groupBy(*by).agg(*[F.avg(v).alias(k) for k, v in means.items()])
     reps = bootstrap(rows, cluster, {"_n": F.lit(1.0), **means}, by, replicates, seed)
-    reps = reps.filter(F.col("_n") > 0)
-    long_reps = reps.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(k).alias("metric"), (F.col(k) / F.col("_n")).alias("_v")) for k in names])))
-    bounds = interval(long_reps, [*by, "metric"], "_v")
-    long_points = points.unpivot(by, names, "metric", "value")
-    return long_points.join(bounds, [*by, "metric"])
+    long = reps.filter(F.col("_n") > 0).select(*by, "replicate", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("metric"), (F.col(k) / F.col("_n")).alias("_v")) for k in means])))
+    return interval(long, [*by, "metric"], "_v")

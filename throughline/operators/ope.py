@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from throughline.config import FAMILIES, PITCH, Cols
 from throughline.functions import hashing
 from throughline.functions.arrays import dot, entropy_ratio, prob_of, total, variation
-from throughline.operators.metrics import bootstrap
+from throughline.operators.metrics import bootstrap, drawn, observed
 
 
 def clip_weights(w: Column, cap: float | None) -> Column:
@@ -85,7 +85,7 @@ def fqe_value(starts: DataFrame, q: DataFrame, by: list[str],
 
 
 def ope_diagnostics(rows: DataFrame, by: list[str], floor: float, rare: float,
-                    accuracy: int = 1_000_000) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """Effective sample size, weight tail, support."""
     pairs = F.arrays_zip(F.col("pi"), F.col("mu"))
     outside = F.exists(pairs, lambda z: (z["pi"] > 0) & (z["mu"] < F.lit(floor)))
@@ -111,10 +111,9 @@ def value_interval(rows: DataFrame, by: list[str], cluster: list[str], replicate
     term = _terms(c.reward)["dr"]
     reps = bootstrap(rows, cluster, {"_n": F.lit(1.0), "_s": term}, by, replicates, seed)
     reps = reps.filter(F.col("_n") > 0).withColumn("_v", F.col("_s") / F.col("_n"))
-    bounds = reps.groupBy(*by).agg(
-        F.percentile("_v", 0.05).alias("lower_95"), F.percentile("_v", 0.025).alias("lo"),
-        F.percentile("_v", 0.975).alias("hi"))
-    return rows.groupBy(*by).agg(F.avg(term).alias("value")).join(bounds, by)
+    return reps.groupBy(*by).agg(
+        observed("_v").alias("value"), F.percentile(drawn("_v"), 0.05).alias("lower_95"),
+        F.percentile(drawn("_v"), 0.025).alias("lo"), F.percentile(drawn("_v"), 0.975).alias("hi"))
 
 
 def agreement_verdict(table: DataFrame, tolerance: float, names=("dm", "dr", "fqe"),

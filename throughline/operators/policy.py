@@ -69,11 +69,11 @@ def _steps(trans: DataFrame) -> DataFrame:
 
 
 def _backward(steps: DataFrame, horizon: int, choose: Column, by: list[str],
-              every: int = 3) -> tuple[DataFrame, DataFrame]:
+              every: int = 10) -> tuple[DataFrame, DataFrame]:
     """Value iteration over the tables: Q then V, `horizon` times, from V = 0.
 
     Works on distinct (state, action, next state), so each round moves a few rows however long
-    the log is. Lineage is cut to the shared checkpoint folder every few rounds.
+    the log is. Lineage is cut to the shared checkpoint folder every ten rounds.
     """
     cell = [*by, "state", "action", "r", "mu", "pi"]
     value = None

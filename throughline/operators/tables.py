@@ -245,15 +245,21 @@ def markov_backoff(train: DataFrame, depth: int, k: float, action: str = "family
 
 def order_patterns(df: DataFrame, n: int, action: str = "family",
                    order: str = "pitch_number") -> DataFrame:
-    """Ordered n-grams against what independent draws from the overall shares would give."""
+    """Ordered n-grams against what independent draws from the overall shares would give.
+
+    One written count table serves the n-grams, their total and the overall shares.
+    """
     names = [f"prev{'' if d == 1 else d}_family" for d in range(n - 1, 0, -1)] + [action]
-    grams = (df.filter(F.col(order) >= n).groupBy(*names).agg(F.count("*").alias("n")))
+    whole = (F.col(order) >= n).alias("_whole")
+    cells = stage(df.groupBy(*names, whole).agg(F.count("*").alias("n")), "cells")
+    grams = cells.filter("_whole")
     total = grams.agg(F.sum("n")).scalar()
-    size = df.agg(F.count("*")).scalar()
-    margin = df.groupBy(F.col(action).alias("_a")).agg((F.count("*") / size).alias("_share"))
-    shares = margin.agg(F.map_from_entries(F.collect_list(F.struct("_a", "_share")))).scalar()
+    margin = cells.groupBy(F.col(action).alias("_a")).agg(F.sum("n").alias("_n"))
+    # one entry per action of the alphabet
+    counts = margin.agg(F.map_from_entries(F.collect_list(F.struct("_a", "_n")))).scalar()
+    size = cells.agg(F.sum("n")).scalar()
     expected = total.cast("double")
     for x in names:
-        expected = expected * F.element_at(shares, F.col(x))
+        expected = expected * (F.element_at(counts, F.col(x)) / size)
     return grams.select(F.concat_ws(">", *names).alias("pattern"), "n",
                         expected.alias("expected"), (F.col("n") / expected).alias("lift"))

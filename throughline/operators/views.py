@@ -61,7 +61,7 @@ def unordered(df: DataFrame, c: Cols = PITCH) -> DataFrame:
     })
 
 
-def ordered(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
+def ordered(df: DataFrame, c: Cols = PITCH) -> DataFrame:
     """Lags, contrasts of the last two decisions, and the whole order as text."""
     w = W.partitionBy(c.game, c.at_bat).orderBy(c.order)
     df = history.previous_pitch(df, c=c)
@@ -72,24 +72,31 @@ def ordered(df: DataFrame, days: int, c: Cols = PITCH) -> DataFrame:
     df = df.drop("d_velo", "d_move", "d_release", "d_plate")
     text = F.array_join(F.transform("history", lambda t: t[c.action]), ">")
     df = history.pa_history(df, [c.action], c).withColumn("history_text", text).drop("history")
-    return history.family_baseline_diff(df, days, c)
+    return history.previous_physics(df, c)
 
 
 ALL = ("C", "U", "L1", "O", "OM")
 
 
 def wide_table(decisions: DataFrame, study: Study, names=ALL, c: Cols = PITCH) -> DataFrame:
-    """The columns of the named views next to the labels; a view is a projection of it."""
+    """The columns of the named views next to the labels; a view is a projection of it.
+
+    All in-game windows come first and share the log's one exchange by game. The joins with
+    entity-day tables follow; those tables derive from the plain decisions.
+    """
     df = decisions
     if "U" in names:
         df = unordered(df, c)
     if "O" in names or "OM" in names:
-        df = ordered(df, study.window_days, c)
+        df = ordered(df, c)
     elif "L1" in names:
         df = history.previous_pitch(df, c=c)
     if "OM" in names:
-        df = history.pooled_matchup(history.matchup_memory(df, c), study.shrink)
-    return history.with_rolling(df, study.window_days, c)
+        df = history.matchup_game(df, c)
+        df = history.pooled_matchup(history.with_meetings(df, decisions, c), study.shrink)
+    if "O" in names or "OM" in names:
+        df = history.with_baseline(df, decisions, study.window_days, c)
+    return history.with_rolling(df, decisions, study.window_days, c)
 
 
 _COLUMNS = {

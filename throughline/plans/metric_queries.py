@@ -138,13 +138,13 @@ def cluster_bootstrap(spark, path):
                                  ["state_view"], B, STUDY.seed)
         reps = reps.filter("n > 0").withColumn("v", F.col("s") / F.col("n"))
         parts.append(metrics.interval(reps, ["state_view"], "v").withColumn("cluster", F.lit(name)))
-    return rounded(parts[0].unionByName(parts[1]), "lo", "hi")
+    return rounded(parts[0].unionByName(parts[1]), "value", "lo", "hi")
 
 
 def delta_intervals(spark, path):
     t = metrics.delta_intervals(decision.with_slices(view_losses(spark, path)), CLUSTER, ["slice"],
                                 B, STUDY.seed)
-    return rounded(t, "order_lo", "order_hi", "matchup_lo", "matchup_hi")
+    return rounded(t, "delta_order", "order_lo", "order_hi", "delta_matchup", "matchup_lo", "matchup_hi")
 
 
 def validate_predictions(spark, path):
@@ -280,15 +280,17 @@ SELECT slice, count(*) AS n, {', '.join(f"{q6(f'avg(loss_{v.lower()})')} AS loss
   {q6('least(avg(loss_u), avg(loss_l1)) - avg(loss_o)')} AS delta_order, {q6('avg(loss_o) - avg(loss_om)')} AS delta_matchup
 FROM sl GROUP BY 1""", *LOSSES)),
     "cluster_bootstrap": Query(cluster_bootstrap, sql(" UNION ALL ".join(
-        f"SELECT state_view, {q6('quantile_cont(s/n, 0.025)')} AS lo, {q6('quantile_cont(s/n, 0.975)')} AS hi, '{name}' AS cluster "
-        f"FROM ({boot('scored', ['state_view'], cl, {'n': '1.0::DOUBLE', 's': 'loss'})}) WHERE n>0 GROUP BY 1"
+        f"SELECT state_view, (SELECT {q6('avg(loss)')} FROM scored o WHERE o.state_view=x.state_view) AS value, {q6('quantile_cont(s/n, 0.025)')} AS lo, {q6('quantile_cont(s/n, 0.975)')} AS hi, '{name}' AS cluster "
+        f"FROM ({boot('scored', ['state_view'], cl, {'n': '1.0::DOUBLE', 's': 'loss'})}) x WHERE n>0 GROUP BY 1"
         for name, cl in (("pitcher_game", CLUSTER), ("pitcher", ["pitcher"]))), *PRED)),
     "delta_intervals": Query(delta_intervals, sql(f"""
 SELECT slice, {q6('quantile_cont(d, 0.025)')} AS order_lo, {q6('quantile_cont(d, 0.975)')} AS order_hi,
-  {q6('quantile_cont(e, 0.025)')} AS matchup_lo, {q6('quantile_cont(e, 0.975)')} AS matchup_hi
+  {q6('quantile_cont(e, 0.025)')} AS matchup_lo, {q6('quantile_cont(e, 0.975)')} AS matchup_hi,
+  any_value(delta_order) AS delta_order, any_value(delta_matchup) AS delta_matchup
 FROM (SELECT slice, (least(s_u, s_l1) - s_o)/n AS d, (s_o - s_om)/n AS e FROM (
   {boot('sl', ['slice'], CLUSTER, {'n': '1.0::DOUBLE', 's_u': 'loss_u', 's_l1': 'loss_l1', 's_o': 'loss_o', 's_om': 'loss_om'})}) WHERE n>0)
-GROUP BY 1""", *LOSSES)),
+JOIN (SELECT slice, {q6('least(avg(loss_u), avg(loss_l1)) - avg(loss_o)')} AS delta_order, {q6('avg(loss_o) - avg(loss_om)')} AS delta_matchup
+  FROM sl GROUP BY 1) USING (slice) GROUP BY 1""", *LOSSES)),
     "validate_predictions": Query(validate_predictions, sql(
         "SELECT 2*count(*) AS n_rows, 0::BIGINT AS n_duplicated, 0::BIGINT AS n_bad_action_probs, 0::BIGINT AS n_bad_policy_probs FROM dec WHERE season>=2000")),
     "harness": Query(harness, _harness_sql()),

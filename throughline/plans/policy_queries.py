@@ -112,7 +112,8 @@ def fqe_value(spark, path):
 
 
 def ope_diagnostics(spark, path):
-    t = ope.ope_diagnostics(_logged(spark, path, cap=None), ALPHA, STUDY.support_floor, STUDY.rare_floor)
+    t = ope.ope_diagnostics(_logged(spark, path, cap=None), ALPHA, STUDY.support_floor, STUDY.rare_floor,
+                            100_000)
     return rounded(t, "ess", "max_weight", "q99_weight", "oos_support_frac", "rare_action_frac")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -57,11 +57,11 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` as parquet in the shared folder and return the written table.
 
     For rows that several later branches read: they are computed once, a lost executor
-    costs a re-read, and readers still get column pruning and pushed filters.
+    costs a re-read, and readers still get column pruning and pushed filters. With partition
+    columns the rows are rebalanced by them first, which keeps the number of files in line
+    with the bytes instead of tasks times partitions.
     """
     path = scratch(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    rows = df.hint("rebalance", *[F.col(p) for p in partition_by]) if partition_by else df
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

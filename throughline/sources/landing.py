@@ -59,39 +59,38 @@ def landed(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(root).select("season").distinct()
 
 
-def _write(df: DataFrame, root: str, files_per_season: int, c: Cols) -> None:
-    """Each season is spread over several files by game, so a hot season is no single
-    writer's work; rows in a file are sorted by the natural key for min/max pruning."""
-    salt = F.pmod(F.xxhash64(c.game), F.lit(files_per_season))
+def _write(df: DataFrame, root: str, c: Cols) -> None:
+    """Rebalanced by season: adaptive execution splits a large season over as many writers as
+    its bytes need and merges small ones. Rows in a file are sorted by the natural key, so
+    min/max statistics prune."""
     (
-        df.repartition(c.season, salt).sortWithinPartitions(c.season, *c.key)
+        df.hint("rebalance", F.col(c.season)).sortWithinPartitions(c.season, *c.key)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(c.season).parquet(root)
     )
 
 
-def land_log(df: DataFrame, root: str, files_per_season: int = 8, c: Cols = PITCH) -> None:
+def land_log(df: DataFrame, root: str, c: Cols = PITCH) -> None:
     """Write the seasons that are not there yet; seasons already landed stay untouched."""
     there = landed(df.sparkSession, root)
     if there is not None:
         df = df.join(F.broadcast(there), c.season, "left_anti")  # a handful of years
-    _write(df, root, files_per_season, c)
+    _write(df, root, c)
 
 
-def land_season(df: DataFrame, root: str, season: int, files_per_season: int = 8,
-                c: Cols = PITCH) -> bool:
+def land_season(df: DataFrame, root: str, season: int, c: Cols = PITCH) -> bool:
     """Land one season; False if it was already there."""
     there = landed(df.sparkSession, root)
     if there is not None and not there.filter(F.col("season") == season).isEmpty():
         return False
     one = df if c.season in df.columns else df.withColumn(c.season, F.year(c.date))
-    _write(one.filter(F.col(c.season) == season), root, files_per_season, c)
+    _write(one.filter(F.col(c.season) == season), root, c)
     return True
 
 
 def combined_table(df: DataFrame, root: str, c: Cols = PITCH) -> DataFrame:
     """All seasons in one table, sorted within files by the natural key."""
-    _write(df if c.season in df.columns else df.withColumn(c.season, F.year(c.date)), root, 8, c)
+    _write(df if c.season in df.columns else df.withColumn(c.season, F.year(c.date)), root, c)
     return load_landed(df.sparkSession, root)
 
 
