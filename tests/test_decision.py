@@ -175,3 +175,39 @@ def test_sequence_array_pads_left(spark):
     got = history.sequence_array(table(spark, pa(1, ["FF", "SL", "CH"])), 2).orderBy("row_id").collect()
     assert [r.seq for r in got] == [[0, 0], [0, 1], [1, 4]]
     assert [r.seq_mask for r in got] == [[0, 0], [0, 1], [1, 1]]
+
+
+def test_chunked_lags_equal_plain_lags(spark, sf):
+    """One user holds a third of all events and most of one day: chunks carry over correctly."""
+    from pyspark.sql import Window as W
+
+    from throughline.sources.adapter import user_event_log
+    base = user_event_log(spark, sf)
+    hot = base.withColumns({
+        "user_id": F.when(F.col("event_id") % 3 == 0, F.lit(1)).otherwise(F.col("user_id")),
+        "day": F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("day"))})
+    hot = hot.withColumn("chunk", (F.col("event_id") / 7).cast("int"))
+    w = W.partitionBy("user_id", "day").orderBy("chunk", "event_id")
+    want = hot.select("event_id", F.row_number().over(w).alias("seq"),
+                      *[F.coalesce(F.lag("event_type", d).over(w), F.lit("^")).alias(n)
+                        for d, n in ((1, "prev_family"), (2, "prev2_family"), (3, "prev3_family"))])
+    got = history.chunked_lags(hot, ["user_id", "day"], "chunk", ["event_id"], "event_type", 3, "^")
+    got = got.select(*want.columns)
+    assert want.groupBy().max("seq").first()[0] > 50
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_one_hot_pitcher(spark):
+    """A third of all rows from one pitcher and batter: trailing sums stay exact and whole."""
+    rows = []
+    for g in range(30):
+        hot = g % 3 == 0
+        rows += pa(1, ["FF", "SL", "FF"], game_pk=g, pitcher=99 if hot else 100 + g,
+                   batter=98 if hot else 200 + g, game_date=DAY + dt.timedelta(g), delta_run_exp=-0.1)
+    t = table(spark, rows)
+    mem = history.matchup_memory(t)
+    assert mem.count() == 90
+    last = mem.filter("game_pk = 27").first()
+    assert last.ms_n == 27 and last.ph_n == 27
+    mix = {r.game_date: r.hist_n for r in history.repertoire_mix(t, 365).filter("pitcher = 99").collect()}
+    assert mix[DAY + dt.timedelta(27)] == 27

@@ -145,6 +145,43 @@ def previous_pitch(df: DataFrame, fields: list[str] | None = None, depth: int =
     return df.withColumns(out)
 
 
+def chunked_lags(df: DataFrame, episode: list[str], chunk: str, order: list[str], field: str,
+                 depth: int, start: str | None = None) -> DataFrame:
+    """`seq` and the last `depth` values of `field` where an episode may be of any length.
+
+    A pitch log bounds its episodes by the key; another log may have one actor fill an episode
+    with a third of all rows. Windows then run inside (episode, chunk), where `chunk` is a time
+    step in order, and only each chunk's size and last `depth` values cross to the next, by a
+    window over chunks. `start` stands for "before the episode".
+    """
+    w = W.partitionBy(*episode, chunk).orderBy(*order)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    inner = df.withColumns({
+        "_r": F.row_number().over(w), "_n": F.count("*").over(whole),
+        **{f"_lag{d}": F.lag(field, d).over(w) for d in range(1, depth + 1)}})
+    tails = inner.filter(F.col("_n") - F.col("_r") < depth).groupBy(*episode, chunk).agg(
+        F.max("_n").alias("_size"),
+        F.sort_array(F.collect_list(F.struct("_r", F.col(field).alias("v")))).alias("_tail"))
+    over = W.partitionBy(*episode).orderBy(chunk)
+    none = F.array().cast("array<string>")
+    last = [F.coalesce(F.transform(F.lag("_tail", d).over(over), lambda t: t["v"].cast("string")), none)
+            for d in range(depth, 0, -1)]
+    carried = tails.select(
+        *episode, chunk,
+        F.coalesce(F.sum("_size").over(over.rowsBetween(W.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_offset"),
+        F.concat(*last).alias("_before"))
+    joined = inner.join(carried, [*episode, chunk])
+    out = {"seq": (F.col("_offset") + F.col("_r")).cast("int")}
+    for d in range(1, depth + 1):
+        back = F.col("_r") - d - 1  # -1 is the last value before this chunk
+        earlier = F.when(back < 0, F.try_element_at("_before", back.cast("int")))
+        value = F.coalesce(F.col(f"_lag{d}").cast("string"), earlier)
+        out[f"prev{'' if d == 1 else d}_family"] = F.coalesce(value, F.lit(start)) if start else value
+    return joined.withColumns(out).drop(
+        "_r", "_n", "_offset", "_before", *[f"_lag{d}" for d in range(1, depth + 1)])
+
+
 def sequence_array(df: DataFrame, length: int, c: Cols = PITCH, alphabet=FAMILIES) -> DataFrame:
     """History as fixed-length arrays for sequence models: `seq` holds action places (1-based,
     0 is padding) right-aligned, `seq_speed` the speeds, `seq_mask` what is real."""

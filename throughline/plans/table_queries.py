@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
-
 from throughline.config import EVENT_TYPES, FAMILIES
-from throughline.operators import tables
+from throughline.operators import history, tables
 from throughline.plans.common import STUDY, Query, rounded, spread
 from throughline.plans.oracle import r6 as q6, sql
 from throughline.plans.study import START, STUDY_SQL, chain_sql, train_and_held
@@ -74,10 +72,8 @@ def order_patterns(spark, path):
 
 def _events(spark, path):
     """The user-event log with the same context columns as the pitch rows."""
-    w = W.partitionBy("user_id", "day").orderBy("seq")
-    return user_event_log(spark, path).withColumns({
-        f"prev{'' if d == 1 else d}_family": F.coalesce(F.lag("event_type", d).over(w), F.lit(START))
-        for d in (1, 2)})
+    return history.chunked_lags(user_event_log(spark, path), ["user_id", "day"], "minute",
+                                ["ts", "event_id"], "event_type", 2, START)
 
 
 def events_first_order(spark, path):

@@ -124,15 +124,13 @@ def pitch_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def user_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """`events` as a second decision log: a user's day is the episode."""
+    """`events` as a second decision log: a user's day is the episode, `minute` its time step."""
     e = spark.read.parquet(f"{path}/events.parquet").select(
         "event_id", "ts", "user_id", "event_type", "value")
     day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    return (
-        e.withColumn("day", day)
-        .withColumn("user_day", F.col("user_id") * 1000 + F.col("day"))
-        .withColumn("seq", F.row_number().over(
-            W.partitionBy("user_id", "day").orderBy("ts", "event_id")))
-        .withColumn("value", F.col("value").cast("double"))
-        .drop("ts")
-    )
+    return e.withColumns({
+        "day": day,
+        "user_day": F.col("user_id") * 1000 + day,
+        "minute": F.hour("ts") * 60 + F.minute("ts"),
+        "value": F.col("value").cast("double"),
+    })
