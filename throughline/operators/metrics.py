@@ -279,10 +279,11 @@ def compute_frontier(models: DataFrame, value: str, cost: str, key: str = "model
 
 
 def harness(pred: DataFrame, replicates: int, seed: int, cluster: list[str],
-            action: str = "family") -> DataFrame:
+            action: str = "family", actor: str = "pitcher") -> DataFrame:
     """The whole battery for one prediction table, long: one row per slice and metric.
 
-    Needs the columns of the decision rows beside the predictions.
+    Means over rows come with clustered intervals; macro F1 and the actors' equal-weight loss
+    are points. Needs the columns of the decision rows beside the predictions.
     """
     by = ["model_id", "state_view", "slice"]
     rows = decision.with_slices(scored(pred, action))
@@ -291,4 +292,12 @@ def harness(pred: DataFrame, replicates: int, seed: int, cluster: list[str],
     reps = bootstrap(rows, cluster, {"_n": F.lit(1.0), **means}, by, replicates, seed)
     long = reps.filter(F.col("_n") > 0).select(*by, "replicate", F.inline(F.array(*[
         F.struct(F.lit(k).alias("metric"), (F.col(k) / F.col("_n")).alias("_v")) for k in means])))
-    return interval(long, [*by, "metric"], "_v")
+    out = interval(long, [*by, "metric"], "_v")
+    empty = F.lit(None).cast("double")
+    for name, point in (
+        ("macro_f1", macro_f1(rows, by, action).withColumnRenamed("macro_f1", "value")),
+        ("macro_log_loss", macro_micro(rows, by, "loss", actor).withColumnRenamed("macro", "value")),
+    ):
+        out = out.unionByName(point.select(
+            *by, F.lit(name).alias("metric"), "value", empty.alias("lo"), empty.alias("hi")))
+    return out

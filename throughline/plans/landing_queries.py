@@ -67,6 +67,14 @@ def landed_seasons(spark, path):
     )
 
 
+def landing_summary(spark, path):
+    """Rows and columns per landed season and in total; every season's files hold bytes."""
+    root = scratch(spark, "landed")
+    landing.combined_table(pitch_log(spark, path), root)
+    t = landing.landing_summary(spark, root)
+    return t.select("season", "rows", "cols", (F.col("bytes") > 0).alias("has_bytes"))
+
+
 def assert_key(spark, path):
     return decision.key_report(pitch_log(spark, path))
 
@@ -139,6 +147,8 @@ QUERIES = {
     "landed_seasons": Query(landed_seasons, sql(
         f"SELECT season, count(*) AS n_rows, count(DISTINCT game_pk) AS n_games, "
         f"{q6('sum(delta_run_exp)')} AS sum_dre FROM dec GROUP BY 1")),
+    "landing_summary": Query(landing_summary, sql(
+        "SELECT season, count(*) AS \"rows\", CAST(43 AS INT) AS cols, true AS has_bytes FROM dec GROUP BY ROLLUP (season)")),
     "assert_key": Query(assert_key, sql("""
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_null,
   count(*) FILTER (n > 1) AS n_duplicated,

@@ -232,6 +232,12 @@ def _harness_sql() -> str:
              f"{q6(f'quantile_cont(m_{k}/n, 0.025)')} AS lo, {q6(f'quantile_cont(m_{k}/n, 0.975)')} AS hi "
              f"FROM hr JOIN (SELECT state_view, slice, avg({v}) AS v FROM hs GROUP BY 1,2) USING (state_view, slice) WHERE n>0 GROUP BY state_view, slice"
              for k, v in pts.items()]
+    parts.append(f"""SELECT 'eb_table', state_view, slice, 'macro_f1', {q6('avg(2*h/(t+g))')}, NULL, NULL FROM (
+  SELECT state_view, slice, cls, sum(t) AS t, sum(g) AS g, sum(h) AS h FROM (
+    SELECT state_view, slice, family AS cls, 1 AS t, 0 AS g, (family=guess)::INT AS h FROM hs
+    UNION ALL SELECT state_view, slice, guess, 0, 1, 0 FROM hs) GROUP BY 1,2,3) GROUP BY 2,3""")
+    parts.append(f"""SELECT 'eb_table', state_view, slice, 'macro_log_loss', {q6('avg(l)')}, NULL, NULL FROM (
+  SELECT state_view, slice, pitcher, avg(loss) AS l FROM hs GROUP BY 1,2,3) GROUP BY 2,3""")
     return sql(" UNION ALL ".join(parts), *PRED, f"hs AS ({sliced('scored')})", f"hr AS ({reps})")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from throughline.config import EVENT_TYPES, FAMILIES
-from throughline.operators import history, tables
-from throughline.plans.common import STUDY, Query, rounded, spread
+from pyspark.sql import Window as W, functions as F
+
+from throughline.config import EVENT_TYPES, FAMILIES, FAMILY_CODES
+from throughline.operators import decision, history, tables
+from throughline.plans.common import STUDY, TRAIN, Query, rounded, spread, table
 from throughline.plans.oracle import r6 as q6, sql
 from throughline.plans.study import START, STUDY_SQL, chain_sql, train_and_held
 from throughline.sources.adapter import user_event_log
@@ -89,6 +91,18 @@ def events_order_patterns(spark, path):
     return rounded(tables.order_patterns(_events(spark, path), 3, "event_type", "seq"), "expected", "lift")
 
 
+# The exact codes as alphabet: the second benchmark beside the families.
+CODES = [x for codes in FAMILY_CODES.values() for x in codes] + ["null", "ZZ"]
+
+
+def pitch_type_first_order(spark, path):
+    w = W.partitionBy("game_pk", "at_bat_number").orderBy("pitch_number")
+    df = decision.action_column(table(spark, path), "pitch_type")
+    df = df.withColumn("prev_family", F.coalesce(F.lag("action").over(w), F.lit(START)))
+    t = tables.first_order(df.filter(TRAIN), K, "action", CODES)
+    return t.select("prev_family", "n", *spread("probs", "p", CODES))
+
+
 # ---------------------------------------------------------------- SQL side
 
 def wide_sql(src: str, keys: list[str], names=FAMILIES, p: str = "p") -> str:
@@ -178,6 +192,12 @@ QUERIES = {
     "first_order": Query(first_order, sql(
         wide_sql("fo", ["prev_family"]), STUDY_SQL, "tr2 AS (SELECT * FROM train WHERE pitch_number>=2)",
         chain_sql("fo", [["prev_family"]], K, "tr2", "tr2"))),
+    "pitch_type_first_order": Query(pitch_type_first_order, sql(
+        wide_sql("pt", ["prev_family"], CODES),
+        f"codes(fi, fam) AS (VALUES {', '.join(f'({i}, {chr(39)}{x}{chr(39)})' for i, x in enumerate(CODES, 1))})",
+        "pta AS (SELECT season, pa_id, pitch_number, coalesce(pitch_type,'null') AS act FROM dec)",
+        f"ptt AS (SELECT * FROM (SELECT *, coalesce(lag(act) OVER (PARTITION BY pa_id ORDER BY pitch_number), '^') AS prev_family FROM pta) WHERE {TRAIN})",
+        chain_sql("pt", [["prev_family"]], K, "ptt", "ptt", "act", "codes"))),
     "pitcher_count_prev": Query(pitcher_count_prev, sql(
         wide_sql("e4", ["pitcher", "count_state", "prev_family"]), STUDY_SQL, E4)),
     "eb_selection": Query(eb_selection, sql(
