@@ -34,6 +34,10 @@ def test_season_files_with_drifting_types_stack(spark):
     assert both.count() == 6
     assert dict(both.dtypes)["balls"] == "int" and dict(both.dtypes)["game_date"] == "date"
     assert both.filter("sz_top IS NULL").count() == 3
+    by_glob = landing.load_log(spark, a + "/*.parquet")
+    assert by_glob.count() == 3 and by_glob.columns == landing.conform(one).columns
+    with pytest.raises(FileNotFoundError):
+        landing.load_log(spark, [])
 
 
 def test_landing_is_resumable(spark):
@@ -47,7 +51,8 @@ def test_landing_is_resumable(spark):
     changed = decision.season(df).withColumn("pitch_type", F.lit("KN"))
     landing.land_log(changed, root)  # both seasons are there: nothing may change
     assert landing.load_landed(spark, root).filter("pitch_type = 'KN'").count() == 0
-    summary = {r.season: r for r in landing.landing_summary(spark, root).collect()}
+    summary = {r.season: r for r in landing.landing_summary(spark, root, [2021, 2023]).collect()}
+    assert summary[2023].rows == 0
     assert summary[2021].rows == 2 and summary[None].rows == 3 and summary[None].bytes > 0
 
 

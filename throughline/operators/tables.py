@@ -61,7 +61,8 @@ def eb_views(cells: DataFrame, contexts: DataFrame, views: dict[str, list[list[s
     """Shrunken distributions of several chains for every context row.
 
     `views` maps an output column to nested key lists, coarse to fine and without the empty one.
-    A level that several chains share is summed and joined once.
+    A level that several chains share is summed and joined once. Key columns must not be null
+    (the study rows carry markers instead), as null never meets null in a join.
     """
     zero = F.array(*[F.lit(0).cast("long") for _ in alphabet])
     out = contexts.withColumn("_shares", _global_shares(cells, alphabet))

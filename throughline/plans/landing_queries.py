@@ -90,8 +90,9 @@ def decision_table(spark, path):
 
 
 def outcome_labels(spark, path):
+    flags = ["is_take", "node_swing", "node_called_strike"]
     return table(spark, path).select(
-        "row_id", "outcome", "is_take", "node_swing", "node_called_strike", "node_contact",
+        "row_id", "outcome", *[F.col(f).cast("int").alias(f) for f in flags], "node_contact",
         "node_in_play")
 
 
@@ -165,9 +166,9 @@ SELECT row_id, pa_id, season, family, outcome, {q6('reward')} AS reward, count_s
 FROM dec""")),
     "outcome_labels": Query(outcome_labels, sql("""
 SELECT row_id, outcome,
-  CASE WHEN outcome <> 'other' THEN outcome IN ('ball','called_strike') END AS is_take,
-  CASE WHEN outcome <> 'other' THEN outcome IN ('whiff','foul','in_play') END AS node_swing,
-  CASE WHEN outcome IN ('ball','called_strike') THEN outcome = 'called_strike' END AS node_called_strike,
+  CASE WHEN outcome <> 'other' THEN (outcome IN ('ball','called_strike'))::INT END AS is_take,
+  CASE WHEN outcome <> 'other' THEN (outcome IN ('whiff','foul','in_play'))::INT END AS node_swing,
+  CASE WHEN outcome IN ('ball','called_strike') THEN (outcome = 'called_strike')::INT END AS node_called_strike,
   CASE WHEN outcome IN ('whiff','foul','in_play') THEN outcome END AS node_contact,
   CASE WHEN outcome = 'in_play' THEN events END AS node_in_play
 FROM dec""")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from throughline.config import PITCH, Cols
@@ -18,15 +19,22 @@ def conform(df: DataFrame, schema: T.StructType = PITCH_LOG) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in present])
 
 
-def load_log(spark: SparkSession, paths: list[str], schema: T.StructType = PITCH_LOG) -> DataFrame:
-    """Stack season files. Each is read and cast on its own: pandas may have typed one
-    column differently from season to season, which a merged read refuses."""
+def season_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths a glob matches, in order. Season files are few; their contents are not read."""
+    found = spark.read.format("binaryFile").load(pattern).select("path")
+    return [r.path for r in found.orderBy("path").collect()]
+
+
+def load_log(spark: SparkSession, paths: str | list[str],
+             schema: T.StructType = PITCH_LOG) -> DataFrame:
+    """Stack season files, given as a glob or as paths. Each is read and cast on its own: pandas
+    may have typed one column differently from season to season, which a merged read refuses."""
     out = None
-    for p in paths:
+    for p in season_files(spark, paths) if isinstance(paths, str) else paths:
         one = conform(spark.read.parquet(p), schema)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
-        raise FileNotFoundError("no season files given")
+        raise FileNotFoundError(f"no season files at {paths!r}")
     return out
 
 
@@ -52,11 +60,13 @@ def season_window(df: DataFrame, first: int, last: int, start_md: str = "03-15",
 
 
 def landed(spark: SparkSession, root: str) -> DataFrame | None:
-    """Seasons already written, from the partition folders."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.parquet(root).select("season").distinct()
+    """Seasons already written, from the partition folders; None before the first landing."""
+    try:
+        return spark.read.parquet(root).select("season").distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def _write(df: DataFrame, root: str, c: Cols) -> None:
@@ -98,12 +108,23 @@ def load_landed(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
-def landing_summary(spark: SparkSession, root: str) -> DataFrame:
-    """Rows, columns, files and bytes per season, with one total row (null season)."""
+def landing_summary(spark: SparkSession, root: str,
+                    expected: list[int] | None = None) -> DataFrame:
+    """Rows, columns, files and bytes per season, with one total row (null season).
+
+    A season in `expected` that brought nothing is reported with zero rows.
+    """
     df = spark.read.parquet(root)
     width = len(df.columns)
     files = df.groupBy("season", F.col("_metadata.file_path").alias("_path")).agg(
         F.count("*").alias("_rows"), F.max("_metadata.file_size").alias("_bytes"))
-    return files.rollup("season").agg(
+    out = files.rollup("season").agg(
         F.sum("_rows").alias("rows"), F.lit(width).alias("cols"),
         F.count("*").alias("files"), F.sum("_bytes").alias("bytes"))
+    if expected:
+        wanted = spark.createDataFrame([(y,) for y in expected], "season int")
+        empty = wanted.join(out, "season", "left_anti").select(
+            "season", F.lit(0).cast("long").alias("rows"), F.lit(width).alias("cols"),
+            F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"))
+        out = out.unionByName(empty)
+    return out
