@@ -128,20 +128,42 @@ def macro_micro(rows: DataFrame, by: list[str], value: str = "loss",
         (F.sum("_s") / F.sum("_n")).alias("micro"), F.avg(F.col("_s") / F.col("_n")).alias("macro"))
 
 
-def calibration(pred: DataFrame, bins: int, by: list[str], action: str = "family",
-                probs: str = "action_probs", alphabet=FAMILIES) -> DataFrame:
-    """Reliability: mean forecast and observed frequency per probability bin.
-
-    `family` in `by` splits by the forecast action.
-    """
+def calibration_sums(pred: DataFrame, bins: int, by: list[str], action: str = "family",
+                     probs: str = "action_probs", alphabet=FAMILIES) -> DataFrame:
+    """Per group, forecast action and probability bin: rows, summed forecast, summed truth."""
     cells = F.array(*[
         F.struct(F.lit(a).alias("forecast"), F.col(probs)[i].alias("_p"),
                  (F.col(action) == a).cast("double").alias("_y"))
         for i, a in enumerate(alphabet)])
-    keep = [b for b in by if b != "forecast"]
-    rows = pred.select(*keep, F.inline(cells))
-    return rows.groupBy(*by, bucket(F.col("_p"), bins).alias("bin")).agg(
-        F.count("*").alias("n"), F.avg("_p").alias("mean_p"), F.avg("_y").alias("observed"))
+    rows = pred.select(*by, F.inline(cells))
+    return rows.groupBy(*by, "forecast", bucket(F.col("_p"), bins).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("_p").alias("_p"), F.sum("_y").alias("_y"))
+
+
+def calibration(pred: DataFrame, bins: int, by: list[str], **kw) -> DataFrame:
+    """Reliability: mean forecast and observed frequency per probability bin.
+
+    `forecast` in `by` splits by the forecast action.
+    """
+    t = calibration_sums(pred, bins, [b for b in by if b != "forecast"], **kw)
+    return t.groupBy(*by, "bin").agg(
+        F.sum("n").alias("n"), (F.sum("_p") / F.sum("n")).alias("mean_p"),
+        (F.sum("_y") / F.sum("n")).alias("observed"))
+
+
+def calibration_breakouts(pred: DataFrame, bins: int, by: list[str],
+                          breakouts: dict[str, Column | None], **kw) -> DataFrame:
+    """Several reliability curves in one pass: rows (by, breakout, level, bin). A breakout given
+    as None splits by the forecast action."""
+    cells = F.array(*[
+        F.struct(F.lit(n).alias("breakout"), (F.lit(None) if v is None else v).cast("string").alias("_level"))
+        for n, v in breakouts.items()])
+    rows = pred.select("*", F.inline(cells))
+    t = calibration_sums(rows, bins, [*by, "breakout", "_level"], **kw)
+    level = F.coalesce("_level", "forecast").alias("level")
+    return t.groupBy(*by, "breakout", level, "bin").agg(
+        F.sum("n").alias("n"), (F.sum("_p") / F.sum("n")).alias("mean_p"),
+        (F.sum("_y") / F.sum("n")).alias("observed"))
 
 
 def skill(pred: DataFrame, base: DataFrame, by: list[str], action: str = "family") -> DataFrame:

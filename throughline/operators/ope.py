@@ -44,6 +44,14 @@ def estimates(rows: DataFrame, by: list[str], c: Cols = PITCH) -> DataFrame:
         (F.sum(t["ips"]) / F.sum(t["w"])).alias("snips"), F.avg(t["dr"]).alias("dr"))
 
 
+def episode_estimates(rows: DataFrame, by: list[str], c: Cols = PITCH) -> DataFrame:
+    """Observed value, DM and DR summed over an episode, to stand beside full-episode values."""
+    t = _terms(c.reward)
+    per = rows.groupBy(*by, c.episode).agg(
+        F.sum(c.reward).alias("observed"), F.sum(t["dm"]).alias("dm"), F.sum(t["dr"]).alias("dr"))
+    return per.groupBy(*by).agg(*[F.avg(x).alias(x) for x in ("observed", "dm", "dr")])
+
+
 def dm(rows: DataFrame, by: list[str]) -> DataFrame:
     return estimates(rows, by).select(*by, "dm")
 

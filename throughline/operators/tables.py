@@ -198,19 +198,21 @@ SUPPORT_EDGES = [1, 2, 5, 10, 20, 50, 100]
 
 def support_table(df: DataFrame, levels: dict[str, list[str]], thin: int = 50) -> DataFrame:
     """How many cells have how much support at each level, and what share of decisions
-    sits in cells under `thin` rows."""
-    out = None
-    for name, keys in levels.items():
-        cells = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-        edge = F.lit(0)
-        for e in SUPPORT_EDGES:
-            edge = F.when(F.col("_size") >= e, F.lit(e)).otherwise(edge)
-        hist = cells.groupBy(edge.alias("size_from")).agg(
-            F.count("*").alias("n_cells"), F.sum("_size").alias("n_rows"),
-            F.sum(F.when(F.col("_size") < thin, F.col("_size")).otherwise(0)).alias("n_thin"))
-        hist = hist.select(F.lit(name).alias("level"), "*")
-        out = hist if out is None else out.unionByName(hist)
-    return out
+    sits in cells under `thin` rows. All levels are grouping sets of one scan."""
+    keys = list(dict.fromkeys(k for ks in levels.values() for k in ks))
+    cells = df.groupingSets([[F.col(k) for k in ks] for ks in levels.values()], *keys).agg(
+        F.count("*").alias("_size"), F.grouping_id(*keys).alias("_set"))
+    # grouping_id sets a bit for every key left out, the first key's bit highest
+    level = F.lit(None).cast("string")
+    for name, ks in levels.items():
+        mask = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
+        level = F.when(F.col("_set") == mask, F.lit(name)).otherwise(level)
+    edge = F.lit(0)
+    for e in SUPPORT_EDGES:
+        edge = F.when(F.col("_size") >= e, F.lit(e)).otherwise(edge)
+    return cells.groupBy(level.alias("level"), edge.alias("size_from")).agg(
+        F.count("*").alias("n_cells"), F.sum("_size").alias("n_rows"),
+        F.sum(F.when(F.col("_size") < thin, F.col("_size")).otherwise(0)).alias("n_thin"))
 
 
 def markov_backoff(train: DataFrame, depth: int, k: float, action: str = "family",

@@ -61,14 +61,9 @@ def macro_micro(spark, path):
 
 
 def calibration(spark, path):
-    pred = predictions(spark, path)
-    parts = []
-    for name, by in {"family": "forecast", "count": "count_state", "hand": "stand"}.items():
-        t = metrics.calibration(pred, STUDY.bins, ["state_view", by])
-        parts.append(t.select("state_view", F.lit(name).alias("by"), F.col(by).alias("level"),
-                              "bin", "n", "mean_p", "observed"))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(out, "mean_p", "observed")
+    breakouts = {"family": None, "count": F.col("count_state"), "hand": F.col("stand")}
+    t = metrics.calibration_breakouts(predictions(spark, path), STUDY.bins, ["state_view"], breakouts)
+    return rounded(t, "mean_p", "observed")
 
 
 def skill(spark, path):
@@ -242,7 +237,7 @@ def _harness_sql() -> str:
 
 
 def _calibration_sql() -> str:
-    parts = [f"SELECT state_view, '{n}' AS by, {c} AS level, CAST(least(floor(p*{STUDY.bins}), {STUDY.bins - 1}) AS INT) AS bin, count(*) AS n, "
+    parts = [f"SELECT state_view, '{n}' AS breakout, {c} AS level, CAST(least(floor(p*{STUDY.bins}), {STUDY.bins - 1}) AS INT) AS bin, count(*) AS n, "
              f"{q6('avg(p)')} AS mean_p, {q6('avg((fam=family)::INT)')} AS observed FROM pred GROUP BY 1,3,4"
              for n, c in (("family", "fam"), ("count", "count_state"), ("hand", "stand"))]
     return sql(" UNION ALL ".join(parts), *PRED)

@@ -126,17 +126,9 @@ def value_interval(spark, path):
     return rounded(t, "value", "lower_95", "lo", "hi")
 
 
-def _per_episode(rows: DataFrame) -> DataFrame:
-    """DM, DR and the observed value summed over an episode, to stand beside FQE."""
-    t = ope.estimates(rows, ALPHA).join(
-        rows.groupBy("alpha").agg(F.count_distinct("pa_id").alias("_pa")), "alpha")
-    scale = F.col("n") / F.col("_pa")
-    return t.select("alpha", *[(F.col(x) * scale).alias(x) for x in ("observed", "dm", "dr")])
-
-
 def ope_verdict(spark, path):
     train, held = train_and_held(spark, path)
-    per = _per_episode(_logged(spark, path))
+    per = ope.episode_estimates(_logged(spark, path), ALPHA)
     fq = ope.fqe_value(held.filter("pitch_number = 1"), _fqe_table(train), ALPHA)
     t = ope.agreement_verdict(per.join(fq, "alpha"), STUDY.tolerance)
     return rounded(t, "observed", "dm", "dr", "fqe", "spread")
@@ -175,7 +167,7 @@ def perturb(spark, path):
 
 def myopic_vs_full(spark, path):
     rows = _logged(spark, path)
-    t = ope.myopic_vs_full(_per_episode(rows), ope.stepwise_dr(rows, ALPHA), ALPHA)
+    t = ope.myopic_vs_full(ope.episode_estimates(rows, ALPHA), ope.stepwise_dr(rows, ALPHA), ALPHA)
     return rounded(t, "observed", "dm", "dr", "stepwise_dr")
 
 
