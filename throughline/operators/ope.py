@@ -150,7 +150,7 @@ def behavior_recovery(df: DataFrame, by: list[str], c: Cols = PITCH) -> DataFram
 def relog_known(df: DataFrame, seed: int, noise: float, c: Cols = PITCH) -> DataFrame:
     """Logged states with actions redrawn from the known `mu` and rewards from the known `q`.
 
-    The target's true value is then the mean of sum(pi * q).
+    The true value of any target is then the mean of sum(pi * q), which `logged` adds as `v_hat`.
     """
     u = hashing.uniform(seed, c.row, lane=0)
     e = hashing.uniform(seed, c.row, lane=1) - 0.5
@@ -164,7 +164,6 @@ def relog_known(df: DataFrame, seed: int, noise: float, c: Cols = PITCH) -> Data
     return rows.withColumns({
         c.action: F.element_at(names, F.col("_place")),
         c.reward: F.element_at("q", F.col("_place")) + F.lit(noise) * e,
-        "true_value": dot(F.col("pi"), F.col("q")),
     }).drop("_u", "_place")
 
 
