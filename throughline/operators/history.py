@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from throughline.config import FAMILIES, PITCH, SWINGS, Cols
+from throughline.session import small_side
 
 
 def _flag(cond: Column) -> Column:
@@ -344,7 +345,7 @@ def recomputed_reward(df: DataFrame, table: DataFrame, c: Cols = PITCH) -> DataF
     """Reward from our own run-expectancy table instead of the supplied one."""
     w = _half_inning(c).orderBy(c.at_bat, c.order)
     state = ["base_state", "outs_when_up", "count_state"]
-    joined = df.join(F.broadcast(table.select(*state, "run_exp")), state, "left")
+    joined = df.join(small_side(table.select(*state, "run_exp")), state, "left")
     after = F.when(F.lead(F.lit(1)).over(w).isNull(), F.lit(0.0)).otherwise(
         F.lead("run_exp").over(w))
     scored = F.col("post_bat_score") - F.col("bat_score")

@@ -65,3 +65,9 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     rows = df.hint("rebalance", *[F.col(p) for p in partition_by]) if partition_by else df
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """`df` written and counted: hinted for broadcast if it is small, a plain join side if not."""
+    written = stage(df, "side")
+    return F.broadcast(written) if written.count() <= max_rows else written
