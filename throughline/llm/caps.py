@@ -143,9 +143,10 @@ class _Task:
             earlier[k, :len(r[4])] = r[4]
         earlier[earlier >= f] = -1
         first = np.ones(len(i), bool)
-        for at in range(0, len(i), 4096):
-            a, b = earlier[i[at:at + 4096]], earlier[j[at:at + 4096]]
-            first[at:at + 4096] = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any((1, 2))
+        some = max(1, (1 << 20) // width ** 2)
+        for at in range(0, len(i), some):
+            a, b = earlier[i[at:at + some]], earlier[j[at:at + some]]
+            first[at:at + some] = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any((1, 2))
         added = np.bincount(i[first], mult[j[first]], len(rep)) + np.bincount(j[first], mult[i[first]], len(rep))
         some = np.flatnonzero(near.any(1))
         order = np.argsort(rep)
