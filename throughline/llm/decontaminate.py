@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from throughline.llm.frames import append, ship, stage, texts
 
-K1, B, BLOCK, SHARD = 1.2, 0.75, 16, 32 << 20
+K1, B, BLOCK, SHARD = 1.2, 0.75, 4, 32 << 20
 SHINGLE, SHORTEST_RUN = 5, 32
 
 _FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -61,17 +61,17 @@ class Index:
 
         scored = sorted(((sum((v := weights(t)).values()), i, t, v) for i, t in items if t), key=lambda x: x[:2])
         self.ids = [i for _, i, _, _ in scored]
-        self.postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        self.vocabulary: dict[bytes, int] = {}
+        self.blocks = -(-len(scored) // BLOCK)
+        #: Of each block, the postings (item, weight) of every word that occurs in it.
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(self.blocks)]
         for at, (own, _, _, v) in enumerate(scored):
             for w, x in v.items():
-                self.postings[w].append((at, x / own))
-        self.vocabulary = {w: i for i, w in enumerate(self.postings)}
-        self.lists = list(self.postings.values())
-        self.blocks = -(-len(scored) // BLOCK)
-        self.maxima = np.zeros((len(self.lists) + 1, self.blocks), np.float32)      # the last row: unknown words
-        for i, posting in enumerate(self.lists):
-            for at, x in posting:
-                self.maxima[i, at // BLOCK] = max(self.maxima[i, at // BLOCK], np.nextafter(np.float32(x), np.float32(2)))
+                self.postings[at // BLOCK][self.vocabulary.setdefault(w, len(self.vocabulary))].append((at, x / own))
+        self.maxima = np.zeros((len(self.vocabulary) + 1, self.blocks), np.float32)     # the last row: unknown words
+        for b, block in enumerate(self.postings):
+            for i, posting in block.items():
+                self.maxima[i, b] = np.nextafter(np.float32(max(x for _, x in posting)), np.float32(2))
         self.run = max([SHORTEST_RUN, *(len(t) for *_, t, _ in scored)])
         cut = [-(-2 * len(t) // 3) for *_, t, _ in scored]
         self.questions = [shingles(t[:c]) for c, (*_, t, _) in zip(cut, scored, strict=True)]
@@ -79,13 +79,8 @@ class Index:
 
     def retrieve(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """All items of a block with a score of at least the threshold, by WAND over the terms' postings."""
-        low, high, cursors = block * BLOCK, (block + 1) * BLOCK, []
-        for t in terms:
-            posting = self.lists[t]
-            at = bisect_left(posting, (low,))
-            if at < len(posting) and posting[at][0] < high:
-                cursors.append([posting[at][0], at, posting, float(self.maxima[t, block])])
-        out = []
+        high, inside, most = (block + 1) * BLOCK, self.postings[block], self.maxima[:, block]
+        cursors, out = [[inside[t][0][0], 0, inside[t], float(most[t])] for t in terms if t in inside], []
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
@@ -116,7 +111,7 @@ class Index:
     def search(self, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of the verified items of a text, the best passage for each."""
         tokens, best, get = words(text), {}, self.vocabulary.get
-        none = len(self.lists)
+        none = len(self.vocabulary)
         ids = np.array([get(w, none) for w in tokens], np.int64)
         known = np.flatnonzero(ids < none)
         if not len(known):
@@ -128,10 +123,11 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
         sums[half[first]] = np.add.reduceat(self.maxima[word], first, axis=0)
         bounds = sums[:-1] + sums[1:]
+        last, terms = -1, ids[:0]
         for at, block in np.argwhere(bounds >= threshold * (1 - 1e-5)):
             span = slice(at * self.run, (at + 2) * self.run)
-            terms = np.unique(ids[span])
-            terms = terms[terms < none]
+            if at != last:
+                last, terms = at, np.unique(ids[span])
             if self.maxima[terms, block].sum() < threshold * (1 - 1e-5):
                 continue
             found = self.retrieve(terms.tolist(), int(block), threshold)
