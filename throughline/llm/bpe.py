@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from throughline.llm.frames import append, lists, ship, texts
 
 #: Entries a memo may hold before it is begun anew; bounds a worker's memory, not the result.
-MEMO = 200_000
+MEMO = 150_000
 #: Texts above this length are cut into pieces lazily.
 LAZY = 1 << 20
 #: What an id outside of the vocabulary decodes to.
