@@ -1,15 +1,16 @@
 """Embedding near-duplicates by spherical-cap filters from a structured random product code.
 
-A filter is a direction; a vector passes it if their inner product reaches a bound. Directions
-are not listed but composed: each of four blocks of the (randomly rotated) space has `t` random
-unit codewords, and every combination of four codewords is a direction. A vector's list of
-passed filters is decoded from the sums of two pairs of blocks: sort both, and for every sum of
-the one find by bisection the sums of the other that complete it; that takes about the square
-root of the number of directions. Two near vectors pass some filter together with high
+A filter is a direction; a vector passes it if their inner product reaches the vector's bound.
+Directions are not listed but composed: each of four blocks of the (randomly rotated) space has
+`t` random unit codewords, and every combination of four codewords is a direction. The bound of
+a vector is the one that `LISTS` directions reach. (A bound common to all would leave many
+vectors, those with uneven blocks, without a filter.) The list is decoded from the sums of two
+pairs of blocks: the best directions are sums of the best of either pair, so the work is about the
+square root of the number of directions. Two near vectors pass some filter together with high
 probability; vectors are joined on filters and verified by their cosine in double precision.
 
-The bound and the number of directions follow from the number n of distinct vectors: a filter
-is passed by about `LOAD` of them, and a vector passes about `LISTS` filters, at every n.
+The number of directions follows from the number n of distinct vectors, so that a filter is
+passed by about `LOAD` of them at every n.
 
 Equal vectors are one row with a count. A filter that many vectors pass is cut into blocks and
 pairs of blocks, each a task of bounded size; a link is counted under the first filter that its
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from throughline.llm.components import components
 from throughline.llm.frames import arrow_map, lists, ship, stage
 
-LOAD, LISTS, BLOCKS, SEED = 48, 24, 4, 42
+LOAD, LISTS, BLOCKS, SEED = 48, 32, 4, 42
 #: Rows of a filter's block.
 BLOCK = 512
 
@@ -39,9 +39,7 @@ class Code:
 
     def __init__(self, n: int, dim: int):
         draw = np.random.default_rng([SEED, dim])
-        share = min(0.5, LOAD / max(n, 1))
-        self.t = max(2, math.ceil((LISTS / share) ** (1 / BLOCKS)))
-        self.bound = NormalDist().inv_cdf(1 - LISTS / self.t ** BLOCKS if LISTS < self.t ** BLOCKS else 0.5) / math.sqrt(dim)
+        self.t = max(3, math.ceil((LISTS * n / LOAD) ** (1 / BLOCKS)))
         self.rotation = np.linalg.qr(draw.normal(size=(dim, dim)))[0]
         self.parts = np.array_split(np.arange(dim), BLOCKS)
         self.words = []
@@ -49,22 +47,18 @@ class Code:
             w = draw.normal(size=(self.t, max(1, len(part))))[:, :len(part)]
             self.words.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300) * math.sqrt(len(part) / dim))
 
-    def passed(self, unit: np.ndarray) -> list[np.ndarray]:
-        """The sorted filter numbers of each row of unit vectors."""
+    def passed(self, unit: np.ndarray) -> np.ndarray:
+        """The sorted numbers of the filters that each row of unit vectors passes: row by filter."""
         turned, t = unit @ self.rotation, self.t
         scores = [turned[:, p] @ w.T for p, w in zip(self.parts, self.words, strict=True)]
         ahead = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(unit), t * t)
         rest = (scores[2][:, :, None] + scores[3][:, None, :]).reshape(len(unit), t * t)
-        order = np.argsort(rest, axis=1)
-        out = []
-        for a, r, o in zip(ahead, rest, order, strict=True):
-            need = np.searchsorted(r[o], self.bound - a, side="left")
-            many = t * t - need
-            some = np.flatnonzero(many)
-            first = np.repeat(some, many[some])
-            step = np.arange(len(first)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
-            out.append(np.sort(first * (t * t) + o[need[first] + step]))
-        return out
+        best = [np.argpartition(-h, min(LISTS, t * t) - 1, axis=1)[:, :LISTS] for h in (ahead, rest)]
+        high = [np.take_along_axis(h, i, axis=1) for h, i in zip((ahead, rest), best, strict=True)]
+        sums = (high[0][:, :, None] + high[1][:, None, :]).reshape(len(unit), -1)
+        top = np.argpartition(-sums, min(LISTS, sums.shape[1]) - 1, axis=1)[:, :LISTS]
+        first, second = np.divmod(top, best[1].shape[1])
+        return np.sort(np.take_along_axis(best[0], first, axis=1) * (t * t) + np.take_along_axis(best[1], second, axis=1), axis=1)
 
 
 def _filters(reps: DataFrame, n: int) -> DataFrame:
@@ -87,10 +81,10 @@ def _filters(reps: DataFrame, n: int) -> DataFrame:
                     sizes = [len(f) for f in found]
                     index = np.repeat(np.arange(len(some)), sizes)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(index), dim), pa.int32()), pa.array(np.concatenate(found), pa.int64()),
+                        pa.array(np.full(len(index), dim), pa.int32()), pa.array(np.concatenate([*found]), pa.int64()),
                         pa.array(np.array([r[0] for r in some])[index], pa.int64()), pa.array(np.array([r[1] for r in some])[index], pa.int64()),
                         pa.array([r[2].astype(np.float32).tobytes() for r in some], pa.binary()).take(pa.array(index)),
-                        lists(np.concatenate(found), sizes, pa.int64()).take(pa.array(index))],
+                        lists(np.concatenate([*found]), sizes, pa.int64()).take(pa.array(index))],
                         names=["dim", "filter", "rep", "mult", "vec", "passed"])
         return step
 
