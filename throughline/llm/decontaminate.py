@@ -40,9 +40,20 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_FOLD).split()
 
 
-def shingles(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
-    """Runs of five words; of fewer, the whole."""
-    return {tuple(tokens[i:i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))} if tokens else set()
+def shingles(tokens: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """Runs of `size` words; of fewer, the whole."""
+    return {tuple(tokens[i:i + size]) for i in range(max(1, len(tokens) - size + 1))} if tokens else set()
+
+
+def overlap_with(wanted: set[tuple[bytes, ...]], tokens: list[bytes], held: dict[int, set]) -> float:
+    """The share of `wanted` that occurs in a passage; a short question or answer is one run of its own length.
+    `held` keeps the passage's runs by length."""
+    if not wanted:
+        return 1.0
+    size = len(next(iter(wanted)))
+    if size not in held:
+        held[size] = shingles(tokens, size)
+    return len(wanted & held[size]) / len(wanted)
 
 
 class Index:
@@ -133,9 +144,9 @@ class Index:
             found = self.retrieve(terms.tolist(), int(block), threshold)
             if not found:
                 continue
-            there = shingles(tokens[span])
+            held: dict[int, set] = {}
             for item, score in found:
-                q, a = (len(s & there) / len(s) if s else 1.0 for s in (self.questions[item], self.answers[item]))
+                q, a = (overlap_with(s, tokens[span], held) for s in (self.questions[item], self.answers[item]))
                 if q >= overlap and a >= overlap and score > best.get(item, (0.0,))[0]:
                     best[item] = (score, q, a)
         return sorted((self.ids[i], *b) for i, b in best.items())
