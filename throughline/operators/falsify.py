@@ -9,7 +9,8 @@ from throughline.functions import hashing
 
 STRATUM = ["pitcher", "count_state", "pitch_number", "stand", "p_throws", "multiset"]
 SIMILAR = ["pitcher", "count_state", "pitch_number"]
-GROUP_CAP = 100_000
+#: Hash digits of a bucket.
+WIDTH = 3
 
 
 def order_ablation(intervals: DataFrame) -> DataFrame:
@@ -17,53 +18,46 @@ def order_ablation(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("order_matters", F.col("order_lo") > 0)
 
 
-def _split(df: DataFrame, strata: list[str], seed: int, cap: int, c: Cols) -> DataFrame:
-    """Number each stratum's random parts so no part holds much over `cap` rows.
-
-    A stratum a hot actor fills would otherwise be one task's work. Rows fall into parts by a
-    hash, so exchanging within parts is still a random exchange within the stratum.
-    """
-    large = (df.groupBy(*strata).agg(F.count("*").alias("_size")).filter(F.col("_size") > cap)
-             .withColumn("_parts", F.ceil(F.col("_size") / cap)).drop("_size"))
-    joined = df.join(large, strata, "left")
-    part = F.floor(hashing.uniform(seed + 1, c.row) * F.coalesce(F.col("_parts"), F.lit(1)))
-    return joined.withColumn("_part", part).drop("_parts")
-
-
-def _swap(df: DataFrame, strata: list[str], fields: list[str], seed: int, cap: int,
+def _swap(df: DataFrame, strata: list[str], fields: list[str], seed: int, width: int = WIDTH,
           extra: list[str] | None = None, c: Cols = PITCH) -> DataFrame:
     """Each row takes `fields` from the next row of its stratum in hashed order, the last from
-    the first: a random cyclic permutation with one window and no join. `donor_id` is null for
-    a row alone in its part."""
-    keys = [*(extra or []), *strata, "_part"]
-    rows = _split(df, [*(extra or []), *strata], seed, cap, c).withColumn(
-        "_h", hashing.digest(seed, *(extra or []), c.row))
-    ordered = W.partitionBy(*keys).orderBy("_h", c.row)
-    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    the first: a random cyclic permutation without a join. `donor_id` is null for a row alone
+    in its stratum.
+
+    A stratum that a hot actor fills is no one task's work: its rows are ordered within buckets,
+    the first `width` digits of their hash. Only the last row of a bucket, whose next row is the
+    first of a later bucket, meets the others of its stratum, at most 16 ** `width` of them. The
+    result doesn't depend on `width`.
+    """
+    strata = [*(extra or []), *strata]
     token = F.struct(F.col(c.row).alias("id"), *fields)
-    rows = rows.withColumns({"_next": F.lead(token).over(ordered),
-                             "_first": F.first(token).over(whole)})
-    donor = F.coalesce(F.col("_next"), F.col("_first"))
+    rows = df.withColumn("_h", hashing.digest(seed, *(extra or []), c.row))
+    rows = rows.withColumn("_bucket", F.substring("_h", 1, width))
+    inside = W.partitionBy(*strata, "_bucket").orderBy("_h", c.row)
+    rows = rows.withColumns({"_next": F.lead(token).over(inside), "_first": F.first(token).over(inside)})
+    rows = rows.withColumn("_inner", F.when(F.col("_next").isNotNull(), F.col("_bucket")))
+    between = W.partitionBy(*strata, "_inner").orderBy("_bucket")
+    donor = F.coalesce("_next", F.lead("_first").over(between), F.first("_first").over(between))
     rows = rows.withColumn("_donor", donor)
     return rows.withColumns({
         "donor_id": F.when(F.col("_donor.id") != F.col(c.row), F.col("_donor.id")),
         **{f"donor_{f}": F.col(f"_donor.{f}") for f in fields},
-    }).drop("_next", "_first", "_donor", "_part", "_h")
+    }).drop("_next", "_first", "_donor", "_bucket", "_inner", "_h")
 
 
-def permute_history(df: DataFrame, fields: list[str], seed: int, cap: int = GROUP_CAP,
+def permute_history(df: DataFrame, fields: list[str], seed: int, width: int = WIDTH,
                     strata: list[str] | None = None, c: Cols = PITCH) -> DataFrame:
     """Histories exchanged among decisions alike in actor, count, place, hands and multiset.
 
     First decisions have no history to exchange and are left out.
     """
-    return _swap(df.filter(F.col(c.order) >= 2), strata or STRATUM, fields, seed, cap, c=c)
+    return _swap(df.filter(F.col(c.order) >= 2), strata or STRATUM, fields, seed, width, c=c)
 
 
-def pseudo_history(df: DataFrame, fields: list[str], seed: int, cap: int = GROUP_CAP,
+def pseudo_history(df: DataFrame, fields: list[str], seed: int, width: int = WIDTH,
                    c: Cols = PITCH) -> DataFrame:
     """History of another episode by the same actor in the same count and place."""
-    return _swap(df.filter(F.col(c.order) >= 2), SIMILAR, fields, seed, cap, c=c)
+    return _swap(df.filter(F.col(c.order) >= 2), SIMILAR, fields, seed, width, c=c)
 
 
 def moved_share(swapped: DataFrame, by: list[str]) -> DataFrame:
@@ -99,7 +93,7 @@ def speed_gap_slope(df: DataFrame, by: list[str], c: Cols = PITCH) -> DataFrame:
         F.regr_r2(F.col(c.reward), gap).alias("gain"))
 
 
-def permutation_pvalue(df: DataFrame, rounds: int, seed: int, cap: int = GROUP_CAP,
+def permutation_pvalue(df: DataFrame, rounds: int, seed: int, width: int = WIDTH,
                        strata: list[str] | None = None, c: Cols = PITCH) -> DataFrame:
     """Share of permuted gains at least as large as the observed one.
 
@@ -112,7 +106,7 @@ def permutation_pvalue(df: DataFrame, rounds: int, seed: int, cap: int = GROUP_C
         "prev_release_speed")
     observed = speed_gap_slope(rows, []).select("gain").scalar()
     copies = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    swapped = _swap(copies, strata, ["prev_release_speed"], seed, cap, ["round"], c)
+    swapped = _swap(copies, strata, ["prev_release_speed"], seed, width, ["round"], c)
     gap = F.abs(F.col("release_speed") - F.col("donor_prev_release_speed"))
     gains = swapped.groupBy("round").agg(F.regr_r2(F.col(c.reward), gap).alias("gain"))
     return gains.withColumn("observed", observed).agg(

@@ -5,7 +5,9 @@ once at the finest level, written, and summed up from there: the log is read onc
 the chain. (Left lazy, every level would scan the log again, as the filters each join pushes
 down differ and keep Spark from reusing the exchange.) The shrinking itself is a column
 expression over the joined counts: a cell nobody has seen has count zero and so takes its
-parent's value unchanged.
+parent's value unchanged, and so does a cell with no fewer rows than its parent, as that
+is the same rows once more. The root is shrunk to equal shares by one row, so that an action
+nobody has taken yet still has a probability.
 """
 
 from __future__ import annotations
@@ -41,7 +43,12 @@ def roll_up(counts: DataFrame, keys: list[str], alphabet=FAMILIES) -> DataFrame:
 
 def _global_shares(counts: DataFrame, alphabet) -> Column:
     row = roll_up(counts, [], alphabet)
-    return row.select(F.transform("counts", lambda x: x / F.col("n"))).scalar()
+    return row.select(root_shares(len(alphabet))).scalar()
+
+
+def root_shares(size: int) -> Column:
+    """Shares of a row's `counts`, with one more row spread equally over `size` actions."""
+    return F.transform("counts", lambda x: (x + F.lit(1.0 / size)) / (F.col("n") + F.lit(1.0)))
 
 
 def base_freq(df: DataFrame, c: Cols = PITCH) -> DataFrame:
@@ -76,11 +83,13 @@ def eb_views(cells: DataFrame, contexts: DataFrame, views: dict[str, list[list[s
             out = out.join(level, keys, "left")
     made = {}
     for name, levels in views.items():
-        probs = F.col("_shares")
+        probs, above = F.col("_shares"), F.lit(-1)
         for keys in levels:
             i = place[tuple(keys)]
-            probs = shrink(F.coalesce(F.col(f"_k{i}"), zero),
-                           F.coalesce(F.col(f"_n{i}"), F.lit(0)), probs, k)
+            n = F.coalesce(F.col(f"_n{i}"), F.lit(0))
+            own = F.when(n != above, F.coalesce(F.col(f"_k{i}"), zero)).otherwise(zero)
+            probs = shrink(own, F.when(n != above, n).otherwise(0), probs, k)
+            above = n
         made[name] = probs
     last = place[tuple(next(reversed(views.values()))[-1])]
     return out.select(*contexts.columns, F.coalesce(F.col(f"_n{last}"), F.lit(0)).alias("n"),

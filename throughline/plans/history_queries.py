@@ -63,8 +63,11 @@ def previous_pitch(spark, path):
                    "prev_release_speed")
 
 
+EARLIER = 98  # an episode holds fewer than 100 decisions, by the key contract
+
+
 def sequence_array(spark, path):
-    t = history.sequence_array(table(spark, path), 5)
+    t = history.sequence_array(table(spark, path), EARLIER)
     return t.select("row_id", F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"),
                     F.array_join(F.col("seq_mask").cast("array<string>"), ",").alias("mask"),
                     r6(F.aggregate("seq_speed", F.lit(0.0), lambda a, x: a + x)).alias("speed_sum"))
@@ -228,9 +231,9 @@ SELECT row_id, lag(family) OVER w AS prev_family, lag(outcome) OVER w AS prev_ou
   {q6('lag(release_speed) OVER w')} AS prev_release_speed
 FROM dec WINDOW w AS (PARTITION BY pa_id ORDER BY pitch_number)""")),
     "sequence_array": Query(sequence_array, sql(f"""
-SELECT row_id, {"||','||".join(f"CAST(coalesce(lag(fi,{d}) OVER w,0) AS VARCHAR)" for d in (5, 4, 3, 2, 1))} AS seq,
-  {"||','||".join(f"(lag(fi,{d}) OVER w IS NOT NULL)::INT::VARCHAR" for d in (5, 4, 3, 2, 1))} AS mask,
-  {q6('+'.join(f"coalesce(lag(release_speed,{d}) OVER w,0)" for d in (5, 4, 3, 2, 1)))} AS speed_sum
+SELECT row_id, {"||','||".join(f"CAST(coalesce(lag(fi,{d}) OVER w,0) AS VARCHAR)" for d in range(EARLIER, 0, -1))} AS seq,
+  {"||','||".join(f"(lag(fi,{d}) OVER w IS NOT NULL)::INT::VARCHAR" for d in range(EARLIER, 0, -1))} AS mask,
+  {q6('+'.join(f"coalesce(lag(release_speed,{d}) OVER w,0)" for d in range(EARLIER, 0, -1)))} AS speed_sum
 FROM (SELECT *, list_position([{','.join(f"'{f}'" for f in FAMILIES)}], family) AS fi FROM dec)
 WINDOW w AS (PARTITION BY pa_id ORDER BY pitch_number)""")),
     "matchup_memory": Query(matchup_memory, sql(

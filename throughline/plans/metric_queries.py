@@ -25,9 +25,10 @@ def log_loss(spark, path):
     look = tables.first_order(train.filter("pitch_number >= 2"), K)
     held = held.filter("pitch_number >= 2")
     shares = tables.action_counts(train.filter("pitch_number >= 2"), [])
-    base = shares.select(F.transform("counts", lambda x: x / F.col("n"))).scalar()
+    base = shares.select(tables.root_shares(len(FAMILIES))).scalar()
     rows = held.join(look.select("prev_family", F.col("probs").alias("first_order")),
-                     "prev_family").withColumn("base", base)
+                     "prev_family", "left").withColumn("base", base)
+    rows = rows.withColumn("first_order", F.coalesce("first_order", "base"))
     rows = decision.with_slices(rows)
     return rounded(rows.groupBy("season", "slice").agg(
         F.count("*").alias("n"),
@@ -121,7 +122,7 @@ def ablation_delta(spark, path):
     return rounded(metrics.ablation_delta(rows, ["slice"]), *cols)
 
 
-B = 40
+B = STUDY.replicates
 
 
 def cluster_bootstrap(spark, path):
@@ -245,8 +246,8 @@ def _calibration_sql() -> str:
 
 QUERIES = {
     "log_loss": Query(log_loss, sql(f"""
-SELECT season, slice, count(*) AS n, {q6('avg(-ln(f.p))')} AS loss_first_order, {q6('avg(-ln(b.p))')} AS loss_base
-FROM ({sliced('(SELECT * FROM held WHERE pitch_number>=2)')}) h JOIN fo f ON f.prev_family=h.prev_family AND f.fam=h.family
+SELECT season, slice, count(*) AS n, {q6('avg(-ln(coalesce(f.p, b.p)))')} AS loss_first_order, {q6('avg(-ln(b.p))')} AS loss_base
+FROM ({sliced('(SELECT * FROM held WHERE pitch_number>=2)')}) h LEFT JOIN fo f ON f.prev_family=h.prev_family AND f.fam=h.family
 JOIN fo_0 b ON b.fam=h.family GROUP BY 1,2""", STUDY_SQL, "tr2 AS (SELECT * FROM train WHERE pitch_number>=2)",
         chain_sql("fo", [["prev_family"]], K, "tr2", "tr2"))),
     "next_action_loss": Query(next_action_loss, sql(

@@ -36,7 +36,7 @@ def build(decisions: DataFrame) -> DataFrame:
             "release_speed", "outcome", "plate_x_br", "plate_z_norm", "release_pos_x")},
         "history_text": F.array_join(prior, ">"),
         "multiset": F.array_join(F.array_sort(prior), "+"),
-        "recent": F.array_join(F.slice(prior, F.greatest(F.size("history") - 2, F.lit(1)), 3), ">"),
+        "recent": F.array_join(F.slice(prior, F.greatest(F.size("history") - STUDY.markov_depth + 1, F.lit(1)), STUDY.markov_depth), ">"),
         "met": (F.col("times_thru_order") > 1).cast("int"),
     })
     mix = history.feasible_mask(
@@ -58,12 +58,11 @@ VIEW_LEVELS = {
     "C": [["count_state"], ["count_state", "pitcher"]],
     "U": [["count_state"], ["count_state", "pitcher"], ["count_state", "pitcher", "multiset"]],
     "L1": [["count_state"], ["count_state", "pitcher"], ["count_state", "pitcher", "prev_family"]],
-    "O": [["count_state"], ["count_state", "pitcher"], ["count_state", "pitcher", "prev_family"],
-          ["count_state", "pitcher", "prev_family", "recent"]],
-    "OM": [["count_state"], ["count_state", "pitcher"], ["count_state", "pitcher", "prev_family"],
-           ["count_state", "pitcher", "prev_family", "recent"],
-           ["count_state", "pitcher", "prev_family", "recent", "met"]],
 }
+# O knows what U and L1 know, and the whole order.
+VIEW_LEVELS["O"] = [*VIEW_LEVELS["L1"], *[[*VIEW_LEVELS["L1"][-1], *more] for more in (
+    ["multiset"], ["multiset", "recent"], ["multiset", "recent", "history_text"])]]
+VIEW_LEVELS["OM"] = [*VIEW_LEVELS["O"], [*VIEW_LEVELS["O"][-1], "met"]]
 
 
 def with_views(rows: DataFrame, train: DataFrame, views: dict[str, list[list[str]]],
@@ -105,7 +104,7 @@ def view_losses(spark: SparkSession, path: str) -> DataFrame:
     pair and the rows join five numbers, not five distributions.
     """
     train, held = train_and_held(spark, path)
-    keys = VIEW_LEVELS["OM"][-1] + ["multiset"]
+    keys = VIEW_LEVELS["OM"][-1]
     pairs = held.select(*keys, "family").distinct()
     chains = {f"_p_{v}": levels for v, levels in VIEW_LEVELS.items()}
     look = eb_views(count_cells(train, keys), pairs, chains, STUDY.shrink)
@@ -124,7 +123,7 @@ study AS (SELECT d.*, coalesce(lag(family) OVER w, '^') AS prev_family, coalesce
     lag(plate_z_norm) OVER w AS prev_plate_z_norm, lag(release_pos_x) OVER w AS prev_release_pos_x,
     coalesce(string_agg(family,'>') OVER p, '') AS history_text,
     coalesce(array_to_string(list_sort(list(family) OVER p), '+'), '') AS multiset,
-    concat_ws('>', lag(family,3) OVER w, lag(family,2) OVER w, lag(family) OVER w) AS recent,
+    concat_ws('>', {', '.join(f"lag(family,{d}) OVER w" for d in range(STUDY.markov_depth, 0, -1))}) AS recent,
     CAST(dense_rank() OVER (PARTITION BY game_pk, pitcher, batter ORDER BY at_bat_number) > 1 AS INT) AS met,
     hist_n, {', '.join(f'n_{f} >= {STUDY.min_count} AND coalesce(mix_{f},0) >= {STUDY.min_share} AS ok_{f}' for f in ('ff', 'si', 'fc', 'sl', 'cu', 'ch', 'fs', 'xx'))},
     fld_score - bat_score AS score_diff_pitcher,
@@ -142,7 +141,7 @@ held AS (SELECT * FROM study WHERE {HELD_OUT}),
 def chain_sql(name: str, levels: list[list[str]], k: float = STUDY.shrink, contexts: str = "held",
               source: str = "train", action: str = "family", fams: str = "fams") -> str:
     """`<name>(finest keys, fi, fam, n, nn, p)`: the shrink chain in long form."""
-    ctes = [f"{name}_0 AS (SELECT fi, fam, (SELECT count(*) FROM {source} WHERE {action}=fam)/(SELECT count(*) FROM {source} WHERE {action} IS NOT NULL) AS p FROM {fams})"]
+    ctes = [f"{name}_0 AS (SELECT fi, fam, ((SELECT count(*) FROM {source} WHERE {action}=fam) + 1.0::DOUBLE/(SELECT count(*) FROM {fams}))/(1 + (SELECT count(*) FROM {source} WHERE {action} IS NOT NULL)) AS p FROM {fams})"]
     joins, p = [], "b.p"
     for i, keys in enumerate(levels):
         ks = ", ".join(keys)
@@ -150,7 +149,9 @@ def chain_sql(name: str, levels: list[list[str]], k: float = STUDY.shrink, conte
         ctes.append(f"{name}_t{i} AS (SELECT {ks}, sum(n) AS nn FROM {name}_n{i} GROUP BY ALL)")
         joins.append(f"LEFT JOIN {name}_n{i} a{i} ON {' AND '.join(f'a{i}.{x}=c.{x}' for x in keys)} AND a{i}.fam=b.fam "
                      f"LEFT JOIN {name}_t{i} t{i} ON {' AND '.join(f't{i}.{x}=c.{x}' for x in keys)}")
-        p = f"((coalesce(a{i}.n,0)+{k}*{p})/(coalesce(t{i}.nn,0)+{k}))"
+        # a cell with its parent's rows and no others adds nothing
+        own = f"coalesce(t{i}.nn,0) <> {f'coalesce(t{i - 1}.nn,0)' if i else '-1'}"
+        p = f"((CASE WHEN {own} THEN coalesce(a{i}.n,0) ELSE 0 END+{k}*{p})/(CASE WHEN {own} THEN coalesce(t{i}.nn,0) ELSE 0 END+{k}))"
     last = len(levels) - 1
     ks = ", ".join(levels[-1])
     ctes.append(f"{name} AS (SELECT c.*, b.fi, b.fam, CAST(coalesce(a{last}.n,0) AS BIGINT) AS n, "

@@ -159,7 +159,7 @@ def _markov_sql(depth: int, base: list[str], source: str, action: str, fams: str
         if d == 0:
             ctes.append(chain_sql("mk0", [names[:1]], K, source, source, action, fams))
             parts.append(f"SELECT 0 AS depth, '' AS context, (SELECT count(*) FROM {source}) AS n_context, fam AS action, "
-                         f"(SELECT count(*) FROM {source} WHERE {action}=fam) AS n, p FROM mk0_0")
+                         f"(SELECT count(*) FROM {source} WHERE {action}=fam) AS n, (SELECT count(*) FROM {source} WHERE {action}=fam)/(SELECT count(*) FROM {source} WHERE {action} IS NOT NULL) AS p FROM mk0_0")
         else:
             ctes.append(chain_sql(f"mk{d}x", [names[:j] for j in range(1, d + 1)], K, source, source, action, fams))
             parts.append(f"SELECT {d}, concat_ws('>', {', '.join(reversed(names[:d]))}), nn, fam, n, p FROM mk{d}x")
