@@ -215,6 +215,20 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch, crowd):
 
 # 3 and 9
 
+def test_similar_lines_by_hashes_are_the_exact_ones():
+    draw = random.Random(5)
+    left = [" ".join(draw.choice("abcdefgh") * draw.randint(1, 9) for _ in range(draw.randint(1, 150))) for _ in range(400)]
+    right = []
+    for line in left:
+        words = line.split(" ")
+        for _ in range(draw.randint(0, 1 + len(words) // 12)):
+            words[draw.randrange(len(words))] = "other"
+        right.append(" ".join(words) if draw.random() < 0.8 else draw.choice(left))
+    exact = [lines.jaccard(a, b) >= 0.8 for a, b in zip(left, right, strict=True)]
+    assert 0 < sum(exact) < len(left) and lines.similar(left, right, 0.8).tolist() == exact
+    assert lines.similar([], [], 0.8).tolist() == [] and lines.similar(["a", "a"], ["a", "b"], 0.8).tolist() == [True, False]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng, bad = random.Random(9), ["vilen", "grumox", "snarkel"]
     def text(grade):
