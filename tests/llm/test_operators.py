@@ -141,6 +141,46 @@ def test_simhash_components(spark, monkeypatch, crowd):
     assert simhash.groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 8192])
+def test_pipeline_near_copies_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, n, 400)) for i, n in enumerate([3, 5, 8, 9, 14, 25, 40, 60, 90, 200, 400, 700])]
+    for i, t in rows[:12]:
+        for k in range(8):
+            w = t.split()
+            for _ in range(rng.randrange(1, 2 + len(w) // 35)):
+                w[rng.randrange(len(w))] = f"other{rng.randrange(9)}"
+            rows.append((100 + 10 * i + k, " ".join(w[:len(w) - rng.randrange(1 + len(w) // 20)])))
+    rows += [(300, None), (301, ""), (302, rows[3][1].upper()), (None, rows[4][1]), (3, rows[3][1])]
+
+    def plain(t):
+        w = (t or "").encode().lower().split()
+        return tuple(sorted({b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))})) if w else ()
+
+    sets = {t: plain(t) for _, t in rows}
+    linked = [(a, b) for a, b in combinations(set(sets.values()), 2) if len(set(a) & set(b)) >= 0.8 * len({*a, *b})]
+    label = find(linked, set(sets.values()))
+    ids = {}
+    for i, t in rows:
+        if i is not None:
+            ids[label[sets[t]]] = min(i, ids.get(label[sets[t]], i))
+    assert len(linked) > 40
+    got = Counter((r.doc_id, r.component_id) for r in simhash.copies(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == Counter((i, ids[label[sets[t]]]) for i, t in rows)
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {i for i, t in rows if i is not None and i == ids[label[sets[t]]]}
+    assert {r.doc_id for r in corpus_pipeline.dedup_near_copies(spark, docs, "").collect()} - {None} == want
+
+
+def test_simhash_links_take_any_radius(spark):
+    rng = random.Random(13)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(12)]
+    fps += [(f ^ sum(1 << b for b in rng.sample(range(64), 7)) + 2**63) % 2**64 - 2**63 for f in fps]
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 7).collect()}
+    assert got == {(min(a, b), max(a, b)) for a, b in combinations(fps, 2) if ((a ^ b) % 2**64).bit_count() <= 7}
+
+
 # 8
 
 def test_caps_against_all_pairs(spark, monkeypatch):

@@ -10,21 +10,32 @@ Fingerprints that are equal are one row throughout. A key shared by more than `C
 fingerprints isn't joined with itself: the fingerprints under it are linked through the balls of
 radius one instead, which is exact for r = 2. Two of them differ in at most two bits exactly if
 they have a neighbour within one bit in common, and at most 65 fingerprints lie around one.
+
+Other radii leave no key that parts the fingerprints well, so they are compared block by block.
+So does `copies`, which links texts by the exact Jaccard similarity of their shingle sets:
+fingerprints of 128 bits, compared among sets of like size, only choose the pairs to verify.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from throughline.llm.components import components
-from throughline.llm.frames import append, stage, texts
+from throughline.llm.frames import append, arrow_map, ship, stage, texts
 
 BITS, CROWD, SEED = 64, 64, 42
 #: Shingles whose bits are counted at a time.
 RUN = 1 << 16
+#: Fingerprints on either side of a block of comparisons, and rows compared at a time.
+BLOCK, ROWS = 8192, 128
+#: Standard deviations by which the wide fingerprints' radius exceeds the mean distance at the threshold.
+SPREAD = 4.5
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -76,8 +87,9 @@ def _at_start(masks: list[int]) -> Column:
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints `fp` just as all pairs within the radius would."""
-    if radius != 2:
-        raise ValueError("the balls that crowded keys need are exact for radius 2")
+    if radius != 2:  # the balls that crowded keys need are exact for radius 2
+        items = fps.select(F.col("fp").alias("sid"), F.col("fp").alias("hi"), F.lit(0).cast("long").alias("lo"), F.lit(0).alias("bucket"), F.col("fp").alias("label"))
+        return _near(items, radius, every=True)
     m = len(ring(radius))
     exact = -(-m // radius) - 1
     keyed = (fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("start"))
@@ -117,3 +129,153 @@ def groups(df: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id
     held = fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = held.groupBy("component").agg(F.min("first").alias("component_id"))
     return own.join(held.join(names, "component").select("fp", "component_id"), "fp")
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's different word shingles; of fewer words, of the whole."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    line = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    ends = ends.tolist()[words - 1:] if len(found) >= words else [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:z], SEED) for a, z in zip(starts, ends, strict=False)), np.uint64, len(ends)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set of hashes, as two signed longs: the majority of the hashes and that of the same hashes mixed."""
+    ones, n = np.zeros(2 * BITS, np.int64), len(hashes)
+    for at in range(0, n, RUN):
+        h = hashes[at:at + RUN]
+        mixed = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        both = np.stack([h, mixed ^ (mixed >> np.uint64(31))], axis=1).astype(">u8")
+        ones += np.unpackbits(both.view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+    hi, lo = np.packbits(2 * ones > n).view(">i8").tolist()
+    return hi, lo
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which nearly all sets of that similarity differ at most: at 0.8 their mean is 19 of 128, the radius 38."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(2 * BITS * p + SPREAD * math.sqrt(2 * BITS * p * (1 - p)))
+
+
+def _near(items: DataFrame, radius: int, every: bool) -> DataFrame:
+    """The pairs (u, v) of `items` (sid, hi, lo, bucket, label) within the radius, in the same bucket or neighbouring ones.
+
+    Only pairs with different labels count. Unless `every` of them is wanted, each item brings its nearest and its
+    least one within a block.
+    """
+    spark = items.sparkSession
+    ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = items.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = items.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(SEED)), "blocks").cast("int")).drop("blocks")
+    unit = sizes.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    low, high = unit.toDF("b", "i"), unit.toDF("c", "j")
+    tasks = (low.join(high, F.col("c") == F.col("b")).filter("i <= j")
+             .unionByName(low.join(high, F.col("c") == F.col("b") + 1)))
+    key = ["b", "i", "c", "j"]
+    left = tasks.withColumn("bucket", F.col("b")).withColumn("block", F.col("i")).withColumn("right", F.lit(False))
+    right = tasks.filter("b != c or i != j").withColumn("bucket", F.col("c")).withColumn("block", F.col("j")).withColumn("right", F.lit(True))
+    rows = placed.join(left.unionByName(right), ["bucket", "block"]).select(*key, "right", "sid", "hi", "lo", "label")
+
+    def compare(block: list[tuple]) -> pa.RecordBatch:
+        side, sid, hi, lo, label = (np.concatenate(c) for c in zip(*block, strict=True)) if block else np.empty((5, 0), np.int64)
+        cut = int((side == 0).sum())
+        hi, lo = hi.view(np.uint64), lo.view(np.uint64)     # of a negative number, bitwise_count() takes the absolute value
+        alone, us, vs = cut == len(side), [], []
+        to = slice(0, cut) if alone else slice(cut, None)
+        for at in range(0, cut, ROWS):
+            own = slice(at, min(at + ROWS, cut))
+            apart = np.bitwise_count(hi[own, None] ^ hi[None, to]) + np.bitwise_count(lo[own, None] ^ lo[None, to])
+            near = apart <= radius
+            if not near.any():
+                continue
+            near &= label[own, None] != label[None, to]
+            if every:
+                i, j = np.nonzero(near)
+            else:
+                apart[~near] = 255
+                r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                i = np.concatenate([r, r, apart[:, c].argmin(0), near[:, c].argmax(0)])
+                j = np.concatenate([apart[r].argmin(1), near[r].argmax(1), c, c])
+            a, b = sid[own][i], sid[to][j]
+            us.append(np.minimum(a, b))
+            vs.append(np.maximum(a, b))
+        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in key], axis=1)
+            columns = [np.asarray(batch.column("right").to_pylist(), np.int64), *(batch.column(c).to_numpy() for c in ("sid", "hi", "lo", "label"))]
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, z in zip(ends, ends[1:], strict=False):
+                if a == z:
+                    continue
+                if (k := tuple(keys[a].tolist())) != now:
+                    yield compare(block)
+                    now, block = k, []
+                block.append(tuple(c[a:z] for c in columns))
+        yield compare(block)
+
+    return (rows.repartition(parts, *key).sortWithinPartitions(*key, "right", "sid")
+            .mapInArrow(run, "u long, v long").distinct())
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have at least the Jaccard similarity."""
+    both = (pairs.join(sets.select(F.col("sid").alias("u"), F.col("hashes").alias("a")), "u")
+            .join(sets.select(F.col("sid").alias("v"), F.col("hashes").alias("b")), "v"))
+
+    def start():
+        def step(part: pa.RecordBatch):
+            good = []
+            for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        return step
+
+    return arrow_map(both.select("u", "v", "a", "b"), "u long, v long", start)
+
+
+def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row: the least id reachable over texts whose sets of shingles have the Jaccard similarity.
+
+    Sets that differ in size by more than the similarity allows are not compared. Of the others,
+    all within `wide_radius` are: first each with its nearest ones, then all that are still in
+    different components. Texts without words are copies of each other. Nulls, ids and repeats
+    are as in `groups`.
+    """
+    step = math.log(1 / similarity) + 1e-9
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def start():
+        def each(part: pa.RecordBatch) -> list[pa.Array]:
+            sets = [shingle_set(t, words) for t in texts(part, "text")]
+            wide = [wide_fingerprint(s) for s in sets]
+            return [pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64()),
+                    pa.array([w[0] for w in wide], pa.int64()), pa.array([w[1] for w in wide], pa.int64()),
+                    pa.array([int(math.log(len(s) or 0.5) / step // 1) for s in sets], pa.int32()),
+                    pa.array([s.tobytes() for s in sets], pa.binary())]
+        return each
+
+    own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id"]), "shingle-sets")
+    sets = own.select("sid", "hashes").dropDuplicates(["sid"])
+    items = stage(own.groupBy("sid").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("hi", "lo", "bucket")]), "distinct-sets")
+    radius, marks = wide_radius(similarity), items.select("sid", "hi", "lo", "bucket")
+    edges = stage(_alike(_near(marks.withColumn("label", F.col("sid")), radius, every=False), sets, similarity), "nearest-copies")
+    found = components(edges).withColumnRenamed("node", "sid")
+    labelled = marks.join(found, "sid", "left").withColumn("label", F.coalesce("component", "sid")).drop("component")
+    edges = edges.unionByName(_alike(_near(labelled, radius, every=True), sets, similarity))
+    found = components(edges).withColumnRenamed("node", "sid")
+    held = items.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    names = held.groupBy("component").agg(F.min("first").alias("component_id"))
+    return own.select("doc_id", "sid").join(held.join(names, "component").select("sid", "component_id"), "sid").select("doc_id", "component_id")
