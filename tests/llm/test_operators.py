@@ -321,6 +321,25 @@ def test_wand_retrieves_all_above_the_threshold(spark):
     assert decontaminate.find_leaks(frame, bench.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_partial_and_edited_items_are_found(spark):
+    rng = random.Random(14)
+    items = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(n))) for i, n in enumerate([16, 20, 25, 30, 40, 55] * 3)]
+    around = [" ".join(f"w{rng.randrange(900)}" for _ in range(90)) for _ in range(2)]
+    docs, want = [], {}
+    for i, t in items:
+        w = t.split()
+        changed = [list(w) for _ in range(3)]
+        for k, c in enumerate(changed):
+            for at in rng.sample(range(len(w)), k + 1):
+                c[at] = "changed"
+        mixed = rng.sample(w, len(w))
+        for c, found in [(w[:int(len(w) * 0.85)], True), *((c, True) for c in changed), (mixed, False), (w[:len(w) // 4], False)]:
+            want[len(docs)] = [i] if found else []
+            docs.append((len(docs), f"{around[0]} {' '.join(c)} {around[1]}"))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found.collect()} == want
+
+
 # the pipeline
 
 def test_pipeline_stages(spark):

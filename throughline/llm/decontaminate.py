@@ -10,8 +10,10 @@ For every passage, the block maxima of its words bound the scores in each block;
 can't reach the threshold are skipped for good. In the others, WAND moves a pivot over the
 postings: items before the place where the terms' maxima could reach the threshold are never
 scored. All items at or above the threshold are retrieved and then verified: enough of the word
-shingles of the question (the first two thirds of the item) and of the answer (the rest) have to
-occur in the passage.
+shingles of the question (the first two thirds of the item) have to occur in the passage, or
+enough of the whole item's words, in pairs of neighbours at least. So an item that was cut short
+or had some words changed is found, a short one too, while its words in another order are not.
+The overlap of the answer (the last third) is reported, but decides nothing.
 
 The index is sent to the executors; its size is checked, and items beyond `SHARD` bytes of text go
 into further shards, each with its own pass over the texts. Term statistics cover all items.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from throughline.llm.frames import append, ship, stage, texts
 
 K1, B, BLOCK, SHARD = 1.2, 0.75, 4, 32 << 20
-SHINGLE, SHORTEST_RUN = 5, 32
+SHINGLE, SHORTEST_RUN, PAIR = 5, 32, 2
 
 _FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -56,6 +58,18 @@ def overlap_with(wanted: set[tuple[bytes, ...]], tokens: list[bytes], held: dict
     return len(wanted & held[size]) / len(wanted)
 
 
+def covered(item: list[bytes], tokens: list[bytes], held: dict[int, set]) -> float:
+    """The share of an item's words that lie in runs of `PAIR` words or more which occur in a passage."""
+    size = min(PAIR, len(item))
+    if size not in held:
+        held[size] = shingles(tokens, size)
+    inside = [False] * len(item)
+    for i in range(len(item) - size + 1):
+        if tuple(item[i:i + size]) in held[size]:
+            inside[i:i + size] = [True] * size
+    return sum(inside) / len(item)
+
+
 class Index:
     """Postings of a shard of items with their block maxima.
 
@@ -85,6 +99,7 @@ class Index:
                 self.maxima[i, b] = np.nextafter(np.float32(max(x for _, x in posting)), np.float32(2))
         self.run = max([SHORTEST_RUN, *(len(t) for *_, t, _ in scored)])
         cut = [-(-2 * len(t) // 3) for *_, t, _ in scored]
+        self.items = [t for *_, t, _ in scored]
         self.questions = [shingles(t[:c]) for c, (*_, t, _) in zip(cut, scored, strict=True)]
         self.answers = [shingles(t[c:]) for c, (*_, t, _) in zip(cut, scored, strict=True)]
 
@@ -147,7 +162,7 @@ class Index:
             held: dict[int, set] = {}
             for item, score in found:
                 q, a = (overlap_with(s, tokens[span], held) for s in (self.questions[item], self.answers[item]))
-                if q >= overlap and a >= overlap and score > best.get(item, (0.0,))[0]:
+                if (q >= overlap or covered(self.items[item], tokens[span], held) >= overlap) and score > best.get(item, (0.0,))[0]:
                     best[item] = (score, q, a)
         return sorted((self.ids[i], *b) for i, b in best.items())
 
