@@ -253,6 +253,20 @@ def test_line_dedup_against_all_pairs(spark, monkeypatch, crowd):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_lines_with_a_changed_word_or_letter_are_linked(spark):
+    rng, five = random.Random(15), lambda x: {x[i:i + 5] for i in range(len(x) - 4)}
+    rows, near = [], 0
+    for i in range(120):
+        line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8))) for _ in range(rng.randrange(10, 25)))
+        w, at = line.split(), rng.randrange(2, 8)
+        other = " ".join(w[:at] + w[at + 1:] if i % 3 == 0 else [*w[:at], "new", *w[at + 1:]]) if i % 3 < 2 else line[:30] + "#" + line[31:]
+        if len(five(line) & five(other)) >= 0.8 * len(five(line) | five(other)):
+            rows += [(2 * i, line), (2 * i + 1, other)]
+            near += 1
+    got = lines.dedup(spark.createDataFrame(rows, DOCS)).filter("n_removed = 1 and doc_id % 2 = 1").count()
+    assert near > 60 and got >= 0.97 * near
+
+
 # 3 and 9
 
 def test_similar_lines_by_hashes_are_the_exact_ones():
