@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from throughline.config import FAMILIES, PITCH, Cols
 from throughline.functions import hashing
+from throughline.operators.metrics import bootstrap, drawn, observed
+from throughline.session import small_side, stage
 
 STRATUM = ["pitcher", "count_state", "pitch_number", "stand", "p_throws", "multiset"]
 SIMILAR = ["pitcher", "count_state", "pitch_number"]
@@ -93,22 +97,110 @@ def speed_gap_slope(df: DataFrame, by: list[str], c: Cols = PITCH) -> DataFrame:
         F.regr_r2(F.col(c.reward), gap).alias("gain"))
 
 
-def permutation_pvalue(df: DataFrame, rounds: int, seed: int, width: int = WIDTH,
-                       strata: list[str] | None = None, c: Cols = PITCH) -> DataFrame:
-    """Share of permuted gains at least as large as the observed one.
+def counterfactual(df: DataFrame, fields: list[str], seed: int, strata: list[str] | None = None,
+                   width: int = WIDTH, c: Cols = PITCH) -> DataFrame:
+    """Every decision beside the history of another row of its stratum, in `donor_<field>`.
+
+    `donor_id` is null where a row keeps its own: first decisions, which have none, and rows alone
+    in their stratum.
+    """
+    first = df.filter(~F.coalesce(F.col(c.order) >= 2, F.lit(False))).withColumns({
+        "donor_id": F.lit(None).cast(df.schema[c.row].dataType), **{f"donor_{f}": F.col(f) for f in fields}})
+    return permute_history(df, fields, seed, width, strata, c).unionByName(first)
+
+
+def own_and_donor(swapped: DataFrame, keys: list[str], fields: list[str], keep: list[str]) -> DataFrame:
+    """Two rows for each decision, `donor` 0 and 1: its context under its own history and under the donor's.
+
+    Counted by `keep`, so that what meets the model's cells is one row for each distinct pair.
+    """
+    def side(donor: int) -> Column:
+        return F.struct(F.lit(donor).alias("donor"), *[F.col(f"donor_{k}" if donor and k in fields else k).alias(k) for k in keys])
+
+    keep = [k for k in keep if k not in keys]
+    moved = F.col("donor_id").isNotNull().cast("long").alias("_moved")
+    long = swapped.select(*keep, moved, F.inline(F.array(side(0), side(1))))
+    return long.groupBy(*keep, *keys, "donor").agg(F.count("*").alias("n"), F.sum("_moved").alias("moved"))
+
 
-    The gain is the share of reward variance the previous speed difference explains. All rounds
-    run in one pass: the round number joins the hash and the window key.
+def gap_intervals(losses: DataFrame, cluster: list[str], by: list[str], views: list[str], replicates: int,
+                  seed: int) -> DataFrame:
+    """Per view the mean loss under own and donor histories, and their gap with a clustered interval.
+
+    `losses` has `n`, `moved`, `donor` and a mean loss per view in `loss_<view>` (see `own_and_donor`).
+    """
+    def of(donor: int, value: Column) -> Column:
+        return F.when(F.col("donor") == donor, value).otherwise(F.lit(0.0))
+
+    sums = {"n": of(0, F.col("n").cast("double")), "moved": of(0, F.col("moved").cast("double"))}
+    for v in views:
+        sums |= {f"{side}_{v.lower()}": of(d, F.col("n") * F.col(f"loss_{v.lower()}")) for d, side in enumerate(("own", "donor"))}
+    reps = bootstrap(losses, cluster, sums, by, replicates, seed).filter(F.col("n") > 0)
+    cells = F.array(*[F.struct(F.lit(v).alias("state_view"), (F.col(f"own_{v.lower()}") / F.col("n")).alias("_own"),
+                               (F.col(f"donor_{v.lower()}") / F.col("n")).alias("_donor")) for v in views])
+    long = reps.select(*by, "replicate", "n", "moved", F.inline(cells)).withColumn("_gap", F.col("_donor") - F.col("_own"))
+    return long.groupBy(*by, "state_view").agg(
+        observed("n").cast("long").alias("n"), observed("moved").cast("long").alias("moved"),
+        observed("_own").alias("loss_own"), observed("_donor").alias("loss_donor"), observed("_gap").alias("gap"),
+        F.percentile(drawn("_gap"), 0.025).alias("gap_lo"), F.percentile(drawn("_gap"), 0.975).alias("gap_hi"))
+
+
+#: Rows of a stratum that are ordered together.
+BLOCK = 4096
+
+
+def shifted_sums(df: DataFrame, own: list[str], donor: list[str], terms: dict[str, Callable[[Column, Column], Column]],
+                 rounds: int, seed: int, strata: list[str] | None = None, block: int = BLOCK, c: Cols = PITCH) -> DataFrame:
+    """Per round r from 0 to `rounds`, the sums of `terms` over all decisions with a history, each beside
+    the history of the row r places on in its stratum's hashed order (from the end on to the start). Round 0 is the observed one.
+
+    `terms` are functions of a row's `own` fields and of another row's `donor` fields. One order
+    serves all rounds: the log moves once, as lists of a stratum's rows, and comes out as one sum for each round.
+    A stratum of more than `block` rows is dealt out by its hash in parts of about that size; of a
+    part, only the first `rounds` histories go to the part before it.
     """
-    strata = strata or SIMILAR
+    strata = strata or STRATUM
     rows = df.filter(F.col(c.order) >= 2).select(
-        c.row, c.order, *[x for x in strata if x != c.order], c.reward, "release_speed",
-        "prev_release_speed")
-    observed = speed_gap_slope(rows, []).select("gain").scalar()
-    copies = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    swapped = _swap(copies, strata, ["prev_release_speed"], seed, width, ["round"], c)
-    gap = F.abs(F.col("release_speed") - F.col("donor_prev_release_speed"))
-    gains = swapped.groupBy("round").agg(F.regr_r2(F.col(c.reward), gap).alias("gain"))
-    return gains.withColumn("observed", observed).agg(
-        F.first("observed").alias("observed_gain"), F.avg("gain").alias("mean_permuted_gain"),
-        ((1 + F.count_if(F.col("gain") >= F.col("observed"))) / (F.lit(1) + F.lit(rounds))).alias("p_value"))
+        *strata, hashing.digest(seed, c.row).alias("_h"), F.col(c.row).alias("_id"),
+        F.struct(*own).alias("own"), F.struct(*donor).alias("donor"))
+    large = (rows.groupBy(*strata).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+             .select(*strata, F.ceil(F.col("_n") / F.lit(block)).alias("_parts")))
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    dealt = (rows.join(small_side(large), strata, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+             .withColumn("_part", F.floor(place * F.col("_parts"))))
+    lists = stage(dealt.groupBy(*strata, "_parts", "_part").agg(
+        F.array_sort(F.collect_list(F.struct("_h", "_id", "own", "donor"))).alias("_rows")), "shifts")
+    line = W.partitionBy(*strata).orderBy("_part")
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    heads = (lists.filter("_parts > 1").select(*strata, "_part", F.slice(F.col("_rows")["donor"], 1, rounds).alias("_head"))
+             .withColumn("_next", F.coalesce(F.lead("_head").over(line), F.first("_head").over(whole))))
+    full = F.when(F.size("_next") == rounds, F.col("_next")).otherwise(
+        F.raise_error(F.lit("a part of a stratum holds fewer rows than there are rounds")))
+    long = lists.filter("_parts > 1").join(heads.drop("_head"), [*strata, "_part"]).select(
+        "_rows", F.concat(F.col("_rows")["donor"], full).alias("_donors"))
+    short = lists.filter("_parts = 1").select("_rows", F.col("_rows")["donor"].alias("_donors"))
+
+    def summed(term: Callable[[Column, Column], Column]) -> Column:
+        def at(r: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(0), F.size("_rows") - 1), F.lit(0.0), lambda total, i: total + term(
+                F.col("_rows")[i]["own"], F.col("_donors")[(i + r) % F.size("_donors")]))
+        return F.transform(F.sequence(F.lit(0), F.lit(rounds)), at)
+
+    made = long.unionByName(short).select(
+        F.size("_rows").alias("n"), F.posexplode(F.arrays_zip(*[summed(t).alias(k) for k, t in terms.items()])).alias("round", "_z"))
+    return made.groupBy("round").agg(F.sum("n").alias("n"), *[F.sum(F.col("_z")[k]).alias(k) for k in terms])
+
+
+def permutation_pvalue(gains: DataFrame, names: list[str], slack: float = 1e-12) -> DataFrame:
+    """Per name, the share of rounds (the observed one counts as one) whose gain is no less than the observed one.
+
+    `gains` has one row a round with a gain per name; round 0 is observed. `slack` takes up the order of summing.
+    """
+    long = gains.unpivot(["round"], names, "statistic", "gain")
+    both = long.groupBy("statistic").agg(
+        F.max(F.when(F.col("round") == 0, F.col("gain"))).alias("observed_gain"),
+        F.collect_list(F.when(F.col("round") > 0, F.col("gain"))).alias("_drawn"))
+    as_large = F.size(F.filter("_drawn", lambda g: g >= F.col("observed_gain") - F.lit(slack)))
+    return both.select("statistic", "observed_gain", F.size("_drawn").cast("long").alias("rounds"),
+                       (F.aggregate("_drawn", F.lit(0.0), lambda a, g: a + g) / F.size("_drawn")).alias("mean_permuted_gain"),
+                       ((1 + as_large) / (F.lit(1) + F.size("_drawn"))).alias("p_value"))

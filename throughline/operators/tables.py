@@ -177,6 +177,11 @@ def value_table(train: DataFrame, state: list[str], k: float, c: Cols = PITCH,
                 alphabet=FAMILIES) -> DataFrame:
     """q(state, action) for all actions as arrays: cell mean shrunk to the action's mean,
     that to the overall mean; `q_sd` the uncertainty."""
+    return state_values(train, state, k, c, alphabet)[0]
+
+
+def state_values(train: DataFrame, state: list[str], k: float, c: Cols = PITCH, alphabet=FAMILIES) -> tuple[DataFrame, Column]:
+    """The value table, and the actions' own means with the variance as a scalar."""
     seen = train.filter(F.col(c.reward).isNotNull())
     idx = range(len(alphabet))
     here = [F.col(c.action) == a for a in alphabet]
@@ -198,7 +203,17 @@ def value_table(train: DataFrame, state: list[str], k: float, c: Cols = PITCH,
         F.array(*[F.col(f"_n{i}") for i in idx]).alias("q_n"),
         F.array(*[(F.col(f"_s{i}") + F.lit(k) * F.col("_w")["q"][i]) / (F.col(f"_n{i}") + F.lit(k))
                   for i in idx]).alias("q"),
-        F.array(*[F.sqrt(F.col("_w")["var"] / (F.col(f"_n{i}") + F.lit(k))) for i in idx]).alias("q_sd"))
+        F.array(*[F.sqrt(F.col("_w")["var"] / (F.col(f"_n{i}") + F.lit(k))) for i in idx]).alias("q_sd")), whole
+
+
+def with_values(rows: DataFrame, values: tuple[DataFrame, Column], state: list[str], k: float,
+                alphabet=FAMILIES) -> DataFrame:
+    """`rows` with `q`, `q_sd` and `q_n` of their state, from `state_values`; in a state without training rows the actions' own means."""
+    table, whole = values
+    out = rows.join(table, state, "left").withColumn("_w", whole)
+    none = F.array(*[F.lit(0).cast("long") for _ in alphabet])
+    alone = F.transform("_w.q", lambda x: F.sqrt(F.col("_w.var") / F.lit(k)))
+    return out.withColumns({"q_n": F.coalesce("q_n", none), "q": F.coalesce("q", "_w.q"), "q_sd": F.coalesce("q_sd", alone)}).drop("_w")
 
 
 # Lower edges of the support bins.

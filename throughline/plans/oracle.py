@@ -34,12 +34,10 @@ _OUTCOME = _case("description", OUTCOME_TOKENS, "'other'")
 FAMILY_LIST = ",".join(f"'{f}'" for f in FAMILIES)
 
 LOG = f"""
-slots AS (SELECT 1 + max(o_orderkey)//15000 AS k FROM orders),
 placed AS (
   SELECT o.*, dd//28 AS blk,
-    ((dd//28)*16 + o_orderkey%8*2 + CASE WHEN dd%28>=14 THEN 1 ELSE 0 END)*k
-      + (o_orderkey//8)%k AS game_pk
-  FROM (SELECT *, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS dd FROM orders) o, slots),
+    (o_orderkey//15000)*1048576 + (dd//28)*16 + o_orderkey%8*2 + CASE WHEN dd%28>=14 THEN 1 ELSE 0 END AS game_pk
+  FROM (SELECT *, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS dd FROM orders) o),
 lined AS (
   SELECT *, {_case("l_returnflag||l_linestatus", FLAG_DESCRIPTIONS, "'unknown'")} AS description,
     ({_CODES})[TRY_CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT)] AS pitch_type,

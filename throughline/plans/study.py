@@ -105,12 +105,16 @@ def view_losses(spark: SparkSession, path: str) -> DataFrame:
     """
     train, held = train_and_held(spark, path)
     keys = VIEW_LEVELS["OM"][-1]
-    pairs = held.select(*keys, "family").distinct()
+    return held.join(pair_losses(train, held.select(*keys, "family").distinct()), [*keys, "family"])
+
+
+def pair_losses(train: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One log-loss column per view for distinct pairs of a context (the keys of OM) and an action."""
+    keys = VIEW_LEVELS["OM"][-1]
     chains = {f"_p_{v}": levels for v, levels in VIEW_LEVELS.items()}
     look = eb_views(count_cells(train, keys), pairs, chains, STUDY.shrink)
-    losses = [log_loss_of(F.col(f"_p_{v}"), F.col("family")).alias(f"loss_{v.lower()}")
-              for v in VIEW_LEVELS]
-    return held.join(look.select(*keys, "family", *losses), [*keys, "family"])
+    return look.select(*keys, "family", *[
+        log_loss_of(F.col(f"_p_{v}"), F.col("family")).alias(f"loss_{v.lower()}") for v in VIEW_LEVELS])
 
 
 # ---------------------------------------------------------------- SQL side

@@ -1,7 +1,8 @@
 """The driver's order tables read as a pitch log: an order is an episode, a line a decision.
 
-Games stay small however large the data: every 15,000 orders open another set of
-slots in the schedule, so an at-bat number stays below 1000 and a game fits a window.
+Games stay small however large the data: every 15,000 order keys have games of their own, so an
+at-bat number stays below 1000 and a game fits a window. A game's id is made of its order's own
+block, key and date alone: orders that come later change no id.
 """
 
 from __future__ import annotations
@@ -15,24 +16,22 @@ BRAND_CODES = ["FF", "SI", "FT", "FC", "SL", "ST", "SV", "CU", "KC", "CS", "CH",
 FLAG_DESCRIPTIONS = {"AF": "ball", "RO": "ball", "AO": "called_strike",
                      "NF": "swinging_strike", "NO": "foul", "RF": "hit_into_play"}
 ORDERS_PER_SLOT = 15_000
+#: Ids that the games of one run of order keys may take; the schedule of a century needs 20,864 of them.
+SLOT = 1 << 20
 
 
 def pitch_log(spark: SparkSession, path: str) -> DataFrame:
     orders = spark.read.parquet(f"{path}/orders.parquet")
     lines = spark.read.parquet(f"{path}/lineitem.parquet")
     parts = spark.read.parquet(f"{path}/part.parquet").select("p_partkey", "p_brand")
-    slots = orders.agg(
-        (F.floor(F.max("o_orderkey") / F.lit(ORDERS_PER_SLOT)) + 1).cast("long")).scalar()
-
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
     block = F.floor(day / 28).cast("long")
     placed = (
-        orders.withColumns({"_block": block, "_half": (day % 28 >= 14).cast("int"),
-                            "_slots": slots})
+        orders.withColumns({"_block": block, "_half": (day % 28 >= 14).cast("int")})
         .select(
             "o_orderkey", "o_custkey", "o_orderstatus", "_block",
-            ((F.col("_block") * 16 + F.col("o_orderkey") % 8 * 2 + F.col("_half")) * F.col("_slots")
-             + F.floor(F.col("o_orderkey") / 8).cast("long") % F.col("_slots")).alias("game_pk"),
+            (F.floor(F.col("o_orderkey") / ORDERS_PER_SLOT).cast("long") * SLOT
+             + F.col("_block") * 16 + F.col("o_orderkey") % 8 * 2 + F.col("_half")).alias("game_pk"),
         )
     )
     joined = (
