@@ -152,7 +152,9 @@ BLOCK = 4096
 def shifted_sums(df: DataFrame, own: list[str], donor: list[str], terms: dict[str, Callable[[Column, Column], Column]],
                  rounds: int, seed: int, strata: list[str] | None = None, block: int = BLOCK, c: Cols = PITCH) -> DataFrame:
     """Per round r from 0 to `rounds`, the sums of `terms` over all decisions with a history, each beside
-    the history of the row r places on in its stratum's hashed order (from the end on to the start). Round 0 is the observed one.
+    the history of a row some places on in its stratum's hashed order (from the end on to the start). A stratum
+    of n rows draws its places in round r from the first min(n, rounds + 1), by a number of its own; they
+    are none in round 0, which is the observed one.
 
     `terms` are functions of a row's `own` fields and of another row's `donor` fields. One order
     serves all rounds: the log moves once, as lists of a stratum's rows, and comes out as one sum for each round.
@@ -169,7 +171,7 @@ def shifted_sums(df: DataFrame, own: list[str], donor: list[str], terms: dict[st
     dealt = (rows.join(small_side(large), strata, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
              .withColumn("_part", F.floor(place * F.col("_parts"))))
     lists = stage(dealt.groupBy(*strata, "_parts", "_part").agg(
-        F.array_sort(F.collect_list(F.struct("_h", "_id", "own", "donor"))).alias("_rows")), "shifts")
+        F.array_sort(F.collect_list(F.struct("_h", "_id", "own", "donor"))).alias("_rows")).withColumn("_u", hashing.uniform(seed, *strata)), "shifts")
     line = W.partitionBy(*strata).orderBy("_part")
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     heads = (lists.filter("_parts > 1").select(*strata, "_part", F.slice(F.col("_rows")["donor"], 1, rounds).alias("_head"))
@@ -177,16 +179,19 @@ def shifted_sums(df: DataFrame, own: list[str], donor: list[str], terms: dict[st
     full = F.when(F.size("_next") == rounds, F.col("_next")).otherwise(
         F.raise_error(F.lit("a part of a stratum holds fewer rows than there are rounds")))
     long = lists.filter("_parts > 1").join(heads.drop("_head"), [*strata, "_part"]).select(
-        "_rows", F.concat(F.col("_rows")["donor"], full).alias("_donors"))
-    short = lists.filter("_parts = 1").select("_rows", F.col("_rows")["donor"].alias("_donors"))
+        "_u", "_rows", F.concat(F.col("_rows")["donor"], full).alias("_donors"))
+    short = lists.filter("_parts = 1").select("_u", "_rows", F.col("_rows")["donor"].alias("_donors"))
+
+    turn = F.transform(F.sequence(F.lit(0), F.lit(rounds)), lambda r: F.floor(
+        (r * F.col("_u") - F.floor(r * F.col("_u"))) * F.least(F.size("_donors"), F.lit(rounds + 1))).cast("int"))
 
     def summed(term: Callable[[Column, Column], Column]) -> Column:
-        def at(r: Column) -> Column:
+        def at(places: Column) -> Column:
             return F.aggregate(F.sequence(F.lit(0), F.size("_rows") - 1), F.lit(0.0), lambda total, i: total + term(
-                F.col("_rows")[i]["own"], F.col("_donors")[(i + r) % F.size("_donors")]))
-        return F.transform(F.sequence(F.lit(0), F.lit(rounds)), at)
+                F.col("_rows")[i]["own"], F.col("_donors")[(i + places) % F.size("_donors")]))
+        return F.transform("_turns", at)
 
-    made = long.unionByName(short).select(
+    made = long.unionByName(short).withColumn("_turns", turn).select(
         F.size("_rows").alias("n"), F.posexplode(F.arrays_zip(*[summed(t).alias(k) for k, t in terms.items()])).alias("round", "_z"))
     return made.groupBy("round").agg(F.sum("n").alias("n"), *[F.sum(F.col("_z")[k]).alias(k) for k in terms])
 

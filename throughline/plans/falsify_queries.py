@@ -188,10 +188,10 @@ we AS (SELECT w.*, reward - (coalesce(s,0)+{K}*wa.q)/(coalesce(n,0)+{K}) AS e, a
 wl AS (SELECT world, regr_intercept(e, x) AS a, regr_slope(e, x) AS b FROM we WHERE pitch_number >= 2 AND {TRAIN} GROUP BY 1),
 l_null AS (SELECT * FROM wl WHERE world='null'), l_effect AS (SELECT * FROM wl WHERE world='effect'),
 ord AS (SELECT h2.row_id, {FI} AS a, Uw, L1w, Ow, release_speed, prev_release_speed, en.e AS e_null, ee.e AS e_effect,
-    row_number() OVER (PARTITION BY {strata} ORDER BY {digest(SEED, 'h2.row_id')}, h2.row_id) - 1 AS pos, count(*) OVER (PARTITION BY {strata}) AS m, dense_rank() OVER (ORDER BY {strata}) AS sid
+    row_number() OVER (PARTITION BY {strata} ORDER BY {digest(SEED, 'h2.row_id')}, h2.row_id) - 1 AS pos, count(*) OVER (PARTITION BY {strata}) AS m, {uniform(SEED, *falsify.STRATUM)} AS u, dense_rank() OVER (ORDER BY {strata}) AS sid
   FROM h2 {joins} JOIN (SELECT row_id, e FROM we WHERE world='null') en USING (row_id) JOIN (SELECT row_id, e FROM we WHERE world='effect') ee USING (row_id)),
 pairs AS (SELECT i.*, r, d.L1w AS dl1, d.Ow AS d_o, abs(i.release_speed - d.prev_release_speed) AS x FROM ord i CROSS JOIN (SELECT unnest(range(0, {ROUNDS + 1})) AS r)
-  JOIN ord d ON d.sid=i.sid AND d.pos=(i.pos+r)%i.m),
+  JOIN ord d ON d.sid=i.sid AND d.pos=(i.pos + CAST(floor((r*i.u - floor(r*i.u))*least(i.m, {ROUNDS + 1})) AS BIGINT))%i.m),
 gains AS (SELECT r, (least(sum(Uw[i.a]), sum(dl1[i.a])) - sum(d_o[i.a]))/count(*) AS "order", {poly('null')}/count(*) AS "null", {poly('effect')}/count(*) AS effect
   FROM pairs i, l_null, l_effect GROUP BY 1)""")
 
