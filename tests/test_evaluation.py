@@ -170,20 +170,55 @@ def test_restrict_and_mix(spark):
 
 
 def test_backward_values_by_hand(spark):
-    """s0 -a-> s1 (reward 1), s1 -a-> end (reward 2): values 3 and 2; one round sees 1 and 2."""
+    """s0 -a-> s1 (reward 1), s1 -a-> end (reward 2): values 3 and 2."""
     t = spark.createDataFrame([("s0", "FF", "s1", 2, 2, 2.0), ("s1", "FF", "end", 1, 1, 2.0)],
                               "state string, action string, next_state string, n long, n_reward long, sum_reward double")
-    v = {h: {r.state: r.v for r in policy.mdp_value(t, h).collect()} for h in (1, 2, 5)}
-    assert v[1] == {"s0": 1.0, "s1": 2.0}
-    assert v[2] == v[5] == {"s0": 3.0, "s1": 2.0}
-    g = {r.state: (r.v, r.action) for r in policy.greedy_value(t, 4).collect()}
+    assert {r.state: r.v for r in policy.mdp_value(t).collect()} == {"s0": 3.0, "s1": 2.0}
+    g = {r.state: (r.v, r.action) for r in policy.greedy_value(t).collect()}
     assert g["s0"] == (3.0, "FF")
 
 
+def test_values_of_a_loop_stand_still(spark):
+    """A state that is left with probability 1/4 and pays 1 a step is worth 4; one that is never left has no value."""
+    schema = "state string, action string, next_state string, n long, n_reward long, sum_reward double"
+    t = spark.createDataFrame([("s", "FF", "s", 3, 3, 3.0), ("s", "FF", "end", 1, 1, 1.0)], schema)
+    assert policy.mdp_value(t).first().v == pytest.approx(4.0, abs=1e-8)
+    # an action seen only to go on shares a decision with its state and so comes to an end
+    more = t.unionByName(spark.createDataFrame([("s", "SL", "s", 2, 2, 4.0)], schema))
+    assert policy.greedy_value(more).first().action == "SL"
+    with pytest.raises(policy.NoFixedPoint):
+        policy._fixed_point(policy._with_policy(policy._steps(spark.createDataFrame([("s", "FF", "s", 1, 1, 1.0)], schema)), None, []),
+                            policy.FOLLOW, [], limit=256)
+
+
+@pytest.mark.parametrize("choice", [policy.FOLLOW, policy.BEST, policy.Choice(lambda get: 0.001 / get("mu"), best=True)])
+def test_rounds_in_rows_equal_rounds_by_joins(spark, sf, choice):
+    steps = policy._with_policy(policy._steps(policy.transitions(study_rows(spark, sf)), 1.0), None, []).withColumn("k", F.lit(1))
+    q, v = zip(*[[{tuple(r[:-1]): r[-1] for r in t.select("state", *(["action"] if i == 0 else []), "qv"[i]).collect()} for i, t in enumerate(
+        policy._fixed_point(steps, choice, ["k"], few=few))] for few in (0, 20_000)])
+    assert q[0] == pytest.approx(q[1], abs=1e-7) and v[0] == pytest.approx(v[1], abs=1e-7)
+
+
+def test_behaviour_is_worth_its_episodes(spark):
+    """Where the policy is behaviour, the value at the episodes' starts is their mean return, to the last episode's end."""
+    rows = study_rows(spark, "/root/testdata/sf0.01").withColumn("reward", F.coalesce("reward", F.lit(0.0)))
+    q = policy.fqe(policy.transitions(rows))
+    mean = rows.agg((F.sum("reward") / F.countDistinct("pa_id")).alias("m")).first().m
+    assert ope.fqe_value(rows.filter("pitch_number = 1"), q, []).first().fqe == pytest.approx(mean, abs=1e-7)
+
+
+def test_conservative_policy_stays_with_behaviour(spark):
+    q = spark.createDataFrame([("s", "FF", 0.9, 0.0, 0.0), ("s", "SL", 0.05, 0.1, 0.05), ("s", "XX", 0.05, 9.0, 9.0)],
+                              "state string, action string, mu double, q double, q_conservative double")
+    cold, warm = (policy.conservative_policy(q, "s", x).first().target for x in (0.001, 1e6))
+    assert cold[FAMILIES.index("SL")] == pytest.approx(1.0) and warm[0] == pytest.approx(0.9 / 0.95, abs=1e-5)
+    assert cold[-1] == warm[-1] == warm[1] == 0.0 and sum(warm) == pytest.approx(1.0)
+
+
 def test_conservative_q_penalises_rare_actions(spark):
     t = spark.createDataFrame([("s", "FF", "end", 99, 99, 0.0), ("s", "SL", "end", 1, 1, 0.05)],
                               "state string, action string, next_state string, n long, n_reward long, sum_reward double")
-    got = {r.action: r for r in policy.conservative_q(t, 2, 0.001).collect()}
+    got = {r.action: r for r in policy.conservative_q(t, 0.001).collect()}
     assert got["SL"].q > got["FF"].q and got["SL"].q_conservative < got["FF"].q_conservative
 
 

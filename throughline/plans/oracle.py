@@ -92,7 +92,7 @@ dec AS (
 def sql(body: str, *ctes: str, log: str = LOG) -> str:
     """`WITH <log, decision table>, <ctes> <body>`."""
     parts = [log.strip()] if log else []
-    return "WITH " + ",\n".join(parts + [c.strip() for c in ctes]) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(parts + [c.strip() for c in ctes]) + "\n" + body.strip()
 
 
 def shares(prefix: str = "n", expr: str = "family", names=FAMILIES) -> str:

@@ -15,9 +15,11 @@ from throughline.plans.study import (
 )
 
 K = STUDY.shrink
-DRAWS = 50
-HORIZON = 8
+DRAWS = 200
 BETA = 0.001
+TEMPERATURE = 0.01
+#: Decisions that an action shares with its state where a policy is chosen freely.
+PRIOR = 1.0
 SEED = STUDY.seed
 ALPHA = ["alpha"]
 
@@ -30,9 +32,15 @@ def _bandit(train: DataFrame) -> DataFrame:
 
 def _targeted(train: DataFrame, held: DataFrame, mu: str = "mu") -> DataFrame:
     """Held-out rows with behaviour, reward model and the feasible target."""
-    rows = with_probs(held, train, VIEW_LEVELS["C"], mu).join(_bandit(train), "count_state")
-    return rows.withColumn("target", policy.restrict(
-        F.col("target"), F.col("feasible"), F.col(mu)))
+    return _aimed(with_probs(held, train, VIEW_LEVELS["C"], mu), train, _bandit(train).select("count_state", "target"), mu)
+
+
+def _aimed(rows: DataFrame, train: DataFrame, targets: DataFrame, mu: str = "mu") -> DataFrame:
+    """`rows` with the reward model and a state's target kept to what is feasible; behaviour in states without one."""
+    valued = tables.with_values(rows, tables.state_values(train, ["count_state"], K), ["count_state"], K)
+    none = F.array(*[F.lit(False) for _ in FAMILIES])
+    return valued.join(targets, "count_state", "left").withColumn("target", F.coalesce(policy.restrict(
+        F.col("target"), F.coalesce("feasible", none), F.col(mu)), F.col(mu)))
 
 
 def _mixed(rows: DataFrame, alphas=STUDY.alphas) -> DataFrame:
@@ -68,30 +76,25 @@ def transitions(spark, path):
 
 def mdp_value(spark, path):
     trans = policy.transitions(train_and_held(spark, path)[0])
-    behaviour = policy.mdp_value(trans, HORIZON).withColumnRenamed("v", "v_behavior")
-    greedy = policy.greedy_value(trans, HORIZON).withColumnRenamed("v", "v_greedy")
+    behaviour = policy.mdp_value(trans).withColumnRenamed("v", "v_behavior")
+    greedy = policy.greedy_value(trans, PRIOR).withColumnRenamed("v", "v_greedy")
     return rounded(behaviour.join(greedy, "state"), "v_behavior", "v_greedy")
 
 
 def fqe(spark, path):
-    train = train_and_held(spark, path)[0]
-    rows = _state_policies(train)
-    pi = F.array(*[F.struct(F.lit(a).alias("action"), F.col("pi")[i].alias("pi"))
-                   for i, a in enumerate(FAMILIES)])
-    policies = rows.select("alpha", F.col("count_state").alias("state"), F.inline(pi))
-    q = policy.fqe(policy.transitions(train), HORIZON, policies, ALPHA)
-    return rounded(q, "pi", "q")
+    return rounded(_fqe_table(train_and_held(spark, path)[0]), "pi", "q")
 
 
-def _fqe_table(train: DataFrame) -> DataFrame:
+def _fqe_table(train: DataFrame, by: tuple[str, ...] = ("alpha",), policies: DataFrame | None = None) -> DataFrame:
+    rows = _state_policies(train) if policies is None else policies
     pi = F.array(*[F.struct(F.lit(a).alias("action"), F.col("pi")[i].alias("pi"))
                    for i, a in enumerate(FAMILIES)])
-    policies = _state_policies(train).select("alpha", F.col("count_state").alias("state"), F.inline(pi))
-    return policy.fqe(policy.transitions(train), HORIZON, policies, ALPHA)
+    cells = rows.select(*by, F.col("count_state").alias("state"), F.inline(pi))
+    return policy.fqe(policy.transitions(train), cells, list(by), PRIOR)
 
 
 def conservative_q(spark, path):
-    t = policy.conservative_q(policy.transitions(train_and_held(spark, path)[0]), HORIZON, BETA)
+    t = policy.conservative_q(policy.transitions(train_and_held(spark, path)[0]), BETA, PRIOR)
     return rounded(t, "mu", "q", "q_conservative")
 
 
@@ -167,9 +170,29 @@ def perturb(spark, path):
 
 
 def myopic_vs_full(spark, path):
-    rows = _logged(spark, path)
-    t = ope.myopic_vs_full(ope.episode_estimates(rows, ALPHA), ope.stepwise_dr(rows, ALPHA), ALPHA)
-    return rounded(t, "observed", "dm", "dr", "stepwise_dr")
+    """The bandit's target (one decision ahead) beside the policy read off the conservative values (the whole episode)."""
+    train, held = train_and_held(spark, path)
+    by = ["policy", "alpha"]
+    logged, full = [], []
+    mu = tables.eb_selection(train, [["count_state"]], K).select("count_state", normalise(F.col("probs")).alias("mu"))
+    for name, targets in {"bandit": _bandit(train).select("count_state", "target"), "conservative": _conservative(train)}.items():
+        rows = _aimed(with_probs(held, train, VIEW_LEVELS["C"], "mu"), train, targets)
+        logged.append(_mixed(rows).withColumn("policy", F.lit(name)))
+        states = mu.join(targets, "count_state", "left").withColumn("target", F.coalesce("target", "mu"))
+        full.append(_mixed(states).withColumn("policy", F.lit(name)))
+    rows = ope.logged(logged[0].unionByName(logged[1]), STUDY.weight_cap)
+    q = _fqe_table(train, ("policy", "alpha"), full[0].unionByName(full[1]))
+    t = ope.myopic_vs_full(ope.episode_estimates(rows, by), ope.stepwise_dr(rows, by), by)
+    t = t.join(ope.fqe_value(held.filter("pitch_number = 1"), q, by), by)
+    return rounded(t, "observed", "dm", "dr", "stepwise_dr", "fqe")
+
+
+def _conservative(train: DataFrame) -> DataFrame:
+    return policy.conservative_policy(policy.conservative_q(policy.transitions(train), BETA, PRIOR), "count_state", TEMPERATURE)
+
+
+def conservative_policy(spark, path):
+    return _conservative(train_and_held(spark, path)[0]).select("count_state", *spread("target", "target"))
 
 
 SPECS = {"count_pitcher": "mu", "count": "mu_count", "count_pitcher_prev": "mu_prev"}
@@ -198,12 +221,20 @@ BANDIT_SQL = f"""draws AS (SELECT q.*, d, {uniform(SEED, 'count_state', 'fam', '
 best AS (SELECT count_state, d, arg_max(fam, q + q_sd*(sqrt(-2*ln(greatest(u0, 1/4294967296.0::DOUBLE)))*cos(6.283185307179586::DOUBLE*u1))) AS fam FROM draws GROUP BY 1,2),
 bandit AS (SELECT q.count_state, q.fi, q.fam, any_value(q.q) AS q, any_value(q.q_sd) AS q_sd, count(b.d)/{DRAWS} AS target
   FROM q LEFT JOIN best b ON b.count_state=q.count_state AND b.fam=q.fam GROUP BY 1,2,3)"""
-TARGET_SQL = f"""pl AS (SELECT h.*, m.fi, m.fam, m.p AS mu, b.target, b.q, b.q_sd,
-    CASE m.fam {' '.join(f"WHEN '{f}' THEN ok_{f.lower()}" for f in FAMILIES)} END AS ok
-  FROM held h JOIN vc m ON m.count_state=h.count_state AND m.pitcher=h.pitcher JOIN bandit b ON b.count_state=h.count_state AND b.fam=m.fam),
-pt AS (SELECT *, CASE WHEN mass>0 THEN (CASE WHEN ok THEN target ELSE 0 END)/mass ELSE mu END AS tilde
-  FROM (SELECT *, sum(CASE WHEN ok THEN target ELSE 0 END) OVER (PARTITION BY row_id) AS mass FROM pl))"""
-BASE = [STUDY_SQL, Q_SQL, chain_sql("vc", VIEW_LEVELS["C"]), BANDIT_SQL, TARGET_SQL]
+QALL = f"""qall AS (SELECT c.count_state, f.fi, f.fam, coalesce(q.q, f.m) AS q, coalesce(q.q_sd, sqrt(f.v/{K})) AS q_sd
+  FROM (SELECT DISTINCT count_state FROM held) c CROSS JOIN qf f LEFT JOIN q ON q.count_state=c.count_state AND q.fam=f.fam)"""
+
+
+def target_sql(targets: str = "bandit", out: str = "pt") -> str:
+    return f"""{out}l AS (SELECT h.*, m.fi, m.fam, m.p AS mu, t.target, b.q, b.q_sd,
+    coalesce(CASE m.fam {' '.join(f"WHEN '{f}' THEN ok_{f.lower()}" for f in FAMILIES)} END, false) AS ok
+  FROM held h JOIN vc m ON m.count_state=h.count_state AND m.pitcher=h.pitcher JOIN qall b ON b.count_state=h.count_state AND b.fam=m.fam
+    LEFT JOIN {targets} t ON t.count_state=h.count_state AND t.fam=m.fam),
+{out} AS (SELECT *, CASE WHEN mass>0 THEN (CASE WHEN ok THEN target ELSE 0 END)/mass ELSE mu END AS tilde
+  FROM (SELECT *, sum(CASE WHEN ok THEN target ELSE 0 END) OVER (PARTITION BY row_id) AS mass FROM {out}l))"""
+
+
+BASE = [STUDY_SQL, Q_SQL, chain_sql("vc", VIEW_LEVELS["C"]), BANDIT_SQL, QALL, target_sql()]
 
 
 def mixed_sql(alphas=STUDY.alphas, src: str = "pt", out: str = "pm") -> str:
@@ -237,29 +268,40 @@ steps AS (SELECT state, action, next_state, n/na AS prob, r, na/ns AS mu FROM tr
   JOIN (SELECT state, sum(n) AS ns FROM trn GROUP BY 1) USING (state))"""
 
 
-def backward_sql(name: str, choose: str, steps: str, by: list[str] = []) -> str:
+PRIORED = f"""stepsk AS (SELECT c.state, c.action, w.next_state, (coalesce(t.n,0) + {PRIOR}::DOUBLE*w.nw/c.ns)/(c.na + {PRIOR}) AS prob, c.r, c.na/c.ns AS mu
+  FROM (SELECT state, action, na, r, sum(na) OVER (PARTITION BY state) AS ns FROM (
+      SELECT state, action, sum(n) AS na, coalesce(sum(sum_reward)/nullif(sum(n_reward),0),0) AS r FROM trn GROUP BY 1,2)) c
+  JOIN (SELECT state, next_state, sum(n) AS nw FROM trn GROUP BY 1,2) w USING (state) LEFT JOIN trn t ON t.state=c.state AND t.action=c.action AND t.next_state=w.next_state)"""
+#: Rounds of the check's own value iteration, with which every value stands still.
+CHECK_ROUNDS = 600
+
+
+def fixed_point_sql(name: str, choose: str, steps: str, by: list[str] = []) -> str:
+    """`<name>v`, `<name>q`: values and qualities after so many rounds."""
     g = ", ".join([*by, "state"])
+    pre = ", ".join(f"s.{x}" for x in [*by, "state", "action"])
     on = " AND ".join([f"v.{b}=s.{b}" for b in by] + ["v.state=s.next_state"])
-    ctes = []
-    for h in range(1, HORIZON + 1):
-        if h == 1:
-            ctes.append(f"{name}q1 AS (SELECT DISTINCT {g}, action, mu, pi, r AS q FROM {steps})")
-        else:
-            pre = ", ".join(f"s.{x}" for x in [*by, "state", "action"])
-            ctes.append(f"{name}q{h} AS (SELECT {pre}, s.mu, s.pi, s.r + sum(s.prob*coalesce(v.v,0)) AS q FROM {steps} s "
-                        f"LEFT JOIN {name}v{h - 1} v ON {on} GROUP BY {pre}, s.mu, s.pi, s.r)")
-        ctes.append(f"{name}v{h} AS (SELECT {g}, {choose} AS v FROM {name}q{h} GROUP BY {g})")
-    return ",\n".join(ctes)
+    quality = lambda v: f"SELECT {pre}, s.mu, s.pi, s.r + sum(s.prob*coalesce(v.v,0)) AS q FROM {steps} s LEFT JOIN {v} v ON {on} GROUP BY {pre}, s.mu, s.pi, s.r"
+    return f"""{name}r AS (SELECT DISTINCT 0 AS round, {g}, 0.0::DOUBLE AS v FROM {steps} UNION ALL
+  SELECT round + 1, {g}, v FROM (SELECT any_value((SELECT max(round) FROM {name}r)) AS round, {g}, {choose} AS v FROM ({quality(name + 'r')}) GROUP BY {g}) WHERE round < {CHECK_ROUNDS}),
+{name}v AS (SELECT * FROM {name}r WHERE round={CHECK_ROUNDS}),
+{name}q AS ({quality(name + 'v')})"""
 
 
 EXPECTED = "coalesce(sum(pi*q)/nullif(sum(pi),0),0)"
 STEPS_B = "stepsb AS (SELECT *, mu AS pi FROM steps)"
+STEPS_K = "stepskb AS (SELECT *, mu AS pi FROM stepsk)"
 POLICIES = [chain_sql("mc", [["count_state"]], K, "train"), f"""sp AS (SELECT mc.count_state AS state, mc.fam AS action, alpha, (1-alpha)*p + alpha*target AS pi
   FROM mc JOIN bandit b ON b.count_state=mc.count_state AND b.fam=mc.fam CROSS JOIN (SELECT unnest([{','.join(f'{a}::DOUBLE' for a in STUDY.alphas)}]) AS alpha)),
-stepsp AS (SELECT s.*, sp.alpha, sp.pi FROM steps s JOIN sp USING (state, action))"""]
-FQE = [STUDY_SQL, Q_SQL, BANDIT_SQL, TRANS, *POLICIES, backward_sql("f", EXPECTED, "stepsp", ALPHA)]
+stepsp AS (SELECT s.*, a.alpha, CASE WHEN k.state IS NULL THEN s.mu ELSE coalesce(sp.pi, 0) END AS pi FROM stepsk s CROSS JOIN (SELECT DISTINCT alpha FROM sp) a
+  LEFT JOIN sp ON sp.state=s.state AND sp.action=s.action AND sp.alpha=a.alpha LEFT JOIN (SELECT DISTINCT state FROM sp) k ON k.state=s.state)"""]
+FQE = [STUDY_SQL, Q_SQL, BANDIT_SQL, TRANS, PRIORED, *POLICIES, fixed_point_sql("fx", EXPECTED, "stepsp", ALPHA)]
 FQE_VALUE = f"""fv AS (SELECT alpha, sum(n*v)/sum(n) AS fqe FROM (SELECT count_state AS state, count(*) AS n FROM held WHERE pitch_number=1 GROUP BY 1)
-  JOIN (SELECT alpha, state, sum(pi*q)/sum(pi) AS v FROM fq{HORIZON} GROUP BY 1,2) USING (state) GROUP BY 1)"""
+  JOIN (SELECT alpha, state, sum(pi*q)/sum(pi) AS v FROM fxq GROUP BY 1,2) USING (state) GROUP BY 1)"""
+CONSERVATIVE = [STUDY_SQL, TRANS, PRIORED, STEPS_K, fixed_point_sql("c", f"max(q - {BETA}*(1/mu - 1)) FILTER (action<>'XX')", "stepskb"),
+    f"""conservative AS (SELECT state AS count_state, fam, coalesce(w,0)/sum(w) OVER (PARTITION BY state) AS target FROM (SELECT DISTINCT state FROM cq) s CROSS JOIN fams
+  LEFT JOIN (SELECT state, action AS fam, mu*exp((c - max(c) OVER (PARTITION BY state))/{TEMPERATURE}) AS w
+    FROM (SELECT *, q - {BETA}*(1/mu - 1) AS c FROM cq WHERE action<>'XX')) x USING (state, fam))"""]
 STEPWISE = """sw AS (SELECT alpha, count(*) AS n_episodes, avg(v) AS stepwise_dr FROM (
   SELECT alpha, pa_id, sum(coalesce(wp,1)*v_hat + coalesce(wp,1)*w*(r-q_a)) AS v FROM (
     SELECT *, product(w) OVER (PARTITION BY alpha, pa_id ORDER BY pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wp FROM lg)
@@ -273,6 +315,26 @@ pick AS (SELECT alpha, row_id, 1 + least(count(*) FILTER (s <= u), 7) AS k FROM
 re2 AS (SELECT c.* EXCLUDE (family, reward), pick.k, (SELECT any_value(fam) FROM fams WHERE fi=pick.k) AS family,
     max(CASE WHEN fi=pick.k THEN q END) OVER (PARTITION BY alpha, row_id) + 0.1*e AS reward FROM cum c JOIN pick USING (alpha, row_id))"""
 
+
+def _myopic_sql() -> str:
+    alphas = f"(SELECT unnest([{','.join(f'{a}::DOUBLE' for a in STUDY.alphas)}]) AS alpha)"
+    by = ["policy", "alpha"]
+    return sql(f"SELECT policy, alpha, {ROUND('observed', 'dm', 'dr')}, n_episodes, {ROUND('stepwise_dr', 'fqe')} FROM pp2 JOIN sw2 USING (policy, alpha) JOIN fv2 USING (policy, alpha)",
+               *BASE, *CONSERVATIVE[1:], target_sql("conservative", "pc"),
+               "p2 AS (SELECT *, 'bandit' AS policy FROM pt UNION ALL BY NAME SELECT *, 'conservative' AS policy FROM pc)",
+               mixed_sql(src="p2", out="pm2"), logged_sql(by, "pm2", out="lg2"),
+               PER_PA.replace("pp AS (SELECT alpha", "pp2 AS (SELECT policy, alpha").replace("FROM lg GROUP BY 1", "FROM lg2 GROUP BY 1, 2"),
+               STEPWISE.replace("sw AS (SELECT alpha", "sw2 AS (SELECT policy, alpha").replace("SELECT alpha, pa_id", "SELECT policy, alpha, pa_id").replace(
+                   "PARTITION BY alpha", "PARTITION BY policy, alpha").replace("FROM lg)", "FROM lg2)").replace("GROUP BY 1,2) GROUP BY 1)", "GROUP BY 1,2,3) GROUP BY 1,2)"),
+               POLICIES[0], f"""sp2 AS (SELECT mc.count_state AS state, mc.fam AS action, policy, alpha, (1-alpha)*p + alpha*coalesce(target, p) AS pi
+  FROM mc JOIN {alphas} ON true JOIN (SELECT unnest(['bandit', 'conservative']) AS policy) ON true
+  LEFT JOIN (SELECT count_state, fam, target, 'bandit' AS policy FROM bandit UNION ALL SELECT count_state, fam, target, 'conservative' FROM conservative) t USING (count_state, fam, policy)),
+stepsp2 AS (SELECT s.*, policy, alpha, coalesce(sp2.pi, 0) AS pi FROM stepsk s JOIN sp2 USING (state, action))""",
+               fixed_point_sql("f2", EXPECTED, "stepsp2", by),
+               FQE_VALUE.replace("fv AS (SELECT alpha", "fv2 AS (SELECT policy, alpha").replace("SELECT alpha, state", "SELECT policy, alpha, state").replace(
+                   "FROM fxq GROUP BY 1,2)", "FROM f2q GROUP BY 1,2,3)").replace("GROUP BY 1)", "GROUP BY 1, 2)", 2).replace("held WHERE pitch_number=1 GROUP BY 1, 2)", "held WHERE pitch_number=1 GROUP BY 1)"))
+
+
 QUERIES = {
     "bandit_policy": Query(bandit_policy, sql(
         "SELECT count_state, " + ", ".join(f"{q6(f'max(CASE WHEN fam={chr(39)}{f}{chr(39)} THEN {c} END)')} AS {p}_{f.lower()}"
@@ -284,14 +346,16 @@ QUERIES = {
     "transitions": Query(transitions, sql(
         f"SELECT state, action, next_state, n, n_reward, {q6('sum_reward')} AS sum_reward FROM trn", STUDY_SQL, TRANS)),
     "mdp_value": Query(mdp_value, sql(
-        f"SELECT state, {q6('b.v')} AS v_behavior, {q6('g.v')} AS v_greedy, action FROM bv{HORIZON} b JOIN gv{HORIZON} g USING (state) "
-        f"JOIN (SELECT state, arg_max(action, q) AS action FROM gq{HORIZON} WHERE action<>'XX' GROUP BY 1) USING (state)",
-        STUDY_SQL, TRANS, STEPS_B, backward_sql("b", EXPECTED, "stepsb"),
-        backward_sql("g", "max(q) FILTER (action<>'XX')", "stepsb"))),
-    "fqe": Query(fqe, sql(f"SELECT alpha, state, action, {ROUND('pi', 'q')} FROM fq{HORIZON}", *FQE)),
+        f"SELECT state, {q6('b.v')} AS v_behavior, {q6('g.v')} AS v_greedy, action FROM bv b JOIN gv g USING (state) "
+        f"JOIN (SELECT state, arg_max(action, q) AS action FROM gq WHERE action<>'XX' GROUP BY 1) USING (state)",
+        STUDY_SQL, TRANS, PRIORED, STEPS_B, STEPS_K, fixed_point_sql("b", EXPECTED, "stepsb"),
+        fixed_point_sql("g", "max(q) FILTER (action<>'XX')", "stepskb"))),
+    "fqe": Query(fqe, sql(f"SELECT alpha, state, action, {ROUND('pi', 'q')} FROM fxq", *FQE)),
     "conservative_q": Query(conservative_q, sql(
-        f"SELECT state, action, {ROUND('mu', 'q')}, {q6(f'q - {BETA}*(1/mu - 1)')} AS q_conservative FROM cq{HORIZON}",
-        STUDY_SQL, TRANS, STEPS_B, backward_sql("c", f"max(q - {BETA}*(1/mu - 1)) FILTER (action<>'XX')", "stepsb"))),
+        f"SELECT state, action, {ROUND('mu', 'q')}, {q6(f'q - {BETA}*(1/mu - 1)')} AS q_conservative FROM cq", *CONSERVATIVE[:-1])),
+    "conservative_policy": Query(conservative_policy, sql(
+        "SELECT count_state, " + ", ".join(f"{q6(f'max(CASE WHEN fam={chr(39)}{f}{chr(39)} THEN target END)')} AS target_{f.lower()}" for f in FAMILIES)
+        + " FROM conservative GROUP BY 1", *CONSERVATIVE)),
     "ope_table": Query(ope_table, sql(est_sql("alpha"), *LOGGED)),
     "stepwise_dr": Query(stepwise_dr, sql(f"SELECT alpha, n_episodes, {ROUND('stepwise_dr')} FROM sw", *LOGGED, STEPWISE)),
     "fqe_value": Query(fqe_value, sql(f"SELECT alpha, {ROUND('fqe')} FROM fv", *FQE, FQE_VALUE)),
@@ -323,8 +387,7 @@ FROM pp JOIN fv USING (alpha)""", *LOGGED, PER_PA, *FQE[3:], FQE_VALUE)),
         est_sql("z"), *BASE, mixed_sql([0.5]),
         "pz AS (SELECT *, q + z*q_sd AS qz FROM pm CROSS JOIN (SELECT unnest([-1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE]) AS z))",
         logged_sql(["z"], "pz", q="qz"))),
-    "myopic_vs_full": Query(myopic_vs_full, sql(
-        f"SELECT alpha, {ROUND('observed', 'dm', 'dr')}, n_episodes, {ROUND('stepwise_dr')} FROM pp JOIN sw USING (alpha)", *LOGGED, PER_PA, STEPWISE)),
+    "myopic_vs_full": Query(myopic_vs_full, _myopic_sql()),
     "propensity_specs": Query(propensity_specs, sql(
         " UNION ALL ".join(est_sql("season", f"lg_{n}", f", '{n}' AS spec") for n in SPECS),
         *BASE, chain_sql("mc", [["count_state"]], K), chain_sql("ml", VIEW_LEVELS["L1"]), mixed_sql([0.5]),
