@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from throughline.config import FAMILIES
 from throughline.functions import hashing
 from throughline.functions.arrays import prob_of, total
 from throughline.functions.scalars import bucket
 from throughline.operators import decision
+from throughline.session import small_side, stage
 
 EPS = 1e-12
 
@@ -166,12 +167,11 @@ def calibration_breakouts(pred: DataFrame, bins: int, by: list[str],
         (F.sum("_y") / F.sum("n")).alias("observed"))
 
 
-def skill(pred: DataFrame, base: DataFrame, by: list[str], action: str = "family") -> DataFrame:
-    """1 - loss / baseline loss over the rows both tables hold."""
-    mine = scored(pred, action).select("row_id", *by, "loss")
-    theirs = scored(base, action).select("row_id", F.col("loss").alias("_base"))
-    return mine.join(theirs, "row_id").groupBy(*by).agg(
-        F.count("*").alias("n"), (1 - F.avg("loss") / F.avg("_base")).alias("skill"))
+def skill(pred: DataFrame, by: list[str], action: str = "family", probs: str = "action_probs",
+          base: str = "base_probs") -> DataFrame:
+    """1 - loss / baseline loss over all rows; both forecasts are columns of one table."""
+    mine, theirs = (log_loss_of(F.col(p), F.col(action)) for p in (probs, base))
+    return pred.groupBy(*by).agg(F.count("*").alias("n"), (1 - F.avg(mine) / F.avg(theirs)).alias("skill"))
 
 
 def value_error(pred: DataFrame, by: list[str], reward: str = "reward",
@@ -189,10 +189,32 @@ def value_calibration(pred: DataFrame, by: list[str], reward: str = "reward",
         F.regr_slope(F.col(reward), F.col(forecast)).alias("slope"))
 
 
-def decile_cuts(pred: DataFrame, value: str, accuracy: int = 10_000) -> Column:
-    """Nine cut points from a mergeable sketch; sorting all rows would need one task."""
-    tenths = [i / 10 for i in range(1, 10)]
-    return pred.agg(F.percentile_approx(value, tenths, accuracy)).scalar()
+def quantiles(df: DataFrame, value: str, asked: list[tuple[int, int]], by: list[str] | None = None) -> DataFrame:
+    """(by, quantile, value): exact quantiles, `quantile` being the place in `asked` of the fraction (numerator, denominator).
+
+    The quantile of n values is the ceil(n * fraction)-th least of them. Distinct values are counted first, dealt
+    out by range and written; a value's rank is then the sum of the ranges before its own, which are a few rows
+    each, and a running sum inside the range. Nulls don't count; a group of nothing else has no rows.
+    """
+    by = by or []
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("_n"))
+    ranges = stage(counted.repartitionByRange(*by, "value").withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(*by, "_part").agg(F.sum("_n").alias("_s"))
+    line = W.partitionBy(*by).orderBy("_part")
+    before = F.sum("_s").over(line.rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*by, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_s").over(W.partitionBy(*by)).alias("_all"))
+    up_to = F.sum("_n").over(W.partitionBy(*by, "_part").orderBy("value")) + F.col("_before")
+    ranked = ranges.join(small_side(sums), [*by, "_part"]).withColumn("_to", up_to)
+    cells = F.array(*[F.struct(F.lit(i).alias("quantile"), F.greatest(F.lit(1), F.floor((F.col("_all") * num + (den - 1)) / den)).alias("_rank"))
+                      for i, (num, den) in enumerate(asked)])
+    return (ranked.select(*by, "value", "_n", "_to", F.inline(cells))
+            .filter("_to - _n < _rank and _rank <= _to").select(*by, "quantile", "value"))
+
+
+def decile_cuts(pred: DataFrame, value: str) -> Column:
+    """The nine exact cut points, as an array."""
+    cuts = quantiles(pred, value, [(i, 10) for i in range(1, 10)])
+    return cuts.agg(F.array_sort(F.collect_list("value"))).scalar()
 
 
 def reward_by_action_decile(pred: DataFrame, cuts: Column, action: str = "family",
@@ -249,6 +271,8 @@ def bootstrap(df: DataFrame, cluster: list[str], sums: dict[str, Column], by: li
     hash of its key; the copies are reduced in the same task before any shuffle, so what moves
     is one row per task, group and replicate.
     """
+    if taken := {"_u", "_w", "replicate"} & set(sums):
+        raise ValueError(f"names that the draws use themselves: {sorted(taken)}")
     per_cluster = df.groupBy(*by, *cluster).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
     draw = per_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     lane = (F.col("replicate") % 4).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from throughline.config import FAMILIES, PITCH, Cols
 from throughline.functions import hashing
 from throughline.functions.arrays import dot, entropy_ratio, prob_of, total, variation
-from throughline.operators.metrics import bootstrap, drawn, observed
+from throughline.operators.metrics import bootstrap, drawn, observed, quantiles
 
 
 def clip_weights(w: Column, cap: float | None) -> Column:
@@ -92,19 +92,19 @@ def fqe_value(starts: DataFrame, q: DataFrame, by: list[str],
         (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("fqe"))
 
 
-def ope_diagnostics(rows: DataFrame, by: list[str], floor: float, rare: float,
-                    accuracy: int = 10_000) -> DataFrame:
-    """Effective sample size, weight tail, support."""
+def ope_diagnostics(rows: DataFrame, by: list[str], floor: float, rare: float) -> DataFrame:
+    """Effective sample size, weight tail (exact), support."""
+    tail = quantiles(rows, "w", [(99, 100)], by).select(*by, F.col("value").alias("q99_weight"))
     pairs = F.arrays_zip(F.col("pi"), F.col("mu"))
     outside = F.exists(pairs, lambda z: (z["pi"] > 0) & (z["mu"] < F.lit(floor)))
     rare_mass = total(F.zip_with("pi", "mu", lambda p, m: F.when(m < rare, p).otherwise(F.lit(0.0))))
-    return rows.groupBy(*by).agg(
+    whole = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         (F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("ess"),
         F.max("w").alias("max_weight"),
-        F.percentile_approx("w", 0.99, accuracy).alias("q99_weight"),
         F.avg(outside.cast("double")).alias("oos_support_frac"),
         F.avg(rare_mass).alias("rare_action_frac"))
+    return whole.join(tail, by) if by else whole.withColumn("q99_weight", tail.select("q99_weight").scalar())
 
 
 def policy_distance(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -124,6 +124,41 @@ def value_interval(rows: DataFrame, by: list[str], cluster: list[str], replicate
         F.percentile(drawn("_v"), 0.025).alias("lo"), F.percentile(drawn("_v"), 0.975).alias("hi"))
 
 
+def estimator_intervals(rows: DataFrame, by: list[str], truth: Column, cluster: list[str], replicates: int, seed: int,
+                        c: Cols = PITCH) -> DataFrame:
+    """One row per estimator: its value with clustered bounds, and the mean of `truth`, what it should have found.
+
+    All estimators come from the same sums per cluster, so they see the same draws.
+    """
+    terms = _terms(c.reward)
+    sums = {"_n": F.lit(1.0), "_truth": truth, **{f"_sum_{k}": v for k, v in terms.items()}}
+    reps = bootstrap(rows, cluster, sums, by, replicates, seed).filter((F.col("_n") > 0) & (F.col("_sum_w") > 0))
+    values = {"dm": F.col("_sum_dm") / F.col("_n"), "ips": F.col("_sum_ips") / F.col("_n"),
+              "snips": F.col("_sum_ips") / F.col("_sum_w"), "dr": F.col("_sum_dr") / F.col("_n")}
+    long = reps.select(*by, "replicate", (F.col("_truth") / F.col("_n")).alias("_t"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("estimator"), v.alias("_v")) for k, v in values.items()])))
+    return long.groupBy(*by, "estimator").agg(
+        observed("_t").alias("truth"), observed("_v").alias("value"), F.percentile(drawn("_v"), 0.025).alias("lo"),
+        F.percentile(drawn("_v"), 0.975).alias("hi"), F.percentile(drawn("_v"), 0.05).alias("lower_95"))
+
+
+def self_tests(intervals: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """`passed` where an estimator's bounds hold the value it should have found."""
+    return intervals.withColumn("passed", (F.col("lo") - slack <= F.col("truth")) & (F.col("truth") <= F.col("hi") + slack))
+
+
+def gated_verdict(report: DataFrame, tolerance: float, names=("dm", "dr", "fqe"), baseline: str = "observed") -> DataFrame:
+    """GAIN only if the gate is open, the estimators agree, and the value's lower bound is above what was observed a decision.
+
+    A closed gate, estimators further apart than the tolerance and gains of different signs are INCONCLUSIVE.
+    """
+    judged = agreement_verdict(report, tolerance, names, baseline).withColumnRenamed("verdict", "_v")
+    above = F.col("lower_95") > F.col("observed_decision")
+    verdict = (F.when(~F.col("gate_open") | (F.col("_v") == "INCONCLUSIVE"), "INCONCLUSIVE")
+               .when((F.col("_v") == "GAIN") & above, "GAIN").otherwise("NO GAIN"))
+    return judged.withColumn("verdict", verdict).drop("_v")
+
+
 def agreement_verdict(table: DataFrame, tolerance: float, names=("dm", "dr", "fqe"),
                       baseline: str = "observed") -> DataFrame:
     """GAIN or NO GAIN where the estimators agree, INCONCLUSIVE where they differ by more than

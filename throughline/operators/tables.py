@@ -52,9 +52,10 @@ def root_shares(size: int) -> Column:
 
 
 def base_freq(df: DataFrame, c: Cols = PITCH) -> DataFrame:
-    """Global frequency of each action by count and handedness."""
-    t = action_counts(df, ["count_state", "stand", "p_throws"], c.action)
-    return t.withColumn("probs", F.transform("counts", lambda x: x / F.col("n")))
+    """Frequency of each action by count and handedness, shrunk to the overall one by one row."""
+    t = stage(action_counts(df, ["count_state", "stand", "p_throws"], c.action), "cells")
+    return t.withColumn("_root", _global_shares(t, FAMILIES)).withColumn(
+        "probs", shrink(F.col("counts"), F.col("n"), F.col("_root"), 1.0)).drop("_root")
 
 
 def count_cells(train: DataFrame, keys: list[str], action: str = "family",
@@ -115,8 +116,8 @@ def shrunk_pitcher_count(df: DataFrame, k: float, c: Cols = PITCH) -> DataFrame:
     """Actor-by-count shares, shrunk to the global frequency of the same handedness mix."""
     hands = ["stand", "p_throws"]
     fine = count_cells(df, [c.actor, "count_state", *hands], c.action)
-    base = roll_up(fine, ["count_state", *hands]).select(
-        "count_state", *hands, F.transform("counts", lambda x: x / F.col("n")).alias("_base"))
+    base = roll_up(fine, ["count_state", *hands]).withColumn("_root", _global_shares(fine, FAMILIES)).select(
+        "count_state", *hands, shrink(F.col("counts"), F.col("n"), F.col("_root"), 1.0).alias("_base"))
     joined = fine.join(base, ["count_state", *hands])
     idx = range(len(FAMILIES))
     cells = joined.groupBy(c.actor, "count_state").agg(
@@ -252,7 +253,7 @@ def markov_backoff(train: DataFrame, depth: int, k: float, action: str = "family
     for d in range(depth + 1):
         if d == 0:
             t = roll_up(cells, [], alphabet).withColumn(
-                "probs", F.transform("counts", lambda x: x / F.col("n")))
+                "probs", root_shares(len(alphabet)))
             context = F.lit("")
         else:
             levels = [names[:j] for j in range(1, d + 1)]

@@ -11,11 +11,16 @@ from throughline.session import scratch
 from throughline.sources import landing, profile
 from throughline.sources.adapter import pitch_log
 
-PROFILED = {
-    "game_pk": "bigint", "game_type": "string", "pitch_type": "string", "description": "string",
-    "events": "string", "on_1b": "bigint", "balls": "int", "release_speed": "double",
-    "plate_z": "double", "delta_run_exp": "double", "batter": "bigint", "pitcher": "bigint",
+#: All columns of the adapter by type.
+BY_TYPE = {
+    "bigint": "game_pk pitcher batter on_1b on_2b on_3b release_spin_rate",
+    "date": "game_date",
+    "int": "at_bat_number pitch_number balls strikes outs_when_up inning bat_score fld_score post_bat_score launch_angle",
+    "string": "game_type stand p_throws inning_topbot home_team pitch_type pitch_name description type events",
+    "double": "release_speed pfx_x pfx_z plate_x plate_z sz_top sz_bot release_extension release_pos_x release_pos_y "
+              "release_pos_z launch_speed estimated_woba_using_speedangle delta_run_exp",
 }
+PROFILED = {c: t for t, names in BY_TYPE.items() for c in names.split()}
 SHARED = ["delta_run_exp", "pitch_type", "events"]
 
 
@@ -24,8 +29,7 @@ def populated_share(spark, path):
 
 
 def profile_columns(spark, path):
-    log = pitch_log(spark, path).select(*PROFILED)
-    return rounded(profile.profile_columns(log), "pct_null")
+    return rounded(profile.profile_columns(pitch_log(spark, path)), "pct_null")
 
 
 def count_by(spark, path):

@@ -70,18 +70,19 @@ def calibration(spark, path):
 def skill(spark, path):
     train, held = train_and_held(spark, path)
     pred = with_probs(held, train, VIEW_LEVELS["L1"], "action_probs")
-    base = tables.shrunk_pitcher_count(train, K).select(
-        "pitcher", "count_state", F.col("probs").alias("action_probs"))
-    base = held.join(base, ["pitcher", "count_state"])
-    return rounded(metrics.skill(pred, base, ["season"]), "skill")
+    own = tables.shrunk_pitcher_count(train, K).select("pitcher", "count_state", F.col("probs").alias("_own"))
+    alike = tables.base_freq(train).select("count_state", "stand", "p_throws", F.col("probs").alias("_alike"))
+    root = tables.action_counts(train, []).select(tables.root_shares(len(FAMILIES))).scalar()
+    pred = (pred.join(own, ["pitcher", "count_state"], "left").join(alike, ["count_state", "stand", "p_throws"], "left")
+            .withColumn("_root", root).withColumn("base_probs", F.coalesce("_own", "_alike", "_root")))
+    return rounded(metrics.skill(pred, ["season"]), "skill")
 
 
 def _valued(spark, path):
     train, held = train_and_held(spark, path)
-    q = tables.value_table(train, ["count_state"], K)
     pred = with_probs(held, train, VIEW_LEVELS["C"], "action_probs")
     i = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("int")
-    return (pred.join(q, "count_state")
+    return (tables.with_values(pred, tables.state_values(train, ["count_state"], K), ["count_state"], K)
             .withColumn("exp_reward", F.element_at("q", i))
             .withColumn("propensity", F.element_at("action_probs", i)))
 
@@ -94,12 +95,9 @@ def value_calibration(spark, path):
     return rounded(metrics.value_calibration(_valued(spark, path), ["season"]), "intercept", "slope")
 
 
-CUTS = [0.04, 0.08, 0.1, 0.12, 0.14, 0.16, 0.18, 0.2, 0.22]
-
-
 def reward_by_decile(spark, path):
-    cuts = F.array(*[F.lit(x) for x in CUTS])
-    return rounded(metrics.reward_by_action_decile(_valued(spark, path), cuts), "observed", "predicted")
+    rows = _valued(spark, path).filter("reward is not null").withColumn("propensity", F.round("propensity", 9))
+    return rounded(metrics.reward_by_action_decile(rows, metrics.decile_cuts(rows, "propensity")), "observed", "predicted")
 
 
 NODES = {"swing": ("node_swing", ["true", "false"]), "called": ("node_called_strike", ["true", "false"]),
@@ -201,8 +199,10 @@ qf AS (SELECT fi, fam, (coalesce(sum(reward),0)+{K}*any_value(m))/(count(reward)
 q AS (SELECT c.count_state, fi, fam, count(reward) AS qn, (coalesce(sum(reward),0)+{K}*any_value(m))/(count(reward)+{K}) AS q,
     sqrt(any_value(v)/(count(reward)+{K})) AS q_sd
   FROM (SELECT DISTINCT count_state FROM seen) c CROSS JOIN qf LEFT JOIN seen s ON s.count_state=c.count_state AND s.family=fam GROUP BY 1,2,3)"""
-VALUED = [STUDY_SQL, Q_SQL, chain_sql("vc", VIEW_LEVELS["C"]), """valued AS (
-  SELECT h.*, q AS exp_reward, p AS propensity FROM held h JOIN q ON q.count_state=h.count_state AND q.fam=h.family
+QALL = f"""qall AS (SELECT c.count_state, f.fi, f.fam, coalesce(q.q, f.m) AS q, coalesce(q.q_sd, sqrt(f.v/{K})) AS q_sd
+  FROM (SELECT DISTINCT count_state FROM held) c CROSS JOIN qf f LEFT JOIN q ON q.count_state=c.count_state AND q.fam=f.fam)"""
+VALUED = [STUDY_SQL, Q_SQL, QALL, chain_sql("vc", VIEW_LEVELS["C"]), """valued AS (
+  SELECT h.*, q AS exp_reward, p AS propensity FROM held h JOIN qall q ON q.count_state=h.count_state AND q.fam=h.family
   JOIN vc ON vc.count_state=h.count_state AND vc.pitcher=h.pitcher AND vc.fam=h.family WHERE reward IS NOT NULL)"""]
 
 
@@ -266,16 +266,19 @@ SELECT state_view, is_low_history, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_ac
 FROM (SELECT state_view, coalesce(hist_n,0) < {STUDY.min_history} AS is_low_history, pitcher, count(*) AS n, sum(loss) AS s FROM scored GROUP BY 1,2,3) GROUP BY 1,2""", *PRED)),
     "calibration": Query(calibration, _calibration_sql()),
     "skill": Query(skill, sql(f"""
-SELECT season, count(*) AS n, {q6('1 - avg(-ln(l.p))/avg(-ln(b.p))')} AS skill FROM held h
+SELECT season, count(*) AS n, {q6('1 - avg(-ln(l.p))/avg(-ln(coalesce(b.p, a.p, r.rp)))')} AS skill FROM held h
 JOIN vl1 l ON l.count_state=h.count_state AND l.pitcher=h.pitcher AND l.prev_family=h.prev_family AND l.fam=h.family
-JOIN e2 b ON b.count_state=h.count_state AND b.pitcher=h.pitcher AND b.fam=h.family GROUP BY 1""",
+LEFT JOIN e2 b ON b.count_state=h.count_state AND b.pitcher=h.pitcher AND b.fam=h.family
+LEFT JOIN e1 a ON a.count_state=h.count_state AND a.stand=h.stand AND a.p_throws=h.p_throws AND a.fam=h.family
+JOIN eroot r ON r.fam=h.family GROUP BY 1""",
         STUDY_SQL, chain_sql("vl1", VIEW_LEVELS["L1"]), E2)),
     "value_error": Query(value_error, sql(
         f"SELECT season, family, count(*) AS n, {q6('avg(abs(reward-exp_reward))')} AS mae, {q6('sqrt(avg((reward-exp_reward)*(reward-exp_reward)))')} AS rmse FROM valued GROUP BY 1,2", *VALUED)),
     "value_calibration": Query(value_calibration, sql(
         f"SELECT season, count(*) AS n, {q6('regr_intercept(reward, exp_reward)')} AS intercept, {q6('regr_slope(reward, exp_reward)')} AS slope FROM valued GROUP BY 1", *VALUED)),
     "reward_by_decile": Query(reward_by_decile, sql(
-        f"SELECT family, CAST({'+'.join(f'({c} <= propensity)::INT' for c in CUTS)} AS INT) AS decile, count(*) AS n, {q6('avg(reward)')} AS observed, {q6('avg(exp_reward)')} AS predicted FROM valued GROUP BY 1,2", *VALUED)),
+        f"SELECT family, CAST(len(list_filter(c, lambda x: x <= prop)) AS INT) AS decile, count(*) AS n, {q6('avg(reward)')} AS observed, {q6('avg(exp_reward)')} AS predicted FROM vr, cuts GROUP BY 1,2",
+        *VALUED, "vr AS (SELECT *, round(propensity, 9) AS prop FROM valued)", "cuts AS (SELECT quantile_disc(prop, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM vr)")),
     "event_loss": Query(event_loss, _event_sql()),
     "ablation_delta": Query(ablation_delta, sql(f"""
 SELECT slice, count(*) AS n, {', '.join(f"{q6(f'avg(loss_{v.lower()})')} AS loss_{v.lower()}" for v in ALL_VIEWS)},

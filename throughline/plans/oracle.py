@@ -64,7 +64,7 @@ log AS (
     bat_score, CAST(o_orderkey%7 AS INT) AS fld_score,
     CAST(bat_score + CASE WHEN pitch_number=pa_len AND description='hit_into_play' THEN 1 ELSE 0 END AS INT) AS post_bat_score,
     'T'||(game_pk%30) AS home_team,
-    pitch_type, description,
+    pitch_type, pitch_type AS pitch_name, description,
     CASE WHEN description='ball' THEN 'B' WHEN description='hit_into_play' THEN 'X' ELSE 'S' END AS type,
     CASE WHEN pitch_number<>pa_len THEN NULL
       WHEN description='hit_into_play' THEN CASE l_partkey%4 WHEN 0 THEN 'home_run' WHEN 1 THEN 'single' ELSE 'field_out' END
@@ -74,7 +74,10 @@ log AS (
     (l_partkey%41 - 20)/10 AS plate_x, 0.8::DOUBLE + (l_suppkey%30)/10 AS plate_z,
     3.4::DOUBLE AS sz_top, 1.6::DOUBLE AS sz_bot,
     1800 + l_partkey%900 AS release_spin_rate, 5.5::DOUBLE + (l_suppkey%15)/10 AS release_extension,
-    (l_suppkey%40)/10 - 2 AS release_pos_x, 5 + (l_partkey%20)/10 AS release_pos_z,
+    (l_suppkey%40)/10 - 2 AS release_pos_x, 54 - (l_suppkey%15)/10 AS release_pos_y, 5 + (l_partkey%20)/10 AS release_pos_z,
+    CASE WHEN description='hit_into_play' THEN 60 + l_quantity END AS launch_speed,
+    CASE WHEN description='hit_into_play' THEN CAST(l_partkey%61 - 20 AS INT) END AS launch_angle,
+    CASE WHEN description='hit_into_play' THEN l_tax*5 END AS estimated_woba_using_speedangle,
     CASE WHEN l_quantity=50 THEN NULL ELSE round(0.05::DOUBLE - l_discount, 2) END AS delta_run_exp
   FROM lined
   WINDOW p AS (PARTITION BY o_orderkey ORDER BY pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from throughline.config import FAMILIES
-from throughline.functions.arrays import normalise
+from throughline.functions.arrays import dot, normalise
 from throughline.operators import ope, policy, tables
 from throughline.plans.common import STUDY, Query, r6, rounded, spread
-from throughline.plans.metric_queries import B, CLUSTER, Q_SQL, boot
+from throughline.plans.metric_queries import B, CLUSTER, QALL, Q_SQL, boot
 from throughline.plans.oracle import r6 as q6, sql, uniform
+from throughline.session import stage
 from throughline.plans.study import (
     STUDY_SQL, VIEW_LEVELS, chain_sql, study_rows, train_and_held, with_probs, with_views,
 )
@@ -115,8 +116,7 @@ def fqe_value(spark, path):
 
 
 def ope_diagnostics(spark, path):
-    t = ope.ope_diagnostics(_logged(spark, path, cap=None), ALPHA, STUDY.support_floor, STUDY.rare_floor,
-                            100_000)
+    t = ope.ope_diagnostics(_logged(spark, path, cap=None), ALPHA, STUDY.support_floor, STUDY.rare_floor)
     return rounded(t, "ess", "max_weight", "q99_weight", "oos_support_frac", "rare_action_frac")
 
 
@@ -151,6 +151,49 @@ def relog_known(spark, path):
     return rounded(t.withColumn("true_value", F.col("dm")), *EST, "true_value")
 
 
+#: Estimators whose self-tests open the gate; the direct method is only as good as its reward model.
+GATE = ["ips", "snips", "dr"]
+
+
+def _self_tests(train: DataFrame, held: DataFrame) -> DataFrame:
+    """Behaviour's own value from behaviour's log, and known values of all mixtures from a log with known rewards.
+
+    In the second one the reward model is fitted to the log, as it would be without knowing the truth.
+    """
+    rows = _targeted(train, held)
+    same = ope.logged(_mixed(rows, [0.0]))
+    own = ope.estimator_intervals(same, ALPHA, F.col("reward"), CLUSTER, B, SEED).withColumn("test", F.lit("behavior"))
+    known = ope.relog_known(rows, SEED, 0.1).withColumnRenamed("q", "q_true").drop("q_sd", "q_n")
+    fitted = tables.with_values(known, tables.state_values(known, ["count_state"], K), ["count_state"], K)
+    logged = ope.logged(_mixed(fitted))
+    truth = ope.estimator_intervals(logged, ALPHA, dot(F.col("pi"), F.col("q_true")), CLUSTER, B, SEED).withColumn("test", F.lit("known"))
+    return ope.self_tests(own.unionByName(truth))
+
+
+def ope_self_tests(spark, path):
+    t = _self_tests(*train_and_held(spark, path)).select("test", "alpha", "estimator", "truth", "value", "lo", "hi", "passed")
+    return rounded(t, "truth", "value", "lo", "hi")
+
+
+def policy_report(spark, path):
+    """One row per mixture with everything a policy has to report; its verdict waits for the self-tests."""
+    train, held = train_and_held(spark, path)
+    rows = stage(_logged(spark, path).drop("w"), "logged")
+    free = ope.logged(rows)
+    rows = ope.logged(rows, STUDY.weight_cap)
+    per = ope.episode_estimates(rows, ALPHA).join(ope.fqe_value(held.filter("pitch_number = 1"), _fqe_table(train), ALPHA), "alpha")
+    value = ope.value_interval(rows, ALPHA, CLUSTER, B, SEED).select("alpha", "value", "lower_95")
+    mean = rows.groupBy("alpha").agg(F.avg("reward").alias("observed_decision"))
+    out = (per.join(value, "alpha").join(mean, "alpha")
+           .join(ope.ope_diagnostics(free, ALPHA, STUDY.support_floor, STUDY.rare_floor), "alpha")
+           .join(ope.policy_distance(rows, ALPHA), "alpha"))
+    tests = stage(_self_tests(train, held), "self-tests").filter(F.col("estimator").isin(GATE))
+    gate = tests.agg(F.coalesce(F.bool_and("passed"), F.lit(False))).scalar()
+    t = ope.gated_verdict(out.withColumn("gate_open", gate), STUDY.tolerance)
+    return rounded(t, "observed", "dm", "dr", "fqe", "spread", "value", "lower_95", "observed_decision", "ess", "max_weight", "q99_weight",
+                   "oos_support_frac", "rare_action_frac", "kl_from_behavior", "tv_from_behavior")
+
+
 def overlap_filter(spark, path):
     rows = ope.overlap_filter(_logged(spark, path), 0.05)
     return rounded(ope.estimates(rows, ALPHA), *EST)
@@ -221,10 +264,6 @@ BANDIT_SQL = f"""draws AS (SELECT q.*, d, {uniform(SEED, 'count_state', 'fam', '
 best AS (SELECT count_state, d, arg_max(fam, q + q_sd*(sqrt(-2*ln(greatest(u0, 1/4294967296.0::DOUBLE)))*cos(6.283185307179586::DOUBLE*u1))) AS fam FROM draws GROUP BY 1,2),
 bandit AS (SELECT q.count_state, q.fi, q.fam, any_value(q.q) AS q, any_value(q.q_sd) AS q_sd, count(b.d)/{DRAWS} AS target
   FROM q LEFT JOIN best b ON b.count_state=q.count_state AND b.fam=q.fam GROUP BY 1,2,3)"""
-QALL = f"""qall AS (SELECT c.count_state, f.fi, f.fam, coalesce(q.q, f.m) AS q, coalesce(q.q_sd, sqrt(f.v/{K})) AS q_sd
-  FROM (SELECT DISTINCT count_state FROM held) c CROSS JOIN qf f LEFT JOIN q ON q.count_state=c.count_state AND q.fam=f.fam)"""
-
-
 def target_sql(targets: str = "bandit", out: str = "pt") -> str:
     return f"""{out}l AS (SELECT h.*, m.fi, m.fam, m.p AS mu, t.target, b.q, b.q_sd,
     coalesce(CASE m.fam {' '.join(f"WHEN '{f}' THEN ok_{f.lower()}" for f in FAMILIES)} END, false) AS ok
@@ -316,6 +355,47 @@ re2 AS (SELECT c.* EXCLUDE (family, reward), pick.k, (SELECT any_value(fam) FROM
     max(CASE WHEN fi=pick.k THEN q END) OVER (PARTITION BY alpha, row_id) + 0.1*e AS reward FROM cum c JOIN pick USING (alpha, row_id))"""
 
 
+QHAT = f"""hm AS (SELECT avg(reward) AS m FROM known WHERE alpha=0 AND fi=1),
+hf AS (SELECT f.fi, f.fam, (coalesce(sum(k.reward),0)+{K}*any_value(m))/(count(k.reward)+{K}) AS q FROM fams f CROSS JOIN hm LEFT JOIN (SELECT * FROM known WHERE alpha=0 AND fi=1) k ON k.family=f.fam GROUP BY 1,2),
+hq AS (SELECT s.count_state, hf.fam, (coalesce(sum(k.reward),0)+{K}*any_value(hf.q))/(count(k.reward)+{K}) AS qh
+  FROM (SELECT DISTINCT count_state FROM known) s CROSS JOIN hf LEFT JOIN (SELECT * FROM known WHERE alpha=0 AND fi=1) k ON k.count_state=s.count_state AND k.family=hf.fam GROUP BY 1,2)"""
+
+
+def _tests_ctes() -> list[str]:
+    """`tests`: one row per test, mixture and estimator, unrounded."""
+    def one(name: str, src: str, truth: str) -> list[str]:
+        sums = {"n": "1.0::DOUBLE", "t": truth, "dm": "v_hat", "ips": "w*r", "sw": "w", "dr": "v_hat+w*(r-q_a)"}
+        values = {"dm": "{x}.dm/{x}.n", "ips": "{x}.ips/{x}.n", "snips": "{x}.ips/{x}.sw", "dr": "{x}.dr/{x}.n"}
+        point = f"SELECT alpha, count(*)::DOUBLE AS n, {', '.join(f'sum({v}) AS {k}' for k, v in sums.items() if k != 'n')} FROM {src} GROUP BY 1"
+        each = " UNION ALL ".join(
+            f"SELECT '{name}' AS test, p.alpha, '{k}' AS estimator, any_value(p.t/p.n) AS truth, any_value({v.format(x='p')}) AS value, "
+            f"quantile_cont({v.format(x='b')}, 0.025) AS lo, quantile_cont({v.format(x='b')}, 0.975) AS hi "
+            f"FROM b_{name} b JOIN p_{name} p USING (alpha) WHERE b.n > 0 AND b.sw > 0 GROUP BY p.alpha" for k, v in values.items())
+        return [f"b_{name} AS ({boot(src, ALPHA, CLUSTER, sums)})", f"p_{name} AS ({point})", f"e_{name} AS ({each})"]
+
+    return [RELOG.replace("re2 AS", "known AS"), QHAT, "kq AS (SELECT * FROM known JOIN hq USING (count_state, fam))",
+            logged_sql(ALPHA, "kq", None, out="lk", q="qh", extra=", sum(pi*q) AS truth"),
+            "pn AS (SELECT * FROM pm WHERE alpha=0)", logged_sql(ALPHA, "pn", None, out="ln0"),
+            *one("behavior", "ln0", "r"), *one("known", "lk", "truth"),
+            "tests AS (SELECT *, lo - 1e-9 <= truth AND truth <= hi + 1e-9 AS passed FROM (SELECT * FROM e_behavior UNION ALL SELECT * FROM e_known))"]
+
+
+def _report_sql() -> str:
+    inconclusive = (f"NOT gate_open OR greatest(dm,dr,fqe)-least(dm,dr,fqe) > {STUDY.tolerance} OR (dm>observed)::INT+(dr>observed)::INT+(fqe>observed)::INT NOT IN (0,3)")
+    fields = ROUND("observed", "dm", "dr", "fqe", "value", "lower_95", "observed_decision", "ess", "max_weight", "q99_weight",
+                   "oos_support_frac", "rare_action_frac", "kl_from_behavior", "tv_from_behavior")
+    return sql(f"""SELECT alpha, n, {fields}, {q6('greatest(dm,dr,fqe)-least(dm,dr,fqe)')} AS spread, gate_open,
+  CASE WHEN {inconclusive} THEN 'INCONCLUSIVE' WHEN dm>observed AND lower_95>observed_decision THEN 'GAIN' ELSE 'NO GAIN' END AS verdict
+FROM pp JOIN fv USING (alpha) JOIN vi USING (alpha) JOIN dg USING (alpha) JOIN ds USING (alpha),
+  (SELECT coalesce(bool_and(passed), false) AS gate_open FROM tests WHERE estimator IN ('ips','snips','dr'))""",
+               *LOGGED, PER_PA, *FQE[3:], FQE_VALUE, *_tests_ctes(), logged_sql(ALPHA, cap=None, out="lf"),
+               "vp AS (SELECT alpha, avg(v_hat+w*(r-q_a)) AS value, avg(r) AS observed_decision FROM lg GROUP BY 1)",
+               f"vb AS ({boot('lg', ALPHA, CLUSTER, {'n': '1.0::DOUBLE', 's': 'v_hat+w*(r-q_a)'})})",
+               "vi AS (SELECT alpha, any_value(value) AS value, any_value(observed_decision) AS observed_decision, quantile_cont(s/n, 0.05) AS lower_95 FROM vb JOIN vp USING (alpha) WHERE n>0 GROUP BY 1)",
+               "dg AS (SELECT alpha, count(*) AS n, sum(w)*sum(w)/sum(w*w) AS ess, max(w) AS max_weight, quantile_disc(w, 0.99) AS q99_weight, avg(oos) AS oos_support_frac, avg(rare) AS rare_action_frac FROM lf GROUP BY 1)",
+               "ds AS (SELECT alpha, avg(kl) AS kl_from_behavior, avg(tv) AS tv_from_behavior FROM lg GROUP BY 1)")
+
+
 def _myopic_sql() -> str:
     alphas = f"(SELECT unnest([{','.join(f'{a}::DOUBLE' for a in STUDY.alphas)}]) AS alpha)"
     by = ["policy", "alpha"]
@@ -378,6 +458,9 @@ FROM pp JOIN fv USING (alpha)""", *LOGGED, PER_PA, *FQE[3:], FQE_VALUE)),
         *BASE, "pb AS (SELECT *, mu AS pi FROM pt)", logged_sql(["season"], "pb", None))),
     "relog_known": Query(relog_known, sql(
         est_sql("alpha", extra=f", {q6('avg(v_hat)')} AS true_value"), *BASE, mixed_sql(), RELOG, logged_sql(ALPHA, "re2", None))),
+    "ope_self_tests": Query(ope_self_tests, sql(
+        f"SELECT test, alpha, estimator, {ROUND('truth', 'value', 'lo', 'hi')}, passed FROM tests", *BASE, mixed_sql(), *_tests_ctes())),
+    "policy_report": Query(policy_report, _report_sql()),
     "overlap_filter": Query(overlap_filter, sql(est_sql("alpha", where="WHERE thin=0"), *LOGGED)),
     "placebo": Query(placebo, sql(
         est_sql("alpha", extra=f", {q6('avg(v_hat+w*(r-q_a)) - avg(r)')} AS effect"), *BASE, mixed_sql(),

@@ -8,7 +8,7 @@ from throughline.config import EVENT_TYPES, FAMILIES, FAMILY_CODES
 from throughline.operators import decision, history, tables
 from throughline.plans.common import STUDY, TRAIN, Query, rounded, spread, table
 from throughline.plans.oracle import r6 as q6, sql
-from throughline.plans.study import START, STUDY_SQL, chain_sql, train_and_held
+from throughline.plans.study import START, STUDY_SQL, chain_sql, study_rows, train_and_held
 from throughline.sources.adapter import user_event_log
 
 K = STUDY.shrink
@@ -67,8 +67,8 @@ def markov_backoff(spark, path):
 
 
 def order_patterns(spark, path):
-    train = train_and_held(spark, path)[0]
-    parts = [tables.order_patterns(train, n) for n in (2, 3)]
+    rows = study_rows(spark, path)
+    parts = [tables.order_patterns(rows, n) for n in (2, 3)]
     return rounded(parts[0].unionByName(parts[1]), "expected", "lift")
 
 
@@ -110,8 +110,9 @@ def wide_sql(src: str, keys: list[str], names=FAMILIES, p: str = "p") -> str:
     return f"SELECT {', '.join(keys)}, any_value(nn) AS n, {cols} FROM {src} GROUP BY {', '.join(keys)}"
 
 
-E1 = """e1 AS (SELECT count_state, stand, p_throws, fi, fam, nn, (SELECT count(*) FROM train x WHERE x.count_state=c.count_state AND x.stand=c.stand AND x.p_throws=c.p_throws AND x.family=fam)/nn AS p
-  FROM (SELECT count_state, stand, p_throws, count(*) AS nn FROM train GROUP BY ALL) c CROSS JOIN fams)"""
+E1 = """eroot AS (SELECT fi, fam, ((SELECT count(*) FROM train WHERE family=fam) + 1.0::DOUBLE/8)/(1 + (SELECT count(*) FROM train)) AS rp FROM fams),
+e1 AS (SELECT count_state, stand, p_throws, fi, fam, nn, ((SELECT count(*) FROM train x WHERE x.count_state=c.count_state AND x.stand=c.stand AND x.p_throws=c.p_throws AND x.family=fam) + rp)/(nn + 1) AS p
+  FROM (SELECT count_state, stand, p_throws, count(*) AS nn FROM train GROUP BY ALL) c CROSS JOIN eroot)"""
 E2 = f"""{E1},
 e2h AS (SELECT pitcher, count_state, stand, p_throws, count(*) AS m FROM train GROUP BY ALL),
 e2p AS (SELECT pitcher, count_state, fi, fam, sum(m*p)/sum(m) AS parent, CAST(sum(m) AS BIGINT) AS nn
@@ -159,7 +160,7 @@ def _markov_sql(depth: int, base: list[str], source: str, action: str, fams: str
         if d == 0:
             ctes.append(chain_sql("mk0", [names[:1]], K, source, source, action, fams))
             parts.append(f"SELECT 0 AS depth, '' AS context, (SELECT count(*) FROM {source}) AS n_context, fam AS action, "
-                         f"(SELECT count(*) FROM {source} WHERE {action}=fam) AS n, (SELECT count(*) FROM {source} WHERE {action}=fam)/(SELECT count(*) FROM {source} WHERE {action} IS NOT NULL) AS p FROM mk0_0")
+                         f"(SELECT count(*) FROM {source} WHERE {action}=fam) AS n, p FROM mk0_0")
         else:
             ctes.append(chain_sql(f"mk{d}x", [names[:j] for j in range(1, d + 1)], K, source, source, action, fams))
             parts.append(f"SELECT {d}, concat_ws('>', {', '.join(reversed(names[:d]))}), nn, fam, n, p FROM mk{d}x")
@@ -178,8 +179,8 @@ def _patterns_sql(n: int, source: str, action: str, order: str) -> str:
             f"m{n} AS (SELECT {action} AS a, count(*)/(SELECT count(*) FROM {source}) AS share FROM {source} GROUP BY 1)")
 
 
-_P2 = _patterns_sql(2, "train", "family", "pitch_number")
-_P3 = _patterns_sql(3, "train", "family", "pitch_number")
+_P2 = _patterns_sql(2, "study", "family", "pitch_number")
+_P3 = _patterns_sql(3, "study", "family", "pitch_number")
 EVENT_LOG = """ev AS (SELECT *, coalesce(lag(event_type) OVER w, '^') AS prev_family, coalesce(lag(event_type,2) OVER w, '^') AS prev2_family,
     row_number() OVER w AS seq
   FROM (SELECT *, CAST(ts AS DATE) AS d FROM events) WINDOW w AS (PARTITION BY user_id, d ORDER BY ts, event_id)),

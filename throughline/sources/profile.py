@@ -23,18 +23,20 @@ def populated_share(df: DataFrame, cols: list[str]) -> DataFrame:
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, null share and distinct count per column, in one pass.
 
-    Cells are counted by (column, value) before anything meets on the column name, so the
+    `approximate` keeps a mergeable sketch for each column in one aggregate, so what moves is one
+    row a task. The exact count is of cells: cells are counted by (column, value) before anything meets on the column name, so the
     few column keys never gather raw cells. Many distinct counts in one aggregate would
     copy each row once per column and keep all copies through the shuffle.
     """
-    long = _long(df, df.columns)
     if approximate:
-        counted = long.groupBy("column", "dtype").agg(
-            F.count("*").alias("_n"), F.count("value").alias("_filled"),
-            F.approx_count_distinct("value").alias("n_unique"))
+        wide = df.agg(F.count("*").alias("_n"), *[x for i, c in enumerate(df.columns) for x in (
+            F.count(F.col(c)).alias(f"_f{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 14)).alias(f"_u{i}"))])
+        counted = wide.select("_n", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"_f{i}").alias("_filled"),
+                     F.coalesce(F.col(f"_u{i}"), F.lit(0)).alias("n_unique")) for i, (c, t) in enumerate(df.dtypes)])))
     else:
         counted = (
-            long.groupBy("column", "dtype", "value").agg(F.count("*").alias("_c"))
+            _long(df, df.columns).groupBy("column", "dtype", "value").agg(F.count("*").alias("_c"))
             .groupBy("column", "dtype").agg(
                 F.sum("_c").alias("_n"),
                 F.sum(F.when(F.col("value").isNotNull(), F.col("_c")).otherwise(0)).alias("_filled"),
