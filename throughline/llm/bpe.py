@@ -16,7 +16,6 @@ token that starts there.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -30,8 +29,8 @@ from throughline.llm.frames import append, lists, ship, texts
 
 #: Entries a memo may hold before it is begun anew; bounds a worker's memory, not the result.
 MEMO = 150_000
-#: Texts above this length are cut into pieces lazily.
-LAZY = 1 << 20
+#: Characters of texts that are cut into pieces together; a text above this length is cut lazily.
+GROUP = 1 << 20
 #: What an id outside of the vocabulary decodes to.
 UNKNOWN = "�".encode()
 
@@ -91,7 +90,9 @@ class Encoder:
         self.shorter = {r: next((reached[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in reached), None)
                         for t, r in reached.items()}
         self.edges = ({}, {})
-        self.fits = Memo(self.compatible)
+        self.base = max(ranks.values()) + 1
+        self.sizes = {r: len(t) for t, r in ranks.items()}
+        self.fits = Memo(lambda pair: self.compatible(divmod(pair, self.base)))
         self.pieces = Memo(self.piece)
 
     def edge(self, rank: int, side: int) -> list[tuple[bytes, float]]:
@@ -125,32 +126,54 @@ class Encoder:
         whole = self.ranks.get(raw)
         return (whole,) if whole is not None else tuple(self.backtrack(raw))
 
-    def backtrack(self, raw: bytes) -> array:
+    def backtrack(self, raw: bytes) -> list[int]:
         n = len(raw)
-        first = array("i", [-1]) * n
+        first, last = [-1] * n, n - 1
         for end, rank in self.longest.iter(raw[::-1].decode("latin-1")):
-            if first[n - 1 - end] < 0:
-                first[n - 1 - end] = rank
-        token, shorter, fits = self.token, self.shorter, self.fits
-        out, dead, at = array("i"), bytearray(n + 1), 0
+            if first[last - end] < 0:
+                first[last - end] = rank
+        sizes, shorter, fits, base = self.sizes, self.shorter, self.fits, self.base
+        out, dead, at, before = [], bytearray(n + 1), 0, -1
         candidate = first[0]
         while at < n:
-            end = at + len(token[candidate])
-            if not dead[end] and (not out or fits[out[-1], candidate]):
+            end = at + sizes[candidate]
+            if not dead[end] and (before < 0 or fits[before * base + candidate]):
                 out.append(candidate)
-                at = end
+                before, at = candidate, end
                 candidate = first[at] if at < n else None
                 continue
             candidate = shorter[candidate]
             while candidate is None:
                 dead[at] = 1
-                last = out.pop()
-                at -= len(token[last])
-                candidate = shorter[last]
+                gone = out.pop()
+                at -= sizes[gone]
+                candidate = shorter[gone]
+                before = out[-1] if out else -1
+        return out
+
+    def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts. Pieces that are not in the memo are encoded in sorted order: neighbours
+        share beginnings, so the automaton and the pairs they need are at hand."""
+        out, at = [], 0
+        while at < len(texts_):
+            stop, chars = at, 0
+            while stop < len(texts_) and (stop == at or chars + len(texts_[stop]) <= GROUP):
+                chars += len(texts_[stop])
+                stop += 1
+            if stop == at + 1 and chars > GROUP:
+                out.append(self.encode(texts_[at]))
+            else:
+                found = [self.split.findall(t) for t in texts_[at:stop]]
+                look = self.pieces.__getitem__
+                for piece in sorted(set(chain.from_iterable(found)).difference(self.pieces)):
+                    look(piece)
+                out += [np.fromiter(chain.from_iterable(map(look, pieces)), np.int32) for pieces in found]
+            at = stop
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        found = self.split.findall(text) if len(text) < LAZY else (m.group() for m in self.split.finditer(text))
+        """The ids of one text, cut lazily if it is long."""
+        found = self.split.findall(text) if len(text) < GROUP else (m.group() for m in self.split.finditer(text))
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, found)), np.int32)
 
 
@@ -196,7 +219,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         enc = get()
 
         def step(part: pa.RecordBatch) -> list[pa.Array]:
-            ids = [enc.encode(t) for t in texts(part, text)]
+            ids = enc.encode_all(texts(part, text))
             return [lists(np.concatenate(ids), map(len, ids), pa.int32())]
         return step
 
