@@ -16,12 +16,12 @@ token that starts there.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -193,17 +193,25 @@ def _everywhere(df: DataFrame, path: str, name: tuple, build):
     return get
 
 
-class Decoder(dict):
+class Decoder:
     """The bytes of each id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__({rank: token for token, rank in ranks.items()})
+        self.size = max(ranks.values()) + 1
+        token = {rank: t for t, rank in ranks.items()}
+        #: One more at the end, for ids that are null or outside of the vocabulary.
+        self.table = pa.array([token.get(i, UNKNOWN) for i in range(self.size)] + [UNKNOWN], pa.binary())
 
-    def __missing__(self, key):
-        return UNKNOWN
+    def __getitem__(self, rank: int) -> bytes:
+        return self.table[rank if 0 <= rank < self.size else self.size].as_py()
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of lists of ids that lie one after another, from ends[0] on."""
+        ids = np.where((ids < 0) | (ids >= self.size), self.size, ids)
+        if not len(ids):
+            return pa.array([b""] * (len(ends) - 1), pa.binary())
+        _, offsets, data = self.table.take(pa.array(ids)).buffers()
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.frombuffer(offsets, np.int32)[ends]), data])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids",
@@ -237,11 +245,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
         enc = get()
 
         def step(part: pa.RecordBatch) -> list[pa.Array]:
-            flat, column = [], part.column(ids)
-            for row in range(part.num_rows):
-                one = column[row]
-                flat.append(enc.decode(one.values.to_pylist() if one.is_valid else ()))
-            return [pa.array(flat, pa.binary())]
+            column = part.column(ids)
+            flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            return [enc.decode(flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))]
         return step
 
     return append(df, f"`{out}` binary", start, keep)
