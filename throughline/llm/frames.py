@@ -16,7 +16,7 @@ from throughline.session import shared_dir, stage
 __all__ = ["append", "arrow_map", "held_out", "read", "shared_dir", "ship", "stage", "texts"]
 
 #: Bytes of text that an Arrow map works on at a time, one text at least.
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

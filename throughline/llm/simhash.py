@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from throughline.llm.components import components
+from throughline.session import small_side
 from throughline.llm.frames import append, arrow_map, ship, stage, texts
 
 BITS, CROWD, SEED = 64, 64, 42
@@ -246,6 +247,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(both.select("u", "v", "a", "b"), "u long, v long", start)
 
 
+def _sets_of(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The shingle sets (sid, hashes) that the pairs need, each once; no other one is moved."""
+    wanted = small_side(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct())
+    return own.select("sid", "hashes").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+
+
 def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row: the least id reachable over texts whose sets of shingles have the Jaccard similarity.
 
@@ -268,13 +275,14 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
         return each
 
     own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id"]), "shingle-sets")
-    sets = own.select("sid", "hashes").dropDuplicates(["sid"])
     items = stage(own.groupBy("sid").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("hi", "lo", "bucket")]), "distinct-sets")
     radius, marks = wide_radius(similarity), items.select("sid", "hi", "lo", "bucket")
-    edges = stage(_alike(_near(marks.withColumn("label", F.col("sid")), radius, every=False), sets, similarity), "nearest-copies")
+    pairs = stage(_near(marks.withColumn("label", F.col("sid")), radius, every=False), "nearest-pairs")
+    edges = stage(_alike(pairs, _sets_of(own, pairs), similarity), "nearest-copies")
     found = components(edges).withColumnRenamed("node", "sid")
     labelled = marks.join(found, "sid", "left").withColumn("label", F.coalesce("component", "sid")).drop("component")
-    edges = edges.unionByName(_alike(_near(labelled, radius, every=True), sets, similarity))
+    pairs = stage(_near(labelled, radius, every=True), "open-pairs")
+    edges = edges.unionByName(_alike(pairs, _sets_of(own, pairs), similarity))
     found = components(edges).withColumnRenamed("node", "sid")
     held = items.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = held.groupBy("component").agg(F.min("first").alias("component_id"))
