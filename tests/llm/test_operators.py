@@ -374,3 +374,13 @@ def test_pipeline_stages(spark):
     for r in docs.collect():
         joined = b" " + b" ".join(decontaminate.words(r.text or "")) + b" "
         assert not any(b" " + i + b" " in joined for i in items)
+
+
+def test_pipeline_keeps_every_text_of_an_id_that_is_no_copy(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (3, c), (None, "alone " * 9), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.lit(1))
+    got = corpus_pipeline.dedup_near_copies(spark, docs, sf).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(1, a), (2, b), (3, c), (None, "alone " * 9), (4, None), (4, None)], key=str)
+    assert got[0].asDict().keys() == {"doc_id", "text", "text_key"}

@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from throughline.llm.components import components
-from throughline.session import small_side
 from throughline.llm.frames import append, arrow_map, ship, stage, texts
+from throughline.session import small_side
 
 BITS, CROWD, SEED = 64, 64, 42
 #: Shingles whose bits are counted at a time.
@@ -253,8 +253,9 @@ def _sets_of(own: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.select("sid", "hashes").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) for each row: the least id reachable over texts whose sets of shingles have the Jaccard similarity.
+def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, component_id, and the columns `keep`) for each row: the least id reachable over texts whose sets of shingles have the Jaccard similarity.
 
     Sets that differ in size by more than the similarity allows are not compared. Of the others,
     all within `wide_radius` are: first each with its nearest ones, then all that are still in
@@ -262,7 +263,7 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
     are as in `groups`.
     """
     step = math.log(1 / similarity) + 1e-9
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
 
     def start():
         def each(part: pa.RecordBatch) -> list[pa.Array]:
@@ -274,7 +275,7 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
                     pa.array([s.tobytes() for s in sets], pa.binary())]
         return each
 
-    own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id"]), "shingle-sets")
+    own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id", *keep]), "shingle-sets")
     items = stage(own.groupBy("sid").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("hi", "lo", "bucket")]), "distinct-sets")
     radius, marks = wide_radius(similarity), items.select("sid", "hi", "lo", "bucket")
     pairs = stage(_near(marks.withColumn("label", F.col("sid")), radius, every=False), "nearest-pairs")
@@ -286,4 +287,4 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
     found = components(edges).withColumnRenamed("node", "sid")
     held = items.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = held.groupBy("component").agg(F.min("first").alias("component_id"))
-    return own.select("doc_id", "sid").join(held.join(names, "component").select("sid", "component_id"), "sid").select("doc_id", "component_id")
+    return own.select("doc_id", "sid", *keep).join(held.join(names, "component").select("sid", "component_id"), "sid").select("doc_id", "component_id", *keep)
