@@ -16,7 +16,9 @@ from throughline.session import shared_dir, stage
 __all__ = ["append", "arrow_map", "held_out", "read", "shared_dir", "ship", "stage", "texts"]
 
 #: Bytes of text that an Arrow map works on at a time, one text at least.
-SLICE = 4 << 20
+SLICE = 16 << 20
+#: The same for steps that make many hashes of each byte.
+THIN = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,21 +49,21 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch
 
 
 def arrow_map(df: DataFrame, schema: str | T.StructType,
-              start: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]) -> DataFrame:
+              start: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], limit: int = SLICE) -> DataFrame:
     """mapInArrow over bounded slices. `start` runs once in a task and gives the function for a slice."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 yield from step(part)
 
     return df.mapInArrow(run, schema)
 
 
 def append(df: DataFrame, new: str, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, limit: int = SLICE) -> DataFrame:
     """The columns `keep` (default: all) of `df` and the new ones, row by row.
 
     A column of `df` with the name of a new one is replaced, as withColumn() would do; the
@@ -80,7 +82,7 @@ def append(df: DataFrame, new: str, start: Callable[[], Callable[[pa.RecordBatch
             return [pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *made], names=[*kept, *added.names])]
         return one
 
-    return arrow_map(df, T.StructType([*fields, *added.fields]), begin)
+    return arrow_map(df, T.StructType([*fields, *added.fields]), begin, limit)
 
 
 def texts(part: pa.RecordBatch, name: str) -> list[str]:

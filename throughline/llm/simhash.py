@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from throughline.llm.components import components
-from throughline.llm.frames import append, arrow_map, ship, stage, texts
+from throughline.llm.frames import THIN, append, arrow_map, ship, stage, texts
 from throughline.session import small_side
 
 BITS, CROWD, SEED = 64, 64, 42
@@ -244,7 +244,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
         return step
 
-    return arrow_map(both.select("u", "v", "a", "b"), "u long, v long", start)
+    return arrow_map(both.select("u", "v", "a", "b"), "u long, v long", start, THIN)
 
 
 def _sets_of(own: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
                     pa.array([s.tobytes() for s in sets], pa.binary())]
         return each
 
-    own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id", *keep]), "shingle-sets")
+    own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id", *keep], limit=THIN), "shingle-sets")
     items = stage(own.groupBy("sid").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("hi", "lo", "bucket")]), "distinct-sets")
     radius, marks = wide_radius(similarity), items.select("sid", "hi", "lo", "bucket")
     pairs = stage(_near(marks.withColumn("label", F.col("sid")), radius, every=False), "nearest-pairs")
