@@ -181,6 +181,23 @@ def test_simhash_links_take_any_radius(spark):
     assert got == {(min(a, b), max(a, b)) for a, b in combinations(fps, 2) if ((a ^ b) % 2**64).bit_count() <= 7}
 
 
+@pytest.mark.parametrize("n, dim", [(1_000, 2), (51_000, 64), (10_000_000, 64), (10_000_000, 256)])
+def test_caps_recall_does_not_fall_with_the_table(n, dim):
+    """Pairs at the threshold, drawn apart from those that chose the number of filters."""
+    code = caps.Code(n, dim, caps.plan(n, dim, 0.9))
+    assert caps.recall(code, dim, 0.9, draws=1000, seed=7) > 0.98
+
+
+def test_caps_decode_all_filters_above_the_bound():
+    code = caps.Code(20_000, 12, 40)
+    x = caps.unit(np.random.default_rng(3).normal(size=(5, 12)))
+    turned = x @ code.rotation
+    a, b, c, d = (turned[:, p] @ w.T for p, w in zip(code.parts, code.words, strict=True))
+    every = a[:, :, None, None, None] + b[:, None, :, None, None] + c[:, None, None, :, None] + d[:, None, None, None, :]
+    best = np.sort(np.argsort(-every.reshape(5, -1), axis=1)[:, :40], axis=1)
+    assert (code.passed(x) == best).all()
+
+
 # 8
 
 def test_caps_against_all_pairs(spark, monkeypatch):
