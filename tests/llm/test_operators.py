@@ -198,6 +198,31 @@ def test_caps_decode_all_filters_above_the_bound():
     assert (code.passed(x) == best).all()
 
 
+@pytest.mark.parametrize("run", [1, 3, 7, 64, 512])
+def test_hmm_counts_are_those_of_whole_texts(run):
+    """Expected counts do not depend on where long texts are cut; held against the textbook recursion in plain loops."""
+    draw = np.random.default_rng(5)
+    lex = hmm.Lexicon({}, draw.integers(1, 50, 12).astype(float), np.ones(12), 300, 12)
+    model = hmm.Model.next(draw.gamma(1.0, 5.0, 8 + 64 + 96), lex)
+    seqs = [draw.integers(0, 12, n).astype(np.int32) for n in (1, 2, 7, 30, 200, 64, 1)]
+    starts, moves, emits = np.zeros(8), np.zeros((8, 8)), np.zeros((12, 8))
+    for s in seqs:
+        ahead = [model.start * model.emit[s[0]]]
+        for c in s[1:]:
+            ahead.append((ahead[-1] @ model.move) * model.emit[c])
+        back = [np.ones(8)]
+        for c in s[:0:-1]:
+            back.insert(0, model.move @ (model.emit[c] * back[0]))
+        p = ahead[-1].sum()
+        starts += ahead[0] * back[0] / p
+        for t, c in enumerate(s):
+            emits[c] += ahead[t] * back[t] / p
+            if t:
+                moves += np.outer(ahead[t - 1], model.emit[c] * back[t]) * model.move / p
+    want = np.concatenate([starts, moves.ravel(), emits.ravel()])
+    np.testing.assert_allclose(model.expect(seqs, run), want, rtol=1e-4, atol=1e-5)
+
+
 # 8
 
 def test_caps_against_all_pairs(spark, monkeypatch):

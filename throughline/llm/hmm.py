@@ -8,7 +8,9 @@ of its class sequence under a hidden Markov model, times that of each word withi
 * Word counts cover all training texts: counted inside a task, then summed over a shuffle.
 * Baum-Welch: every pass reads all training tokens. A task returns its expected counts, which
   are summed in chunks by other tasks; the driver gets the sums, whose size depends only on
-  the number of states and classes. Long texts are trained on as runs of `RUN` tokens.
+  the number of states and classes. Long texts are cut into runs of `RUN` tokens, which go in step;
+  what enters a run from before and what follows it come from the runs' transfer matrices, so the
+  counts are those of whole texts, whatever the length of a run.
 * Scoring runs the scaled forward recursion over each whole text: its likelihood is exact.
 * Counts of rarer words reach the texts by a join on the word, so the vocabulary may be of any
   size; frequent words, which would make that join uneven, never enter it.
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from throughline.llm.frames import append, arrow_map, lists, ship, slices, stage, texts
 
 STATES, HEAD, TAIL, PASSES = 8, 16384, 4096, 5
-#: Tokens of a training sequence. Longer head words than this many bytes are left to the tail.
+#: Tokens of a run. Longer head words than this many bytes are left to the tail.
 RUN, LONGEST = 512, 64
 #: Weight, in tokens, of the corpus's class shares in each state's emissions, and of even transitions.
 PRIOR, EVEN = 50.0, 1.0
@@ -140,16 +142,19 @@ class Steps:
         self.cls = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(self.active)])
 
     def forward(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
-        """Log10 likelihood of each sequence in `order`; with `keep`, also the scaled forward rows and the scales."""
+        """Log10 likelihood of each sequence in `order`; with `keep`, also the scaled forward rows and the scales.
+
+        `start` is one distribution, or a row for each sequence in `order`.
+        """
         logs = np.zeros(len(self.order))
-        rows = np.empty((len(self.cls), len(start)), np.float32) if keep else None
+        rows = np.empty((len(self.cls), len(move)), np.float32) if keep else None
         scales = np.empty(len(self.cls), np.float32) if keep else None
-        now = np.tile(start, (len(self.order), 1))
+        now = np.broadcast_to(start, (len(self.order), len(move)))
         for t, n in enumerate(self.active):
             a, z = self.at[t], self.at[t + 1]
             now = (now[:n] @ move if t else now[:n]) * emit[self.cls[a:z]]
             scale = now.sum(1)
-            now /= scale[:, None]
+            now = now / scale[:, None]
             logs[:n] += np.log10(scale)
             if keep:
                 rows[a:z], scales[a:z] = now, scale
@@ -180,32 +185,67 @@ class Model:
         emit = emit + PRIOR * share[:, None]
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expect(self, seqs: list[np.ndarray]) -> np.ndarray:
+    def bounds(self, runs: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each run of a text: the forward row before it, the distribution it is entered with, and how
+        likely, up to a factor, the rest of the text is after each of its last states."""
+        k, n = len(self.start), len(runs)
+        before, enter, after = np.zeros((n, k)), np.tile(self.start, (n, 1)), np.ones((n, k))
+        last = np.append(first[1:], True)
+        cut = np.flatnonzero(~(first & last))
+        if not len(cut):
+            return before, enter, after
+        steps = Steps([runs[i] for i in cut])
+        now = np.where(first[cut][steps.order][:, None, None], np.eye(k), self.move)
+        for t, m in enumerate(steps.active):
+            step = (now[:m] @ self.move if t else now[:m]) * self.emit[steps.cls[steps.at[t]:steps.at[t + 1]]][:, None, :]
+            now[:m] = step / step.sum((1, 2), keepdims=True)
+        through = np.empty_like(now)
+        through[steps.order] = now
+        for i, move in zip(cut, through, strict=True):
+            if not first[i]:
+                before[i], enter[i] = row, row @ self.move
+            row = (self.start if first[i] else row) @ move
+            row = row / row.sum()
+        for i, move in zip(cut[::-1], through[::-1], strict=True):
+            after[i] = 1 / k if last[i] else rest
+            rest = move @ after[i]
+            rest = rest / rest.sum()
+        return before, enter, after
+
+    def expect(self, seqs: list[np.ndarray], run: int = RUN) -> np.ndarray:
         """Expected counts (starts, transitions, emissions) of the sequences, as one flat array."""
-        k, steps = len(self.start), Steps(seqs)
-        _, rows, scales = steps.forward(self.start, self.move, self.emit, keep=True)
+        runs = [s[i:i + run] for s in seqs for i in range(0, len(s), run)]
+        first = np.array([i == 0 for s in seqs for i in range(0, len(s), run)])
+        k, steps = len(self.start), Steps(runs)
+        before, enter, after = (x[steps.order] for x in self.bounds(runs, first))
+        _, rows, scales = steps.forward(enter, self.move, self.emit, keep=True)
         moves = np.zeros((k, k))
         for t in range(len(steps.active) - 1, -1, -1):
             a, z, n = steps.at[t], steps.at[t + 1], steps.active[t]
-            later = np.ones((n, k), np.float32)
-            if t + 1 < len(steps.active):
-                b, y = z, steps.at[t + 2]
-                ahead = self.emit[steps.cls[b:y]] * back / scales[b:y, None]
-                moves += rows[a:a + y - b].T @ ahead
-                later[:y - b] = ahead @ self.move.T
+            going = steps.active[t + 1] if t + 1 < len(steps.active) else 0
+            later = np.empty((n, k), np.float32)
+            if going:
+                ahead = self.emit[steps.cls[z:z + going]] * back / scales[z:z + going, None]
+                moves += rows[a:a + going].T @ ahead
+                later[:going] = ahead @ self.move.T
+            if going < n:
+                later[going:] = after[going:n] / (rows[a + going:z] * after[going:n]).sum(1, keepdims=True)
             back = later
             rows[a:z] *= back
+        opening = first[steps.order]
+        if not opening.all():
+            n = steps.at[1]
+            moves += before.T @ (self.emit[steps.cls[:n]] * back / scales[:n, None])
         emits = np.empty((len(self.emit), k))
         for s in range(k):
             emits[:, s] = np.bincount(steps.cls, rows[:, s], len(self.emit))
-        return np.concatenate([rows[:steps.at[1]].sum(0, dtype=float), (moves * self.move).ravel(), emits.ravel()])
+        return np.concatenate([rows[:steps.at[1]][opening].sum(0, dtype=float), (moves * self.move).ravel(), emits.ravel()])
 
 
-def _sequences(part: pa.RecordBatch, run: int | None) -> list[np.ndarray]:
+def _sequences(part: pa.RecordBatch) -> list[np.ndarray]:
     column = part.column("seq")
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    whole = [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
-    return whole if run is None else [w[i:i + run] for w in whole for i in range(0, len(w), run)]
+    return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def baum_welch(train: DataFrame, lex: Lexicon, passes: int = PASSES) -> Model:
@@ -220,7 +260,7 @@ def baum_welch(train: DataFrame, lex: Lexicon, passes: int = PASSES) -> Model:
             total = None
             for batch in batches:
                 for part in slices(batch):
-                    if seqs := _sequences(part, RUN):
+                    if seqs := _sequences(part):
                         counts = sent.value.expect(seqs)
                         total = counts if total is None else total + counts
             if total is not None:
@@ -253,7 +293,7 @@ def score_sequences(df: DataFrame, model: Model, out: str) -> DataFrame:
         model = sent.value
 
         def step(part: pa.RecordBatch) -> list[pa.Array]:
-            steps, logs = Steps(_sequences(part, None)), np.empty(part.num_rows)
+            steps, logs = Steps(_sequences(part)), np.empty(part.num_rows)
             logs[steps.order] = steps.forward(model.start, model.move, model.emit, keep=False)[0]
             return [pa.array(logs)]
         return step
