@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from throughline.config import FAMILIES, Study
 from throughline.functions import arrays, hashing
-from throughline.operators import decision, falsify, metrics, ope, policy, predictability, tables
+from throughline.operators import crossfit, decision, falsify, metrics, ope, policy, predictability, tables
 from throughline.plans.study import study_rows
 
 UNIFORM = [0.125] * 8
@@ -404,3 +404,59 @@ def test_actions_unseen_in_training_have_a_probability(spark):
     seen = spark.createDataFrame([("a",), ("b",)], "k string")
     for r in tables.eb_lookup(train, seen, [["k"]], 50.0).collect():
         assert min(r.probs) > 0 and abs(sum(r.probs) - 1) < 1e-9
+
+
+def _oof_rows(spark, moved=()):
+    """A log of 40 clusters; those in `moved` have other actions and rewards."""
+    rows = []
+    for g in range(40):
+        for i in range(6):
+            draw = random.Random(f"{g}-{i}-{g in moved}")
+            reward = None if draw.random() < 0.1 else draw.uniform(-1, 1)
+            rows.append((g * 6 + i, g, "0-0" if i % 2 else None, FAMILIES[draw.randrange(4)], reward))
+    df = spark.createDataFrame(rows, "row_id long, game long, count_state string, family string, reward double")
+    return crossfit.with_fold(df, 4, 7, ["game"])
+
+
+def _by_row(df):
+    return {r.row_id: (r.fold, list(r.mu), list(r.q)) for r in df.collect()}
+
+
+def test_no_cluster_trains_its_own_score(spark):
+    """Other actions and rewards of a fold leave its own scores as they were, and move those of the other folds."""
+    plain = _oof_rows(spark)
+    folds = {r.game: r.fold for r in plain.select("game", "fold").distinct().collect()}
+    assert len(folds) == 40     # a cluster lies in one fold
+    before = _by_row(crossfit.out_of_fold_tables(plain, ["count_state"], 10.0))
+    after = _by_row(crossfit.out_of_fold_tables(_oof_rows(spark, {g for g, f in folds.items() if f == 1}), ["count_state"], 10.0))
+    assert len(before) == len(after) == 240
+    for row, (fold, mu, q) in before.items():
+        assert sum(mu) == pytest.approx(1) and min(mu) > 0
+        same = mu == pytest.approx(after[row][1], abs=1e-12) and q == pytest.approx(after[row][2], abs=1e-12)
+        assert same == (fold == 1)
+
+
+def test_leaving_a_fold_out_is_a_fit_on_the_others(spark):
+    """Subtracted counts against counts of the other folds' rows, in plain loops."""
+    rows, k = _oof_rows(spark), 10.0
+    log, got = rows.collect(), _by_row(crossfit.out_of_fold_tables(rows, ["count_state"], 10.0))
+    for r in log:
+        rest = [x for x in log if x.fold != r.fold]
+        near = [x for x in rest if x.count_state == r.count_state]
+        paid = [x.reward for x in rest if x.reward is not None]
+        for i, a in enumerate(FAMILIES):
+            root = (sum(x.family == a for x in rest) + 1 / 8) / (len(rest) + 1)
+            assert got[r.row_id][1][i] == pytest.approx((sum(x.family == a for x in near) + k * root) / (len(near) + k))
+            far = [x.reward for x in rest if x.family == a and x.reward is not None]
+            own = [x.reward for x in near if x.family == a and x.reward is not None]
+            mean = (sum(far) + k * sum(paid) / len(paid)) / (len(far) + k)
+            assert got[r.row_id][2][i] == pytest.approx((sum(own) + k * mean) / (len(own) + k))
+
+
+def test_out_of_fold_tables_of_nothing_and_of_one_fold(spark):
+    rows = _oof_rows(spark)
+    assert crossfit.out_of_fold_tables(rows.limit(0), ["count_state"], 10.0).count() == 0
+    alone = crossfit.out_of_fold_tables(rows.withColumn("fold", F.lit(0)), ["count_state"], 10.0).first()
+    assert list(alone.mu) == pytest.approx([1 / 8] * 8) and list(alone.q) == pytest.approx([0.0] * 8)
+    audit = crossfit.fold_audit(rows.withColumn("fold", F.col("row_id").cast("int") % 2), ["game"]).collect()
+    assert [(r.n_clusters, r.n_shared) for r in audit] == [(40, 40), (40, 40)]     # a bad fold is seen
