@@ -197,8 +197,12 @@ class Model:
         steps = Steps([runs[i] for i in cut])
         now = np.where(first[cut][steps.order][:, None, None], np.eye(k), self.move)
         for t, m in enumerate(steps.active):
-            step = (now[:m] @ self.move if t else now[:m]) * self.emit[steps.cls[steps.at[t]:steps.at[t + 1]]][:, None, :]
-            now[:m] = step / step.sum((1, 2), keepdims=True)
+            if t:
+                now[:m] = (now[:m].reshape(-1, k) @ self.move).reshape(m, k, k)
+            now[:m] *= self.emit[steps.cls[steps.at[t]:steps.at[t + 1]]][:, None, :]
+            if t % 16 == 15:        # far from what a double can't hold
+                now[:m] /= now[:m].sum((1, 2), keepdims=True)
+        now /= now.sum((1, 2), keepdims=True)
         through = np.empty_like(now)
         through[steps.order] = now
         for i, move in zip(cut, through, strict=True):
