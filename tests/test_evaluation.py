@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from throughline.config import FAMILIES, Study
 from throughline.functions import arrays, hashing
-from throughline.operators import crossfit, decision, falsify, metrics, ope, policy, predictability, tables
+from throughline.operators import crossfit, decision, eventtree, falsify, metrics, ope, policy, predictability, tables
 from throughline.plans.study import study_rows
 
 UNIFORM = [0.125] * 8
@@ -460,3 +460,62 @@ def test_out_of_fold_tables_of_nothing_and_of_one_fold(spark):
     assert list(alone.mu) == pytest.approx([1 / 8] * 8) and list(alone.q) == pytest.approx([0.0] * 8)
     audit = crossfit.fold_audit(rows.withColumn("fold", F.col("row_id").cast("int") % 2), ["game"]).collect()
     assert [(r.n_clusters, r.n_shared) for r in audit] == [(40, 40), (40, 40)]     # a bad fold is seen
+
+
+def _pitches(spark, rows):
+    """(count_state, family, leaf) as a log with node labels."""
+    out = []
+    for i, (state, family, leaf) in enumerate(rows):
+        swing = leaf not in ("ball", "called_strike")
+        contact = ("in_play" if leaf not in ("whiff", "foul") else leaf) if swing else None
+        out.append((i, 2000, state, family, swing, None if swing else leaf == "called_strike", contact, leaf if contact == "in_play" else None))
+    return spark.createDataFrame(out, "row_id long, season int, count_state string, family string, node_swing boolean, "
+                                      "node_called_strike boolean, node_contact string, events string")
+
+
+def test_event_tree_leaves_by_hand(spark):
+    draw = random.Random(3)
+    leaves = ["ball", "called_strike", "whiff", "foul", "single", "field_out"]
+    log = [(draw.choice(["0-0", "1-2"]), draw.choice(["FF", "SL"]), draw.choice(leaves)) for _ in range(200)]
+    train, k = _pitches(spark, log), 10.0
+    contexts = spark.createDataFrame([("0-0", "FF"), ("0-0", "SL"), ("3-0", "CU")], "count_state string, family string")
+    got = {}
+    for r in eventtree.leaf_probabilities(train, contexts, [["count_state"], ["count_state", "family"]], k).collect():
+        got.setdefault((r.count_state, r.family), {})[r.leaf] = r.p
+    assert len(got) == 3
+
+    def share(rows, of, hit, width):
+        """Shares of `hit` among the rows that reach a node, from all of them to the context's own."""
+        p = None
+        for level in rows:
+            reach = [x for x in level if of(x)]
+            n = sum(map(hit, reach))
+            p = (n + 1 / width) / (len(reach) + 1) if p is None else (n + k * p) / (len(reach) + k)
+        return p
+
+    swings, plays = leaves[2:], leaves[4:]
+    for (state, family), dist in got.items():
+        assert sum(dist.values()) == pytest.approx(1)
+        assert set(dist) == {*leaves[:4], "in_play:single", "in_play:field_out", eventtree.UNSEEN}
+        rows = [[x[2] for x in log], [x[2] for x in log if x[0] == state], [x[2] for x in log if x[:2] == (state, family)]]
+        swing = share(rows, lambda x: True, lambda x: x in swings, 2)
+        assert dist["ball"] == pytest.approx((1 - swing) * share(rows, lambda x: x not in swings, lambda x: x == "ball", 2))
+        hit = share(rows, lambda x: x in swings, lambda x: x in plays, 3)
+        assert dist["in_play:single"] == pytest.approx(swing * hit * share(rows, lambda x: x in plays, lambda x: x == "single", 3))
+        assert dist["foul"] == pytest.approx(swing * share(rows, lambda x: x in swings, lambda x: x == "foul", 3))
+
+    held = _pitches(spark, [("0-0", "FF", "ball"), ("0-0", "FF", "triple"), ("3-0", "CU", "single")])
+    every = eventtree.leaf_probabilities(train, contexts, [["count_state"], ["count_state", "family"]], k)
+    score = eventtree.final_event_scores(held, every, ["count_state", "family"], ["season"]).first()
+    ff, cu = got["0-0", "FF"], got["3-0", "CU"]
+    told = [(ff, "ball"), (ff, eventtree.UNSEEN), (cu, "in_play:single")]
+    assert score.n == 3
+    assert score.log_loss == pytest.approx(-sum(math.log(d[x]) for d, x in told) / 3)
+    assert score.brier == pytest.approx(sum(sum((p - (y == x)) ** 2 for y, p in d.items()) for d, x in told) / 3)
+
+
+def test_event_tree_of_nothing(spark):
+    train = _pitches(spark, [("0-0", "FF", "ball")]).limit(0)
+    contexts = spark.createDataFrame([("0-0", "FF")], "count_state string, family string")
+    dist = {r.leaf: r.p for r in eventtree.leaf_probabilities(train, contexts, [["count_state", "family"]], 10.0).collect()}
+    assert dist == pytest.approx({"ball": 1 / 4, "called_strike": 1 / 4, "whiff": 1 / 6, "foul": 1 / 6, eventtree.UNSEEN: 1 / 6})

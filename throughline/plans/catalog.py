@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from throughline.plans import (
-    crossfit_queries, falsify_queries, history_queries, landing_queries, metric_queries, model_queries,
+    crossfit_queries, eventtree_queries, falsify_queries, history_queries, landing_queries, metric_queries, model_queries,
     policy_queries, predict_queries, table_queries,
 )
 from throughline.plans.common import Query
@@ -18,4 +18,5 @@ CATALOG: dict[str, Query] = {
     **predict_queries.QUERIES,
     **model_queries.QUERIES,
     **crossfit_queries.QUERIES,
+    **eventtree_queries.QUERIES,
 }
