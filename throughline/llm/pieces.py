@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from throughline.llm.frames import append, ship, texts
+from throughline.llm.frames import THIN, append, ship, texts
 
 #: Kinds of a piece in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -331,7 +331,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", bos:
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
         return step
 
-    return append(df, f"`{out}` {'binary' if packed else 'array<int>'}", start, keep)
+    return append(df, f"`{out}` {'binary' if packed else 'array<int>'}", start, keep, THIN)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -356,4 +356,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
             return [pa.array(dec.decode(flat, np.cumsum([0, *sizes])), pa.string())]
         return step
 
-    return append(df, f"`{out}` string", start, keep)
+    return append(df, f"`{out}` string", start, keep, THIN)
