@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from throughline import session
+from throughline.llm import frames, pieces
+from throughline.llm.queries import PIECE_BPE
 from throughline.operators import history, metrics, predictability, views
 from throughline.plans import study
 from throughline.plans.common import STUDY, table
@@ -66,3 +68,12 @@ def test_arm_replicates_are_those_of_all_sums(spark):
     want = metrics.bootstrap(rows, cluster, predictability._arm_sums(predictability.PITCH), state, 9, 3).filter("replicate > 0")
     got = predictability.arm_replicates(rows, cluster, state, 9, 3)
     assert {tuple(sorted(r.asDict().items())) for r in got.collect()} == {tuple(sorted(r.asDict().items())) for r in want.collect()}
+
+
+def test_pieces_work_in_thin_slices(spark, monkeypatch):
+    limits = []
+    monkeypatch.setattr(pieces, "append", lambda df, new, start, keep=None, limit=frames.SLICE: limits.append(limit) or df)
+    docs = spark.createDataFrame([(1, "a b", b"")], "doc_id long, text string, ids binary")
+    pieces.encode(docs, PIECE_BPE, packed=True)
+    pieces.decode(docs, PIECE_BPE)
+    assert limits == [frames.THIN, frames.THIN]
