@@ -309,6 +309,22 @@ def test_lines_with_a_changed_word_or_letter_are_linked(spark):
     assert near > 60 and got >= 0.97 * near
 
 
+def test_lines_that_only_share_a_key_are_not_paired(spark):
+    rng, radius = random.Random(21), lines.sketch_radius(0.8)
+    pool = ["".join(rng.choice(["th", "on", "er", "in", "ea", " ", "ou", "st", "ha", "re", "an", "or", "ti", "wh"]) for _ in range(300)) for _ in range(12)]
+    pool += [p[:100] + "#" + p[101:] for p in pool[:3]]
+    near = {(a, b) for a, b in combinations(range(15), 2) if lines.jaccard(pool[a], pool[b]) >= 0.8}
+    sketch = lines.bands(pool)[1].tolist()
+    table = "key long, lid long, sketch long, times long"
+    found = lines._candidates(spark.createDataFrame([(7, i, x, 1) for i, x in enumerate(sketch)], table), radius).collect()
+    assert {(r.u, r.v) for r in found} == near == {(0, 12), (1, 13), (2, 14)} and not any(r.crowd for r in found)
+    # under a crowded key each line is written once, with the most frequent one
+    rows = [(7, 100 * k + i, x, 1 + (k == 1 and i == 0)) for k in range(4) for i, x in enumerate(sketch)]
+    found = lines._candidates(spark.createDataFrame(rows, table), radius).collect()
+    assert len(found) == 59 and all(r.crowd and 100 in (r.u, r.v) for r in found)
+    assert sum(r.near for r in found) == 7
+
+
 # 3 and 9
 
 def test_similar_lines_by_hashes_are_the_exact_ones():
