@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from throughline import session
 from throughline.llm import frames, pieces
 from throughline.llm.queries import PIECE_BPE
-from throughline.operators import history, metrics, predictability, views
-from throughline.plans import study
-from throughline.plans.common import STUDY, table
+from throughline.operators import history, metrics, models, predictability, views
+from throughline.plans import model_queries, study
+from throughline.plans.common import HELD_OUT, STUDY, TRAIN, table
 from throughline.sources.adapter import pitch_log
 
 ROWS = "count_state string, family string, outcome string, reward double, pitcher long, game_pk long"
@@ -77,3 +77,20 @@ def test_pieces_work_in_thin_slices(spark, monkeypatch):
     pieces.encode(docs, PIECE_BPE, packed=True)
     pieces.decode(docs, PIECE_BPE)
     assert limits == [frames.THIN, frames.THIN]
+
+
+def test_fits_of_the_same_rows_share_one_written_array(spark, sf, monkeypatch):
+    """No fit assembles its features anew or keeps rows that the learner keeps as well; the forecasts are those of single columns."""
+    rows, shared = model_queries.model_rows(spark, sf), model_queries.value_rows(spark, sf)
+    how = ("O", "logistic", 3, views.MECHANISMS["type"])
+    want = {r.row_id: r.action_probs for r in models.fit_behavior(rows.filter(TRAIN), *how).predict(rows.filter(HELD_OUT)).collect()}
+
+    def never(*args, **kw):
+        raise AssertionError("assembled or kept anew")
+
+    monkeypatch.setattr(models, "VectorAssembler", never)
+    monkeypatch.setattr(type(rows), "persist", never)
+    got = models.fit_behavior(shared.filter(TRAIN), *how).predict(shared.filter(HELD_OUT)).collect()
+    assert len(got) == len(want) and want
+    assert all(abs(p - q) < 1e-6 for r in got for p, q in zip(r.action_probs, want[r.row_id], strict=True))
+    assert {r.dropped for r in model_queries.mechanism_refit(spark, sf).collect()} == set(views.MECHANISMS)
