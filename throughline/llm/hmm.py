@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from throughline.llm.frames import append, arrow_map, lists, ship, slices, stage, texts
 
 STATES, HEAD, TAIL, PASSES = 8, 16384, 4096, 5
-#: Tokens of a run. Longer head words than this many bytes are left to the tail.
-RUN, LONGEST = 512, 64
+#: Tokens of a run: transfer matrices cost more than the states' rows, so only long texts are cut. Longer head words
+#: than this many bytes are left to the tail.
+RUN, LONGEST = 2048, 64
 #: Weight, in tokens, of the corpus's class shares in each state's emissions, and of even transitions.
 PRIOR, EVEN = 50.0, 1.0
 CHUNKS = 16
@@ -111,10 +113,12 @@ def classify(df: DataFrame, lex: Lexicon, text: str) -> DataFrame:
             seqs, tails, times, known, log_head, log_tail = [], [], [], [], [], []
             for t in texts(part, text):
                 tokens = words(t)
-                seq = np.fromiter((head.get(w) or first + tail_class(w) for w in tokens), np.int32, len(tokens))
-                rare = Counter([w for w, c in zip(tokens, seq.tolist(), strict=True) if c >= first])
-                seq = np.append(seq, np.int32(0))
-                common = seq[seq < first]
+                seq = np.zeros(len(tokens) + 1, np.int32)       # class 0: a rarer word so far, and the end
+                seq[:-1] = np.fromiter(map(head.get, tokens, repeat(0)), np.int32, len(tokens))
+                at = np.flatnonzero(seq[:-1] == 0)
+                others = [tokens[i] for i in at.tolist()]
+                seq[at] = np.fromiter(map(tail_class, others), np.int32, len(at)) + np.int32(first)
+                rare, common = Counter(others), seq[seq < first]
                 seqs.append(seq)
                 tails.append(list(rare))
                 times.append(list(rare.values()))
@@ -142,22 +146,24 @@ class Steps:
         self.cls = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(self.active)])
 
     def forward(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
-        """Log10 likelihood of each sequence in `order`; with `keep`, also the scaled forward rows and the scales.
+        """Log10 likelihood of each sequence in `order`, or with `keep` the scaled forward rows and the scales.
 
-        `start` is one distribution, or a row for each sequence in `order`.
+        `start` is one distribution, or a row for each sequence in `order`. Arithmetic is in the type of `move`;
+        with `keep`, the likelihoods are left out.
         """
-        logs = np.zeros(len(self.order))
+        logs, ones = np.zeros(len(self.order)), np.ones(len(move), move.dtype)
         rows = np.empty((len(self.cls), len(move)), np.float32) if keep else None
         scales = np.empty(len(self.cls), np.float32) if keep else None
         now = np.broadcast_to(start, (len(self.order), len(move)))
         for t, n in enumerate(self.active):
             a, z = self.at[t], self.at[t + 1]
-            now = (now[:n] @ move if t else now[:n]) * emit[self.cls[a:z]]
-            scale = now.sum(1)
+            now = (now[:n] @ move if t else now[:n]) * emit.take(self.cls[a:z], axis=0)
+            scale = now @ ones      # faster than a sum over so few columns
             now /= scale[:, None]
-            logs[:n] += np.log10(scale)
             if keep:
                 rows[a:z], scales[a:z] = now, scale
+            else:
+                logs[:n] += np.log10(scale)
         return logs, rows, scales
 
 
@@ -221,17 +227,19 @@ class Model:
         runs = [s[i:i + run] for s in seqs for i in range(0, len(s), run)]
         first = np.array([i == 0 for s in seqs for i in range(0, len(s), run)])
         k, steps = len(self.start), Steps(runs)
-        before, enter, after = (x[steps.order] for x in self.bounds(runs, first))
-        _, rows, scales = steps.forward(enter, self.move, self.emit, keep=True)
+        before, enter, after = (x[steps.order].astype(np.float32) for x in self.bounds(runs, first))
+        move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)     # kept rows are in single precision, too
+        _, rows, scales = steps.forward(enter, move, emit, keep=True)
         moves = np.zeros((k, k))
         for t in range(len(steps.active) - 1, -1, -1):
             a, z, n = steps.at[t], steps.at[t + 1], steps.active[t]
             going = steps.active[t + 1] if t + 1 < len(steps.active) else 0
             later = np.empty((n, k), np.float32)
             if going:
-                ahead = self.emit[steps.cls[z:z + going]] * back / scales[z:z + going, None]
-                moves += rows[a:a + going].T @ ahead
-                later[:going] = ahead @ self.move.T
+                back *= emit.take(steps.cls[z:z + going], axis=0)
+                back /= scales[z:z + going, None]
+                moves += rows[a:a + going].T @ back
+                later[:going] = back @ move.T
             if going < n:
                 later[going:] = after[going:n] / (rows[a + going:z] * after[going:n]).sum(1, keepdims=True)
             back = later
@@ -239,7 +247,7 @@ class Model:
         opening = first[steps.order]
         if not opening.all():
             n = steps.at[1]
-            moves += before.T @ (self.emit[steps.cls[:n]] * back / scales[:n, None])
+            moves += before.T @ (emit[steps.cls[:n]] * back / scales[:n, None])
         emits = np.empty((len(self.emit), k))
         for s in range(k):
             emits[:, s] = np.bincount(steps.cls, rows[:, s], len(self.emit))
@@ -324,8 +332,7 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     scored = score_sequences(seen.select("row", "doc_id", "held_out", "known", "log_head", "log_class", "seq"), model, "hmm") \
         .withColumn("n_tokens", F.size("seq").cast("long")).drop("seq")
 
-    tail = (seen.select("row", F.explode(F.arrays_zip("tail", "times")).alias("w"))
-            .select("row", F.col("w.tail").alias("word"), F.col("w.times").alias("times")))
+    tail = seen.select("row", F.inline(F.arrays_zip(F.col("tail").alias("word"), "times")))
     summed = (tail.join(counts.select("word", "n"), "word", "inner").groupBy("row")
               .agg(F.sum("times").alias("known_tail"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_tail")))
     both = scored.join(summed, "row", "left").na.fill(0, ["known_tail", "log_tail"])
