@@ -173,6 +173,45 @@ def test_pipeline_near_copies_against_all_pairs(spark, monkeypatch, block):
     assert {r.doc_id for r in corpus_pipeline.dedup_near_copies(spark, docs, "").collect()} - {None} == want
 
 
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_near_copies_meet_on_a_ring(spark, monkeypatch, crowd):
+    """Unrelated texts of like size are not compared; all similar pairs share a key and keep its chain's budgets; crowded keys lose none."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(21)
+    base = [prose(rng, 20 + 12 * i, 10**6) for i in range(40)]
+    texts = list(base)
+    for t in base[3:15]:
+        for k in range(6):
+            w = t.split()
+            for _ in range(rng.randrange(1, 2 + len(w) // 60)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = list({s.tobytes(): s for s in (simhash.shingle_set(t, 5) for t in texts)}.values())
+    linked = {(a, b) for a, b in combinations(range(len(sets)), 2)
+              if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    bucket = np.array([int(math.log(len(s)) / simhash.bucket_width(0.8) // 1) for s in sets])
+    key, sid, chain, filled, apart = simhash.chains(np.arange(len(sets)), bucket, sets, 0.8)
+    met, under = set(), {}
+    for i, k in enumerate(key.tolist()):
+        under.setdefault(k, []).append(i)
+    for at in under.values():
+        for i, j in combinations(at, 2):
+            if simhash.within_budgets(chain[[i]], chain[[j]], np.maximum(filled[[i]], filled[[j]]), apart[[i]])[0]:
+                met.add((min(sid[i], sid[j]), max(sid[i], sid[j])))
+    assert len(linked) > 60 and linked <= met and len(met) < len(sets) * (len(sets) - 1) / 2 / 8
+    compared = []
+    near = simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda items, *a: compared.append(items.select("sid").distinct().count()) or near(items, *a))
+    got = {r.doc_id: r.component_id for r in simhash.copies(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    place = {s.tobytes(): i for i, s in enumerate(sets)}
+    label = find(linked, range(len(sets)))
+    least = {}
+    of = [label[place[simhash.shingle_set(t, 5).tobytes()]] for t in texts]
+    for i, c in enumerate(of):
+        least.setdefault(c, i)
+    assert got == {i: least[c] for i, c in enumerate(of)} and all(n < len(sets) - 25 for n in compared)
+
+
 def test_simhash_links_take_any_radius(spark):
     rng = random.Random(13)
     fps = [rng.getrandbits(64) - 2**63 for _ in range(12)]

@@ -12,8 +12,14 @@ radius one instead, which is exact for r = 2. Two of them differ in at most two
 they have a neighbour within one bit in common, and at most 65 fingerprints lie around one.
 
 Other radii leave no key that parts the fingerprints well, so they are compared block by block.
-So does `copies`, which links texts by the exact Jaccard similarity of their shingle sets:
-fingerprints of 128 bits, compared among sets of like size, only choose the pairs to verify.
+
+`copies` links texts by the exact Jaccard similarity of their shingle sets. Fingerprints of 128 bits
+choose the pairs to verify, but only of sets that pigeonring filtering of the sets themselves leaves:
+the similarity bounds the shingles in which two sets of like size differ by some d; their shingles
+are dealt over a ring of more than d segments, and the segments that are empty in both left out.
+Then there is a segment from which on every chain of l of the r others holds at most l*d/r differing
+ones; the first is equal and not empty, so its shingles are a join key, and a digit of each following
+segment rides along for the budgets of the chain.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ BITS, CROWD, SEED = 64, 64, 42
 RUN = 1 << 16
 #: Fingerprints on either side of a block of comparisons, and rows compared at a time.
 BLOCK, ROWS = 8192, 128
+#: Segments after a chain's first whose digits ride along, and the base of a digit, of which zero is an empty segment.
+AHEAD, DIGITS = 12, 31
 #: Standard deviations by which the wide fingerprints' radius exceeds the mean distance at the threshold.
 SPREAD = 4.5
 
@@ -229,6 +237,151 @@ def _near(items: DataFrame, radius: int, every: bool) -> DataFrame:
             .mapInArrow(run, "u long, v long").distinct())
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return h ^ (h >> np.uint64(32))
+
+
+def bucket_width(similarity: float) -> float:
+    """Buckets of sizes on a log scale: sets that are similar enough lie in the same or in neighbouring ones."""
+    return math.log(1 / similarity) + 1e-9
+
+
+def chains(sid: np.ndarray, bucket: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, ...]:
+    """(key, sid, chain, filled, apart): a row for each segment of a set that isn't empty, on its bucket's ring and the one below.
+
+    `apart` is the number of shingles in which similar sets of a ring differ at most, `filled` the number of segments
+    that aren't empty; `chain` has the digits of the following segments, and whether the set is of the upper bucket.
+    Sets that don't fill more segments than `apart` share one more key, under which all of them meet.
+    """
+    sizes, made = np.array([len(s) for s in sets], np.int64), []
+    for upper in (0, 1):
+        own = np.flatnonzero((sizes > 0) & (bucket >= upper))
+        if not len(own):
+            continue
+        ring, n = bucket[own].astype(np.int64) - upper, sizes[own]
+        apart = np.floor((1 / similarity - 1) * np.exp((ring + 1) * bucket_width(similarity)) + 1e-6).astype(np.int64)
+        m = np.where(apart > 0, apart + apart // 4 + 3, 1)
+        first, total = np.cumsum(m) - m, int(m.sum())
+        h, of = _mixed(np.concatenate([sets[i] for i in own])), np.repeat(np.arange(len(own)), n)
+        at = first[of] + (((h >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        h = _mixed(h)
+        filled = np.bincount(at, minlength=total) > 0
+        low, high = (np.bincount(at, part.astype(float), total).astype(np.uint64) for part in (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)))
+        value = _mixed(_mixed(low) + high)      # sums of up to 2^21 halves are exact in a double
+        digit = np.where(filled, 1 + value % np.uint64(DIGITS), 0).astype(np.int64)
+        owner = np.repeat(np.arange(len(own)), m)
+        inner, size = np.arange(total) - first[owner], m[owner]
+        chain = np.full(total, upper << 60, np.int64)
+        for i in range(AHEAD):
+            chain |= np.where(i + 1 < size, digit[first[owner] + (inner + i + 1) % size], 0) << (5 * i)
+        full = np.bincount(owner, filled, len(own)).astype(np.int64)
+        key = _mixed(value + _mixed((ring[owner] << 32 | inner).astype(np.uint64))).view(np.int64)
+        there = np.flatnonzero(filled)
+        made.append((key[there], sid[own][owner[there]], chain[there], full[owner[there]], apart[owner[there]]))
+        thin = np.flatnonzero(full <= apart)
+        made.append((_mixed(ring[thin].astype(np.uint64) + np.uint64(1 << 62)).view(np.int64), sid[own][thin],
+                     np.full(len(thin), upper << 60, np.int64), np.zeros(len(thin), np.int64), apart[thin]))
+    return tuple(np.concatenate(c) for c in zip(*made, strict=True)) if made else tuple(np.empty((5, 0), np.int64))
+
+
+def within_budgets(a: np.ndarray, b: np.ndarray, filled: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether the chains a and b, whose first segments are equal, keep each length's budget and can be of a similar pair."""
+    good, length, differ = (a >> 60) + (b >> 60) < 2, np.ones(len(a), np.int64), np.zeros(len(a), np.int64)
+    for i in range(AHEAD):
+        x, y = a >> (5 * i) & 31, b >> (5 * i) & 31
+        length += (x | y) > 0
+        differ += x != y
+        good &= differ * filled <= length * apart
+    return good
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(key, u, v, crowd): pairs of sets under a key that keep the budgets; of a crowded key its sets, each with itself."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship(rows.sparkSession)
+    names = ["key", "sid", "chain", "filled", "apart"]
+
+    def table(key, u, v, crowd: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), pa.array(v), pa.array(np.full(len(key), crowd))], names=["key", "u", "v", "crowd"])
+
+    def meet(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole keys."""
+        key, sid, chain, filled, apart = held
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.repeat(np.diff(np.append(start, len(key))), np.diff(np.append(start, len(key))))
+        crowd = sizes > CROWD
+        if crowd.any():
+            yield table(key[crowd], sid[crowd], sid[crowd], True)
+        some = np.flatnonzero((sizes > 1) & ~crowd)
+        key, sid, chain, filled, apart = (c[some] for c in (key, sid, chain, filled, apart))
+        for gap in range(1, CROWD):
+            i = np.flatnonzero(key[gap:] == key[:-gap])
+            if not len(i):
+                break
+            i = i[within_budgets(chain[i], chain[i + gap], np.maximum(filled[i], filled[i + gap]), apart[i])]
+            yield table(key[i], sid[i], sid[i + gap], False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = np.empty((5, 0), np.int64), None
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            held = np.concatenate([held, new], axis=1)
+            held = held[:, np.concatenate([[True], (held[:2, 1:] != held[:2, :-1]).any(0)])] if held.shape[1] else held
+            if crowded is not None:     # the rest of a key that was found crowded in an earlier batch
+                cut = int(np.searchsorted(held[0], crowded, "right"))
+                yield table(held[0, :cut], held[1, :cut], held[1, :cut], True)
+                held, crowded = held[:, cut:], crowded if cut == held.shape[1] else None
+            if not held.shape[1]:
+                continue
+            cut = int(np.searchsorted(held[0], held[0, -1], "left"))
+            if cut:
+                yield from meet(held[:, :cut])
+            held = held[:, cut:]
+            if held.shape[1] > CROWD:
+                crowded = int(held[0, 0])
+                yield table(held[0], held[1], held[1], True)
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from meet(held)
+
+    return (rows.repartition(parts, "key").sortWithinPartitions("key", "sid").select(*names)
+            .mapInArrow(run, "key long, u long, v long, crowd boolean"))
+
+
+def _close(pairs: DataFrame, marks: DataFrame, radius: int) -> DataFrame:
+    """The different pairs (u, v) whose wide fingerprints lie within the radius."""
+    u, v = marks.select(F.col("sid").alias("u"), F.col("hi").alias("a"), F.col("lo").alias("b")), marks.select(F.col("sid").alias("v"), F.col("hi").alias("c"), F.col("lo").alias("d"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("c"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("d")))
+    return pairs.select("u", "v").distinct().join(u, "u").join(v, "v").filter(apart <= radius).select("u", "v")
+
+
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """`members` (key, sid) of the keys that several components share, with their component as label."""
+    found = components(edges).withColumnRenamed("node", "sid")
+    held = members.join(found, "sid", "left").withColumn("label", F.coalesce("component", "sid")).drop("component")
+    open_keys = held.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
+    return held.join(open_keys, "key", "left_semi")
+
+
+def _crowds(members: DataFrame, own: DataFrame, marks: DataFrame, edges: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """`edges` and those of the pairs under crowded keys (key, sid): first each set with the least of its key, then with its
+    nearest ones, then all that are still in different components."""
+    least = members.groupBy("key").agg(F.min("sid").alias("v"))
+    stars = members.join(least, "key").select(F.col("v").alias("u"), F.col("sid").alias("v")).filter("u != v")
+    pairs = stage(_close(stars, marks, radius), "star-pairs")
+    edges = stage(edges.unionByName(_alike(pairs, _sets_of(own, pairs), similarity)), "star-copies")
+    for every in (False, True):
+        left = stage(_labelled(members, edges), "open-keys")
+        if left.isEmpty():
+            break
+        items = left.join(marks.select("sid", "hi", "lo"), "sid").withColumnRenamed("key", "bucket")
+        pairs = stage(_near(items, radius, every), "crowd-pairs")
+        edges = stage(edges.unionByName(_alike(pairs, _sets_of(own, pairs), similarity)), "crowd-copies")
+    return edges
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have at least the Jaccard similarity."""
     both = (pairs.join(sets.select(F.col("sid").alias("u"), F.col("hashes").alias("a")), "u")
@@ -257,12 +410,12 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
            keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, component_id, and the columns `keep`) for each row: the least id reachable over texts whose sets of shingles have the Jaccard similarity.
 
-    Sets that differ in size by more than the similarity allows are not compared. Of the others,
-    all within `wide_radius` are: first each with its nearest ones, then all that are still in
-    different components. Texts without words are copies of each other. Nulls, ids and repeats
-    are as in `groups`.
+    Sets that differ in size by more than the similarity allows are not compared, nor those without
+    a chain in common. Of the others, all within `wide_radius` are; under a key of more than `CROWD`
+    sets those in different components. Texts without words are copies of each other. Nulls, ids
+    and repeats are as in `groups`.
     """
-    step = math.log(1 / similarity) + 1e-9
+    step = bucket_width(similarity)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
 
     def start():
@@ -277,13 +430,23 @@ def copies(df: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str =
 
     own = stage(append(rows, "sid long, hi long, lo long, bucket int, hashes binary", start, keep=["doc_id", *keep], limit=THIN), "shingle-sets")
     items = stage(own.groupBy("sid").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("hi", "lo", "bucket")]), "distinct-sets")
-    radius, marks = wide_radius(similarity), items.select("sid", "hi", "lo", "bucket")
-    pairs = stage(_near(marks.withColumn("label", F.col("sid")), radius, every=False), "nearest-pairs")
-    edges = stage(_alike(pairs, _sets_of(own, pairs), similarity), "nearest-copies")
-    found = components(edges).withColumnRenamed("node", "sid")
-    labelled = marks.join(found, "sid", "left").withColumn("label", F.coalesce("component", "sid")).drop("component")
-    pairs = stage(_near(labelled, radius, every=True), "open-pairs")
-    edges = edges.unionByName(_alike(pairs, _sets_of(own, pairs), similarity))
+    radius, marks = wide_radius(similarity), items.select("sid", "hi", "lo")
+
+    def ringed():
+        def step(part: pa.RecordBatch):
+            sets = [np.frombuffer(b, np.uint64) for b in part.column("hashes").to_pylist()]
+            rows = chains(part.column("sid").to_numpy(), part.column("bucket").to_numpy(), sets, similarity)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["key", "sid", "chain", "filled", "apart"])
+        return step
+
+    rows = arrow_map(own.select("sid", "bucket", "hashes"), "key long, sid long, chain long, filled int, apart int", ringed, THIN)
+    met = stage(_meeting(rows), "meeting-sets")
+    pairs = stage(_close(met.filter("not crowd"), marks, radius), "near-pairs")
+    edges = stage(_alike(pairs, _sets_of(own, pairs), similarity), "near-copies")
+    crowd = met.filter("crowd").select("key", F.col("u").alias("sid"))
+    if not crowd.isEmpty():
+        edges = _crowds(crowd, own, marks, edges, radius, similarity)
     found = components(edges).withColumnRenamed("node", "sid")
     held = items.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = held.groupBy("component").agg(F.min("first").alias("component_id"))
