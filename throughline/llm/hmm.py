@@ -34,9 +34,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from throughline.llm.frames import append, arrow_map, lists, ship, slices, stage, texts
 
 STATES, HEAD, TAIL, PASSES = 8, 16384, 4096, 5
-#: Tokens of a run: transfer matrices cost more than the states' rows, so only long texts are cut. Longer head words
-#: than this many bytes are left to the tail.
-RUN, LONGEST = 2048, 64
+#: Tokens of a run. Longer head words than this many bytes are left to the tail.
+RUN, LONGEST = 512, 64
 #: Weight, in tokens, of the corpus's class shares in each state's emissions, and of even transitions.
 PRIOR, EVEN = 50.0, 1.0
 CHUNKS = 16
@@ -148,10 +147,9 @@ class Steps:
     def forward(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
         """Log10 likelihood of each sequence in `order`, or with `keep` the scaled forward rows and the scales.
 
-        `start` is one distribution, or a row for each sequence in `order`. Arithmetic is in the type of `move`;
-        with `keep`, the likelihoods are left out.
+        `start` is one distribution, or a row for each sequence in `order`. With `keep`, the likelihoods are left out.
         """
-        logs, ones = np.zeros(len(self.order)), np.ones(len(move), move.dtype)
+        logs, ones = np.zeros(len(self.order)), np.ones(len(move))
         rows = np.empty((len(self.cls), len(move)), np.float32) if keep else None
         scales = np.empty(len(self.cls), np.float32) if keep else None
         now = np.broadcast_to(start, (len(self.order), len(move)))
@@ -227,19 +225,19 @@ class Model:
         runs = [s[i:i + run] for s in seqs for i in range(0, len(s), run)]
         first = np.array([i == 0 for s in seqs for i in range(0, len(s), run)])
         k, steps = len(self.start), Steps(runs)
-        before, enter, after = (x[steps.order].astype(np.float32) for x in self.bounds(runs, first))
-        move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)     # kept rows are in single precision, too
-        _, rows, scales = steps.forward(enter, move, emit, keep=True)
+        before, enter, after = (x[steps.order] for x in self.bounds(runs, first))
+        _, rows, scales = steps.forward(enter, self.move, self.emit, keep=True)
         moves = np.zeros((k, k))
         for t in range(len(steps.active) - 1, -1, -1):
             a, z, n = steps.at[t], steps.at[t + 1], steps.active[t]
             going = steps.active[t + 1] if t + 1 < len(steps.active) else 0
             later = np.empty((n, k), np.float32)
             if going:
-                back *= emit.take(steps.cls[z:z + going], axis=0)
-                back /= scales[z:z + going, None]
-                moves += rows[a:a + going].T @ back
-                later[:going] = back @ move.T
+                ahead = self.emit.take(steps.cls[z:z + going], axis=0)
+                ahead *= back
+                ahead /= scales[z:z + going, None]
+                moves += rows[a:a + going].T @ ahead
+                later[:going] = ahead @ self.move.T
             if going < n:
                 later[going:] = after[going:n] / (rows[a + going:z] * after[going:n]).sum(1, keepdims=True)
             back = later
@@ -247,7 +245,7 @@ class Model:
         opening = first[steps.order]
         if not opening.all():
             n = steps.at[1]
-            moves += before.T @ (emit[steps.cls[:n]] * back / scales[:n, None])
+            moves += before.T @ (self.emit[steps.cls[:n]] * back / scales[:n, None])
         emits = np.empty((len(self.emit), k))
         for s in range(k):
             emits[:, s] = np.bincount(steps.cls, rows[:, s], len(self.emit))
