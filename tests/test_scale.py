@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from throughline import session
 from throughline.llm import frames, pieces
 from throughline.llm.queries import PIECE_BPE
-from throughline.operators import history, metrics, models, predictability, views
+from throughline.operators import falsify, history, metrics, models, predictability, views
 from throughline.plans import model_queries, study
 from throughline.plans.common import HELD_OUT, STUDY, TRAIN, table
 from throughline.sources.adapter import pitch_log
@@ -94,3 +94,15 @@ def test_fits_of_the_same_rows_share_one_written_array(spark, sf, monkeypatch):
     assert len(got) == len(want) and want
     assert all(abs(p - q) < 1e-6 for r in got for p, q in zip(r.action_probs, want[r.row_id], strict=True))
     assert {r.dropped for r in model_queries.mechanism_refit(spark, sf).collect()} == set(views.MECHANISMS)
+
+
+def test_rounds_are_summed_in_generated_code(spark):
+    """Rows times rounds go through no lambda, which would be interpreted, but for strata with a null: those add nothing to a sum, as before."""
+    rows = spark.sql("SELECT id AS row_id, id % 3 AS k, 2 AS pitch_number, CAST(id AS DOUBLE) AS x, IF(id = 5, NULL, CAST(id * id AS DOUBLE)) AS y FROM range(10)")
+    sums = falsify.shifted_sums(rows, ["x"], ["y"], {"s": lambda own, donor: own["x"] * donor["y"]}, 4, 9, ["k"])
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    counted = plan[plan.index("Union"):].split("Aggregate", 1)[1].split("Generate", 1)[0]
+    assert "x" in counted and "lambda" not in counted
+    got = {r["round"]: r for r in sums.collect()}
+    assert set(got) == set(range(5)) and all(r.n == 10 for r in got.values())
+    assert got[0].s == sum(float(i) ** 3 for i in range(10) if i % 3 != 5 % 3)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from throughline.config import FAMILIES, PITCH, Cols
 from throughline.functions import hashing
@@ -145,6 +147,15 @@ def gap_intervals(losses: DataFrame, cluster: list[str], by: list[str], views: l
         F.percentile(drawn("_gap"), 0.025).alias("gap_lo"), F.percentile(drawn("_gap"), 0.975).alias("gap_hi"))
 
 
+def _known(value: Column, kind: DataType) -> Column:
+    """Whether a struct or array has no null in it."""
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a & b, [_known(value[f.name], f.dataType) for f in kind.fields], value.isNotNull())
+    if isinstance(kind, ArrayType):
+        return value.isNotNull() & F.forall(value, lambda x: _known(x, kind.elementType))
+    return value.isNotNull()
+
+
 #: Rows of a stratum that are ordered together.
 BLOCK = 4096
 
@@ -182,18 +193,30 @@ def shifted_sums(df: DataFrame, own: list[str], donor: list[str], terms: dict[st
         "_u", "_rows", F.concat(F.col("_rows")["donor"], full).alias("_donors"))
     short = lists.filter("_parts = 1").select("_u", "_rows", F.col("_rows")["donor"].alias("_donors"))
 
-    turn = F.transform(F.sequence(F.lit(0), F.lit(rounds)), lambda r: F.floor(
-        (r * F.col("_u") - F.floor(r * F.col("_u"))) * F.least(F.size("_donors"), F.lit(rounds + 1))).cast("int"))
+    known = F.forall(F.col("_rows")["own"], lambda x: _known(x, rows.schema["own"].dataType)) & F.forall(
+        "_donors", lambda x: _known(x, rows.schema["donor"].dataType))
+    lists = long.unionByName(short).withColumns({"_known": known, "_places": F.least(F.size("_donors"), F.lit(rounds + 1))})
+
+    def drawn_places(r: Column) -> Column:
+        return F.floor((r * F.col("_u") - F.floor(r * F.col("_u"))) * F.col("_places")).cast("int")
+
+    # One decision and round at a time in generated code, as lambdas over the lists are interpreted.
+    each = (lists.filter("_known").select("_u", "_places", "_donors", F.posexplode(F.col("_rows")["own"]).alias("_i", "_own"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round")))
+    met = F.col("_donors")[(F.col("_i") + drawn_places(F.col("round"))) % F.size("_donors")]
+    fast = each.groupBy("round").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t(F.col("_own"), met)).alias(k) for k, t in terms.items()])
 
+    # A list with a null adds nothing to a sum that meets it, which only the list as a whole knows. Equal places are summed once.
     def summed(term: Callable[[Column, Column], Column]) -> Column:
         def at(places: Column) -> Column:
             return F.aggregate(F.sequence(F.lit(0), F.size("_rows") - 1), F.lit(0.0), lambda total, i: total + term(
                 F.col("_rows")[i]["own"], F.col("_donors")[(i + places) % F.size("_donors")]))
-        return F.transform("_turns", at)
+        return F.transform(F.sequence(F.lit(0), F.col("_places") - 1), at)
 
-    made = long.unionByName(short).withColumn("_turns", turn).select(
-        F.size("_rows").alias("n"), F.posexplode(F.arrays_zip(*[summed(t).alias(k) for k, t in terms.items()])).alias("round", "_z"))
-    return made.groupBy("round").agg(F.sum("n").alias("n"), *[F.sum(F.col("_z")[k]).alias(k) for k in terms])
+    apart = lists.filter("NOT _known").select("_u", "_places", F.size("_rows").alias("n"), *[summed(t).alias(f"_s{i}") for i, t in enumerate(terms.values())])
+    slow = apart.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round")).select(
+        "round", F.col("n").cast("long").alias("n"), *[F.col(f"_s{i}")[drawn_places(F.col("round"))].alias(k) for i, k in enumerate(terms)])
+    return fast.unionByName(slow).groupBy("round").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in terms])
 
 
 def permutation_pvalue(gains: DataFrame, names: list[str], slack: float = 1e-12) -> DataFrame:
