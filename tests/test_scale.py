@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from throughline import session
@@ -106,3 +108,22 @@ def test_rounds_are_summed_in_generated_code(spark):
     got = {r["round"]: r for r in sums.collect()}
     assert set(got) == set(range(5)) and all(r.n == 10 for r in got.values())
     assert got[0].s == sum(float(i) ** 3 for i in range(10) if i % 3 != 5 % 3)
+
+
+def test_rows_move_once_to_their_donor(spark, monkeypatch):
+    """Only the ends of the buckets of a large stratum are moved twice; donors are the same, nulls in the strata included."""
+    rows = spark.sql("SELECT id AS row_id, IF(id % 4 = 0, NULL, id % 4) AS k, 2 AS pitch_number, CAST(id AS STRING) AS t FROM range(400)")
+
+    def donors(limit):
+        monkeypatch.setattr(falsify, "LARGE", limit)
+        p = falsify.permute_history(rows, ["t"], 5, 1, ["k"])
+        plan = p._jdf.queryExecution().executedPlan().toString()
+        assert "_large" not in p.columns and "_next" not in p.columns
+        return plan, {r.row_id: (r.donor_id, r.donor_t) for r in p.collect()}
+
+    plans, found = zip(*[donors(n) for n in (1000, 99, 10)], strict=True)
+    assert plans[0].count("Exchange hashpartitioning") == 1 and plans[2].count("Exchange hashpartitioning") > 1
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400
+    for k in range(4):
+        hashed = sorted((hashlib.md5(f"5|{i}".encode()).hexdigest(), i) for i in range(k, 400, 4))
+        assert all(found[0][i] == (j, str(j)) for (_, i), (_, j) in zip(hashed, hashed[1:] + hashed[:1], strict=True))

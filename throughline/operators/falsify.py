@@ -17,6 +17,8 @@ STRATUM = ["pitcher", "count_state", "pitch_number", "stand", "p_throws", "multi
 SIMILAR = ["pitcher", "count_state", "pitch_number"]
 #: Hash digits of a bucket.
 WIDTH = 3
+#: Rows of a stratum that one task orders.
+LARGE = 200_000
 
 
 def order_ablation(intervals: DataFrame) -> DataFrame:
@@ -30,25 +32,37 @@ def _swap(df: DataFrame, strata: list[str], fields: list[str], seed: int, width:
     the first: a random cyclic permutation without a join. `donor_id` is null for a row alone
     in its stratum.
 
-    A stratum that a hot actor fills is no one task's work: its rows are ordered within buckets,
-    the first `width` digits of their hash. Only the last row of a bucket, whose next row is the
-    first of a later bucket, meets the others of its stratum, at most 16 ** `width` of them. The
-    result doesn't depend on `width`.
+    A stratum that a hot actor fills is no one task's work: if it has more than `LARGE` rows, they are
+    ordered within buckets, the first `width` digits of their hash. Only the last row of a bucket, whose
+    next row is the first of a later bucket, meets the others of its stratum, at most 16 ** `width` of
+    them; all other rows are moved once, without their hash. The result depends neither on `width` nor on `LARGE`.
     """
     strata = [*(extra or []), *strata]
     token = F.struct(F.col(c.row).alias("id"), *fields)
-    rows = df.withColumn("_h", hashing.digest(seed, *(extra or []), c.row))
-    rows = rows.withColumn("_bucket", F.substring("_h", 1, width))
-    inside = W.partitionBy(*strata, "_bucket").orderBy("_h", c.row)
-    rows = rows.withColumns({"_next": F.lead(token).over(inside), "_first": F.first(token).over(inside)})
-    rows = rows.withColumn("_inner", F.when(F.col("_next").isNotNull(), F.col("_bucket")))
-    between = W.partitionBy(*strata, "_inner").orderBy("_bucket")
-    donor = F.coalesce("_next", F.lead("_first").over(between), F.first("_first").over(between))
-    rows = rows.withColumn("_donor", donor)
+    # equal hashes of two strata put both in buckets, which changes no donor
+    stratum = F.xxhash64(*strata)
+    large = small_side(df.groupBy(stratum.alias("_s")).agg(F.count("*").alias("_n")).filter(F.col("_n") > LARGE).select("_s"))
+    split = not large.isEmpty()
+    digest = hashing.digest(seed, *(extra or []), c.row)
+    rows, within = df, strata
+    if split:
+        rows = (df.withColumn("_s", stratum).join(large.withColumn("_large", F.lit(True)), "_s", "left").drop("_s")
+                .withColumn("_bucket", F.when(F.col("_large"), F.substring(digest, 1, width)).otherwise("")))
+        within = [*strata, "_bucket"]
+    # what follows from a row is made after it has moved
+    rows = rows.repartition(*within).withColumn("_h", digest)
+    inside = W.partitionBy(*within).orderBy("_h", c.row)
+    rows = rows.withColumns({"_next": F.lead(token).over(inside), "_first": F.first(token).over(inside)}).drop("_h")
+    if split:
+        apart = F.col("_large").isNotNull() & F.col("_next").isNull()
+        between = W.partitionBy(*strata).orderBy("_bucket")
+        ends = rows.filter(apart).withColumn("_next", F.coalesce(F.lead("_first").over(between), F.first("_first").over(between)))
+        rows = rows.filter(~apart).unionByName(ends).drop("_large")
+    rows = rows.withColumn("_donor", F.coalesce("_next", "_first"))
     return rows.withColumns({
         "donor_id": F.when(F.col("_donor.id") != F.col(c.row), F.col("_donor.id")),
         **{f"donor_{f}": F.col(f"_donor.{f}") for f in fields},
-    }).drop("_next", "_first", "_donor", "_bucket", "_inner", "_h")
+    }).drop("_next", "_first", "_donor", "_bucket")
 
 
 def permute_history(df: DataFrame, fields: list[str], seed: int, width: int = WIDTH,
