@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from throughline import session
 from throughline.llm import frames, pieces
 from throughline.llm.queries import PIECE_BPE
-from throughline.operators import falsify, history, metrics, models, predictability, views
+from throughline.operators import falsify, history, metrics, models, ope, policy, predictability, views
 from throughline.plans import model_queries, study
 from throughline.plans.common import HELD_OUT, STUDY, TRAIN, table
 from throughline.sources.adapter import pitch_log
@@ -127,3 +127,22 @@ def test_rows_move_once_to_their_donor(spark, monkeypatch):
     for k in range(4):
         hashed = sorted((hashlib.md5(f"5|{i}".encode()).hexdigest(), i) for i in range(k, 400, 4))
         assert all(found[0][i] == (j, str(j)) for (_, i), (_, j) in zip(hashed, hashed[1:] + hashed[:1], strict=True))
+
+
+def test_mixtures_move_a_decision_once(spark):
+    """All mixtures come from one exchange of uncopied rows and equal the estimates of rows copied for each; a missing model stays missing."""
+    flat = [0.125] * 8
+    rows = spark.createDataFrame(
+        [(p, i // 3, i % 3 + 1, a, r, None if i == 4 else flat, [0.0] * 7 + [1.0] if i % 2 else [0.5, 0.5] + [0.0] * 6, [0.1 * j * i for j in range(8)])
+         for p in ("x", "y") for i, (a, r) in enumerate([("FF", 0.5), ("XX", None), ("SI", -1.0), ("XX", 0.25), ("FF", 1.0), ("FF", 0.75), ("XX", None)])],
+        "policy string, pa_id long, pitch_number int, family string, reward double, mu array<double>, target array<double>, q array<double>")
+    got = ope.mixture_episodes(rows, (0.0, 0.25, 1.0), policy.mix_policy, ["policy"], 3.0)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(policy, pa_id") <= 1
+    copies = rows.withColumn("alpha", F.explode(F.array(F.lit(0.0), F.lit(0.25), F.lit(1.0)))).withColumn(
+        "pi", policy.mix_policy(F.col("mu"), F.col("target"), F.col("alpha")))
+    by, copies = ["policy", "alpha"], ope.logged(copies, 3.0)
+    want = ope.myopic_vs_full(ope.episode_estimates(copies, by), ope.stepwise_dr(copies, by), by)
+    found = {(r.policy, r.alpha): r for r in got.collect()}
+    for r in want.collect():
+        assert all(abs(r[x] - found[r.policy, r.alpha][x]) < 1e-12 for x in ("observed", "dm", "dr", "n_episodes", "stepwise_dr"))
+    assert len(found) == 6

@@ -5,6 +5,8 @@ Logged rows carry arrays `mu`, `pi` and `q` in family order next to the action a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from throughline.config import FAMILIES, PITCH, Cols
@@ -82,6 +84,35 @@ def stepwise_dr(rows: DataFrame, by: list[str], c: Cols = PITCH) -> DataFrame:
         F.count("*").alias("n_episodes"), F.avg("_v").alias("stepwise_dr"))
 
 
+def mixture_episodes(rows: DataFrame, alphas: tuple[float, ...], mix: Callable[[Column, Column, Column], Column], by: list[str],
+                     cap: float | None = None, c: Cols = PITCH) -> DataFrame:
+    """`episode_estimates` and `stepwise_dr` of all mixtures of `mu` and `target`, by `alpha`, from one exchange by episode.
+
+    A row carries a weight and a value per mixture; it is not copied for each of them before it has moved.
+    """
+    pi = {f"_pi{k}": mix(F.col("mu"), F.col("target"), F.lit(float(a))) for k, a in enumerate(alphas)}
+    df = rows.filter(F.col(c.reward).isNotNull()).withColumns({
+        **pi, "q_a": prob_of(F.col("q"), F.col(c.action), FAMILIES), "mu_a": prob_of(F.col("mu"), F.col(c.action), FAMILIES)})
+    r = F.col(c.reward)
+    df = df.select(*by, c.episode, F.col(c.order).alias("t"), r.alias("r"), "q_a",
+                   F.array(*[dot(F.col(p), F.col("q")) for p in pi]).alias("v"),
+                   F.array(*[clip_weights(prob_of(F.col(p), F.col(c.action), FAMILIES) / F.col("mu_a"), cap) for p in pi]).alias("w"))
+    per = df.groupBy(*by, c.episode).agg(
+        F.sum("r").alias("observed"), F.array_sort(F.collect_list(F.struct("t", "v", "w", "r", "q_a"))).alias("_steps"),
+        *[F.sum(F.col("v")[k]).alias(f"_dm{k}") for k in range(len(pi))],
+        *[F.sum(F.col("v")[k] + F.col("w")[k] * (F.col("r") - F.col("q_a"))).alias(f"_dr{k}") for k in range(len(pi))])
+    back = F.reverse("_steps")
+
+    def value(k: int) -> Column:
+        return F.aggregate(back, F.lit(0.0), lambda v, s: s["v"][k] + s["w"][k] * (s["r"] + v - s["q_a"]))
+
+    long = per.select(*by, "observed", F.inline(F.array(*[F.struct(
+        F.lit(float(a)).alias("alpha"), F.col(f"_dm{k}").alias("dm"), F.col(f"_dr{k}").alias("dr"), value(k).alias("_v"))
+        for k, a in enumerate(alphas)])))
+    return long.groupBy(*by, "alpha").agg(*[F.avg(x).alias(x) for x in ("observed", "dm", "dr")],
+                                          F.count("*").alias("n_episodes"), F.avg("_v").alias("stepwise_dr"))
+
+
 def fqe_value(starts: DataFrame, q: DataFrame, by: list[str],
               state: str = "count_state") -> DataFrame:
     """Policy value at the episodes' first states from a fitted Q table (by, state, action, pi, q)."""
